@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stopwise.driver.views import Inputs
 from stopwise.plans import events, headways, places, reliability, schedule, staging
+from stopwise.sinks.tables import materialize
 
 
 class Model:
@@ -147,5 +148,8 @@ class Model:
     @cached_property
     def hotspots(self) -> DataFrame:
         return places.priority_hotspots(
-            self.vulnerability, self.crash_proximity, self.stop_hour, self.params
+            materialize(self.vulnerability, "vulnerability"),
+            materialize(self.crash_proximity, "crash-proximity"),
+            self.stop_hour,
+            self.params,
         )

@@ -290,9 +290,12 @@ BLOCKS: dict[str, str] = {
                    (e.lat1 - s.stop_lat) * {M} AS y1,
                    (e.lon2 - s.stop_lon) * {M} * cos(s.stop_lat * {DEG_SQL}) AS x2,
                    (e.lat2 - s.stop_lat) * {M} AS y2
-            FROM v_stops s JOIN b_edges e
-              ON e.lat1 BETWEEN s.stop_lat - 0.015 AND s.stop_lat + 0.015
-             AND e.lon1 BETWEEN s.stop_lon - 0.015 AND s.stop_lon + 0.015),
+            FROM v_stops s
+            JOIN (SELECT geoid, min(lon1) AS w, max(lon1) AS e, min(lat1) AS s, max(lat1) AS n
+                  FROM b_edges GROUP BY geoid) AS box
+              ON s.stop_lat BETWEEN box.s - 0.01 AND box.n + 0.01
+             AND s.stop_lon BETWEEN box.w - 0.015 AND box.e + 0.015
+            JOIN b_edges e ON e.geoid = box.geoid),
         seg AS (
             SELECT *, greatest(0, least(1, -(x1 * (x2 - x1) + y1 * (y2 - y1))
                        / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t

@@ -9,16 +9,32 @@ from __future__ import annotations
 
 import re
 from datetime import UTC, date, datetime
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stopwise.params import Params
 from stopwise.session import tune
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+    "props string",
+}
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+    *SCHEMAS, "documents", "embeddings", "pages", "benchmark", "labels", "conversations"
+)
 
 AS_OF = datetime(2024, 1, 31, 12, tzinfo=UTC)
 PARAMS = Params(as_of=AS_OF)
@@ -66,11 +82,8 @@ def _ring(west: str, south: str, east: str, north: str) -> str:
 
 def _tract_geojson() -> str:
     """Square tract; every fourth has a square hole."""
-    outer = _ring(TRACT_LON, TRACT_LAT, f"({TRACT_LON} + 160)", f"({TRACT_LAT} + 160)")
-    inner = _ring(
-        f"({TRACT_LON} + 40)", f"({TRACT_LAT} + 40)",
-        f"({TRACT_LON} + 120)", f"({TRACT_LAT} + 120)",
-    )
+    outer = _ring("x", "y", "(x + 160)", "(y + 160)")
+    inner = _ring("(x + 40)", "(y + 40)", "(x + 120)", "(y + 120)")
     # Doubled braces survive the filling-in of table names.
     head, tail = "'{{\"type\":\"Polygon\",\"coordinates\":['", "']}}'"
     return (
@@ -173,10 +186,10 @@ VIEWS: dict[str, str] = {
     "v_stops": f"""
         SELECT concat('S', p_partkey) AS stop_id,
                p_name AS stop_name,
-               {_degrees(STOP_LAT)} AS stop_lat,
-               {_degrees(STOP_LON)} AS stop_lon,
+               {_degrees("y")} AS stop_lat,
+               {_degrees("x")} AS stop_lon,
                CAST(p_size % 3 AS STRING) AS wheelchair_boarding
-        FROM {{part}}""",
+        FROM (SELECT *, {STOP_LON} AS x, {STOP_LAT} AS y FROM {{part}}) AS placed""",
     "v_routes": """
         SELECT concat('R', s_suppkey) AS route_id,
                CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('Line ', s_suppkey) END
@@ -192,27 +205,27 @@ VIEWS: dict[str, str] = {
                          ELSE CAST(substring(o_orderpriority, 1, 1) AS INT) END AS BIGINT)
                    AS severity,
                o_orderpriority AS severity_text,
-               {_degrees(CRASH_LON)} AS lon,
-               {_degrees(CRASH_LAT)} AS lat,
+               {_degrees("x")} AS lon,
+               {_degrees("y")} AS lat,
                concat('Road ', o_custkey % 500) AS roadway_name,
                CAST(NULL AS STRING) AS on_route,
                CAST(NULL AS STRING) AS off_route,
                CAST(o_orderkey % 2 AS BIGINT) AS bike_involved,
                CAST(o_orderkey % 3 AS BIGINT) AS ped_involved
-        FROM {{orders}}""",
+        FROM (SELECT *, {CRASH_LON} AS x, {CRASH_LAT} AS y FROM {{orders}}) AS placed""",
     "v_sidewalks": f"""
         SELECT concat('K', p_partkey) AS sidewalk_id,
                p_type AS class, p_brand AS status, 'concrete' AS material,
                CAST(1950 + p_size AS STRING) AS year_built,
-               {_degrees(f"({STOP_LON} + p_partkey % 7 * 30)")} AS lon_start,
-               {_degrees(f"({STOP_LAT} - p_partkey % 11 * 20)")} AS lat_start,
-               {_degrees(f"({STOP_LON} + p_partkey % 7 * 30 + p_partkey % 5 * 90)")} AS lon_end,
-               {_degrees(f"({STOP_LAT} - p_partkey % 11 * 20 + p_partkey % 3 * 70)")} AS lat_end,
+               {_degrees("(x + p_partkey % 7 * 30)")} AS lon_start,
+               {_degrees("(y - p_partkey % 11 * 20)")} AS lat_start,
+               {_degrees("(x + p_partkey % 7 * 30 + p_partkey % 5 * 90)")} AS lon_end,
+               {_degrees("(y - p_partkey % 11 * 20 + p_partkey % 3 * 70)")} AS lat_end,
                CAST(p_size AS DOUBLE) AS length_m,
-               {_degrees(STOP_LON)} AS centroid_lon,
-               {_degrees(STOP_LAT)} AS centroid_lat,
+               {_degrees("x")} AS centroid_lon,
+               {_degrees("y")} AS centroid_lat,
                {EXTRACT} AS _extract_date
-        FROM {{part}}""",
+        FROM (SELECT *, {STOP_LON} AS x, {STOP_LAT} AS y FROM {{part}}) AS placed""",
     "v_tracts": f"""
         SELECT concat('08031', lpad(CAST(c_custkey AS STRING), 9, '0')) AS geoid,
                c_name AS name,
@@ -220,7 +233,7 @@ VIEWS: dict[str, str] = {
                0.0e0 AS awater_m2,
                {_tract_geojson()} AS geometry_geojson,
                TIMESTAMP '2024-01-05 00:00:00' AS _ingested_at
-        FROM {{customer}}""",
+        FROM (SELECT *, {TRACT_LON} AS x, {TRACT_LAT} AS y FROM {{customer}}) AS placed""",
     "v_acs": """
         SELECT concat('14000US08031', lpad(CAST(c_custkey AS STRING), 9, '0')) AS geoid,
                c_name AS name,
@@ -252,18 +265,21 @@ class Inputs:
         self.spark = tune(spark)
         self.sf_dir = sf_dir.rstrip("/")
 
+    @cache
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table; the declared schema spares the job that would infer it."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cache
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("{fanout}", FANOUT["spark"])
-        used = {n: self.table(n) for n in TABLES if "{" + n + "}" in text}
+        used = {n: self.table(n) for n in SCHEMAS if "{" + n + "}" in text}
         return self.spark.sql(text, **used)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("v_") and name in VIEWS:
             return self.view(name)
-        if name in TABLES:
+        if name in SCHEMAS:
             return self.table(name)
         raise AttributeError(name)
 

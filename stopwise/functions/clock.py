@@ -1,6 +1,7 @@
-"""Local time, service-day clock and date helpers as column expressions.
+"""Local time, service-day clock and date helpers.
 
-Local parts are computed from the shifted epoch, so they do not depend on the session zone.
+Arguments are column names or SQL expressions. Local parts are computed from the shifted epoch,
+so they do not depend on the session zone.
 """
 
 from __future__ import annotations
@@ -10,86 +11,84 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DAY_SECONDS = 86_400
-
 # Weekday names in the order of dayofweek() - 1, Sunday first.
 WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 
 
-def _local_seconds(ts: Column, zone: str) -> Column:
-    return F.unix_seconds(F.from_utc_timestamp(ts, zone))
-
-
-def local_date(ts: Column, zone: str) -> Column:
+def local_date(ts: str, zone: str) -> Column:
     """Calendar date of an instant in ``zone``."""
-    return F.date_from_unix_date(F.floor(_local_seconds(ts, zone) / DAY_SECONDS).cast("int"))
+    return F.expr(
+        "date_from_unix_date(cast("
+        f"floor(unix_seconds(from_utc_timestamp({ts}, '{zone}')) / 86400) as int))"
+    )
 
 
-def local_hour(ts: Column, zone: str) -> Column:
+def local_hour(ts: str, zone: str) -> Column:
     """Hour 0-23 of an instant in ``zone``."""
-    return F.floor(F.pmod(_local_seconds(ts, zone), F.lit(DAY_SECONDS)) / 3600).cast("int")
+    return F.expr(
+        f"cast(pmod(unix_seconds(from_utc_timestamp({ts}, '{zone}')), 86400) div 3600 as int)"
+    )
 
 
-def utc_date(ts: Column) -> Column:
-    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / DAY_SECONDS).cast("int"))
+def utc_date(ts: str) -> Column:
+    return F.expr(f"date_from_unix_date(cast(floor(unix_seconds({ts}) / 86400) as int))")
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
+def seconds_between(later: str, earlier: str) -> Column:
     """Whole seconds from ``earlier`` to ``later``, truncated toward zero."""
-    return F.timestamp_diff("SECOND", earlier, later)
+    return F.expr(f"timestampdiff(SECOND, {earlier}, {later})")
 
 
-def minutes_between(later: Column, earlier: Column) -> Column:
-    return F.timestamp_diff("MINUTE", earlier, later)
+def minutes_between(later: str, earlier: str) -> Column:
+    return F.expr(f"timestampdiff(MINUTE, {earlier}, {later})")
 
 
-def service_time_to_instant(service_date: Column, text: Column, zone: str) -> Column:
-    """``HH:MM:SS`` on a service date as an instant; hours of 24 and more roll to later days.
+def service_seconds(text: str) -> Column:
+    """Seconds of ``HH:MM:SS`` on the service-day clock, where hours may pass 24.
 
-    The text is wall-clock time in ``zone``. Missing or malformed text gives NULL.
+    Missing or malformed text gives NULL.
     """
-    parts = F.split(text, ":")
-    hour, minute, second = (
-        F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3)
+    h, m, s = (f"try_cast(try_element_at(split({text}, ':'), {i}) as int)" for i in (1, 2, 3))
+    return F.expr(
+        f"case when {h} >= 0 and {m} between 0 and 59 and {s} between 0 and 59 "
+        f"then {h} * 3600L + {m} * 60 + {s} end"
     )
-    well_formed = (hour >= 0) & minute.between(0, 59) & second.between(0, 59)
-    wall = (
-        F.unix_date(service_date).cast("long") * DAY_SECONDS
-        + hour * 3600
-        + minute * 60
-        + second
+
+
+def service_instant(day: str, seconds: str, zone: str) -> Column:
+    """Instant of service-clock seconds on a service date, read as wall-clock time in ``zone``."""
+    return F.expr(
+        f"to_utc_timestamp(timestamp_seconds(unix_date({day}) * 86400L + {seconds}), '{zone}')"
     )
-    return F.when(well_formed, F.to_utc_timestamp(F.timestamp_seconds(wall), zone))
 
 
-def parse_yyyymmdd(text: Column) -> Column:
+def parse_yyyymmdd(text: str) -> Column:
     """Date of ``yyyymmdd`` text, NULL when it is not a date."""
-    return F.try_to_date(text, "yyyyMMdd")
+    return F.expr(f"try_to_date({text}, 'yyyyMMdd')")
 
 
-def weekday_name(day: Column) -> Column:
-    names = F.array(*[F.lit(n) for n in WEEKDAYS])
-    return F.element_at(names, F.dayofweek(day))
+def weekday_name(day: str) -> Column:
+    names = ", ".join(f"'{n}'" for n in WEEKDAYS)
+    return F.expr(f"element_at(array({names}), dayofweek({day}))")
 
 
-def runs_on(day: Column, flags: dict[str, Column]) -> Column:
-    """True when the weekday flag of ``day`` is set; ``flags`` maps weekday name to a boolean."""
-    bits = F.array(*[F.coalesce(flags[n], F.lit(False)) for n in WEEKDAYS])
-    return F.element_at(bits, F.dayofweek(day))
+def runs_on(day: str) -> Column:
+    """True when the 0/1 weekday column for ``day`` is set."""
+    flags = ", ".join(f"coalesce({n} = 1, false)" for n in WEEKDAYS)
+    return F.expr(f"element_at(array({flags}), dayofweek({day}))")
 
 
 def date_spine(spark: SparkSession, first: date, last: date) -> DataFrame:
     """Every date of an inclusive range with its weekday name and flags."""
     days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day"))).alias(
-            "service_date"
+        F.expr(
+            f"explode(sequence(date '{first}', date '{last}', interval 1 day)) as service_date"
         )
     )
+    flags = [
+        F.expr(f"dayofweek(service_date) = {i} as is_{name}")
+        for i, name in enumerate(WEEKDAYS, start=1)
+    ]
     return days.select(
-        "service_date",
-        weekday_name(F.col("service_date")).alias("day_of_week"),
-        *[
-            (F.dayofweek("service_date") == i + 1).alias(f"is_{name}")
-            for i, name in enumerate(WEEKDAYS)
-        ],
+        "service_date", weekday_name("service_date").alias("day_of_week"), *flags
     )

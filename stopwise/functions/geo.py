@@ -1,12 +1,17 @@
-"""Distances and clipped lengths on the earth as column expressions."""
+"""Distances and clipped lengths on the earth.
+
+Arguments are column names or SQL expressions.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stopwise.functions.steps import computed
+
 # Fixed values.
 EARTH_RADIUS_M = 6_371_008.8
 MERCATOR_RADIUS_M = 6_378_137.0
@@ -14,73 +19,99 @@ DEG = math.pi / 180.0
 METERS_PER_DEGREE = EARTH_RADIUS_M * DEG
 
 
-def point(lon: Column, lat: Column) -> Column:
+def point(lon: str, lat: str) -> Column:
     """Point struct, NULL when a coordinate is missing."""
-    lon, lat = lon.cast("double"), lat.cast("double")
-    return F.when(
-        lon.isNotNull() & lat.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat"))
+    return F.expr(
+        f"case when {lon} is not null and {lat} is not null then "
+        f"struct(cast({lon} as double) as lon, cast({lat} as double) as lat) end"
     )
 
 
-def chord(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+def chord(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     """Two-vertex line struct."""
-    return F.struct(
-        lon1.cast("double").alias("lon1"),
-        lat1.cast("double").alias("lat1"),
-        lon2.cast("double").alias("lon2"),
-        lat2.cast("double").alias("lat2"),
+    return F.expr(
+        f"struct(cast({lon1} as double) as lon1, cast({lat1} as double) as lat1, "
+        f"cast({lon2} as double) as lon2, cast({lat2} as double) as lat2)"
     )
 
 
-def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+def haversine_m(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     """Great-circle distance in metres on the sphere."""
-    half_dlat = (lat2 - lat1) * (DEG / 2)
-    half_dlon = (lon2 - lon1) * (DEG / 2)
-    a = F.pow(F.sin(half_dlat), F.lit(2)) + F.cos(lat1 * DEG) * F.cos(lat2 * DEG) * F.pow(
-        F.sin(half_dlon), F.lit(2)
+    half = f"{DEG / 2!r}D"
+    return F.expr(
+        f"{2 * EARTH_RADIUS_M!r}D * asin(least(1D, sqrt("
+        f"pow(sin(({lat2} - {lat1}) * {half}), 2) + cos({lat1} * {DEG!r}D) "
+        f"* cos({lat2} * {DEG!r}D) * pow(sin(({lon2} - {lon1}) * {half}), 2))))"
     )
-    return F.asin(F.least(F.sqrt(a), F.lit(1.0))) * (2 * EARTH_RADIUS_M)
 
 
-def plane_x(lon: Column, lon0: Column, lat0: Column) -> Column:
-    """Metres east of (lon0, lat0) on the local plane."""
-    return (lon - lon0) * METERS_PER_DEGREE * F.cos(lat0 * DEG)
+def plane_x(lon: str, lon0: str, lat0: str) -> str:
+    """SQL text: metres east of (lon0, lat0) on the local plane."""
+    return f"({lon} - {lon0}) * {METERS_PER_DEGREE!r}D * cos({lat0} * {DEG!r}D)"
+
 
+def plane_y(lat: str, lat0: str) -> str:
+    """SQL text: metres north of lat0 on the local plane."""
+    return f"({lat} - {lat0}) * {METERS_PER_DEGREE!r}D"
 
-def plane_y(lat: Column, lat0: Column) -> Column:
-    """Metres north of lat0 on the local plane."""
-    return (lat - lat0) * METERS_PER_DEGREE
+
+def with_plane_chord(df: DataFrame) -> DataFrame:
+    """Add the chord ``lon1, lat1, lon2, lat2`` in metres around ``lon, lat``.
+
+    Start ``_x1, _y1``, direction ``_dx, _dy``, squared length ``_a`` (NULL when zero) and the
+    start's component along the direction ``_b``.
+    """
+    ends = {
+        "_x1": plane_x("lon1", "lon", "lat"),
+        "_y1": plane_y("lat1", "lat"),
+        "_x2": plane_x("lon2", "lon", "lat"),
+        "_y2": plane_y("lat2", "lat"),
+    }
+    return (
+        df.selectExpr("*", *[f"{v} as {k}" for k, v in ends.items()])
+        .selectExpr("*", "_x2 - _x1 as _dx", "_y2 - _y1 as _dy")
+        .selectExpr(
+            "*", "nullif(_dx * _dx + _dy * _dy, 0D) as _a", "_x1 * _dx + _y1 * _dy as _b"
+        )
+    )
 
 
-def origin_to_segment_m2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Squared distance from the origin to a segment given in plane metres."""
-    dx, dy = x2 - x1, y2 - y1
-    len2 = dx * dx + dy * dy
-    along = F.coalesce(-(x1 * dx + y1 * dy) / F.nullif(len2, F.lit(0.0)), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    px, py = x1 + t * dx, y1 + t * dy
-    return px * px + py * py
+PLANE_COLUMNS = ("_x1", "_y1", "_x2", "_y2", "_dx", "_dy", "_a", "_b")
+
+
+def with_chord_in_disc(df: DataFrame, radius_m: float, output: str) -> DataFrame:
+    """Length of the part of a chord inside the disc around a point, for each row.
+
+    The position along the chord runs from 0 to 1; it is inside between the two roots of a
+    quadratic.
+    """
+    middle = with_plane_chord(df).selectExpr(
+        "*", "-_b / _a as _mid", f"_x1 * _x1 + _y1 * _y1 - {radius_m * radius_m!r}D as _c"
+    )
+    roots = middle.selectExpr("*", "sqrt(greatest(_mid * _mid - _c / _a, 0D)) as _half")
+    length = F.expr(
+        "coalesce(greatest(least(1D, _mid + _half) - greatest(0D, _mid - _half), 0D) "
+        "* sqrt(_a), 0D)"
+    )
+    return computed(roots, **{output: length}).drop(*PLANE_COLUMNS, "_mid", "_c", "_half")
 
 
-def chord_in_disc_m(x1: Column, y1: Column, x2: Column, y2: Column, radius_m: float) -> Column:
-    """Length of the part of a segment inside the disc of ``radius_m`` around the origin."""
-    dx, dy = x2 - x1, y2 - y1
-    len2 = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    b = (x1 * dx + y1 * dy) / len2
-    disc = b * b - (x1 * x1 + y1 * y1 - radius_m * radius_m) / len2
-    root = F.sqrt(F.when(disc > 0, disc))
-    span = F.least(F.lit(1.0), root - b) - F.greatest(F.lit(0.0), -b - root)
-    return F.when(root.isNotNull() & (span > 0), span * F.sqrt(len2)).otherwise(F.lit(0.0))
+# SQL text over the columns of with_plane_chord.
+EDGE_DISTANCE_M2 = (
+    "pow(_x1 + greatest(0D, least(1D, coalesce(-_b / _a, 0D))) * _dx, 2)"
+    " + pow(_y1 + greatest(0D, least(1D, coalesce(-_b / _a, 0D))) * _dy, 2)"
+)
+CROSSES_RAY = "(_y1 > 0) != (_y2 > 0) and _x1 - _y1 * _dx / nullif(_dy, 0D) > 0"
 
 
-def mercator_lon(x: Column) -> Column:
-    """Longitude of a web-mercator easting."""
-    return x / MERCATOR_RADIUS_M / DEG
+def mercator_lon(x: str) -> str:
+    """SQL text: longitude of a web-mercator easting."""
+    return f"degrees({x} / {MERCATOR_RADIUS_M}D)"
 
 
-def mercator_lat(y: Column) -> Column:
-    """Latitude of a web-mercator northing."""
-    return (F.atan(F.exp(y / MERCATOR_RADIUS_M)) * 2 - math.pi / 2) / DEG
+def mercator_lat(y: str) -> str:
+    """SQL text: latitude of a web-mercator northing."""
+    return f"degrees(2 * atan(exp({y} / {MERCATOR_RADIUS_M}D)) - pi() / 2)"
 
 
 # GRS80 ellipsoid, transverse-Mercator zone 13 north.
@@ -101,9 +132,8 @@ def utm13(lon: Column, lat: Column) -> tuple[Column, Column]:
         61 * n**3 / 240,
     )
     ecc = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = lat * DEG, (lon - UTM_ZONE13_MERIDIAN) * DEG
-    sin_phi = F.sin(phi)
-    conformal = F.sinh(F.atanh(sin_phi) - F.atanh(sin_phi * ecc) * ecc)
+    phi, lam = F.radians(lat), F.radians(lon - UTM_ZONE13_MERIDIAN)
+    conformal = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * ecc) * ecc)
     xi = F.atan2(conformal, F.cos(lam))
     eta = F.atanh(F.sin(lam) / F.sqrt(conformal * conformal + 1))
     east, north = eta, xi

@@ -53,8 +53,8 @@ def nearest_in_time(
     timeline = Window.partitionBy(*keys).orderBy("_at", "_side")
     back = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = timeline.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    gap_back = F.abs(seconds_between(F.col("_at"), F.col("_before.ts")))
-    gap_ahead = F.abs(seconds_between(F.col("_at"), F.col("_after.ts")))
+    gap_back = F.abs(seconds_between("_at", "_before.ts"))
+    gap_ahead = F.abs(seconds_between("_at", "_after.ts"))
     use_before = F.col("_after").isNull() | (gap_back <= gap_ahead)
     best = F.when(F.col("_before").isNotNull() & use_before, F.col("_before")).otherwise(
         F.col("_after")
@@ -68,6 +68,6 @@ def nearest_in_time(
             *[F.col(c) if c in keys else F.col(f"_left.{c}").alias(c) for c in left.columns],
             F.col("_best.ts").alias(right_ts),
             F.col("_best.value").alias(right_value),
-            F.abs(seconds_between(F.col("_at"), F.col("_best.ts"))).alias("dt_abs"),
+            F.abs(seconds_between("_at", "_best.ts")).alias("dt_abs"),
         )
     )

@@ -20,31 +20,32 @@ def minmax_score(df: DataFrame, column: str, output: str, when_flat: float | Non
     When every value is equal all rows get ``when_flat``, rows with a NULL value included; otherwise NULL
     stays NULL.
     """
-    bounds = _bounds(df, column)
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    scaled = (F.col(column) - lo) / F.nullif(hi - lo, F.lit(0).cast("double")) * 100
-    flat = F.lit(when_flat).cast("double")
-    score = F.when(hi == lo, flat).otherwise(scaled)
-    return df.withColumn(output, F.round(score.cast("double"), 1))
+    flat = "null" if when_flat is None else f"{when_flat!r}D"
+    scaled = f"({column} - _b.lo) / nullif(cast(_b.hi - _b.lo as double), 0D) * 100"
+    score = f"round(cast(case when _b.hi = _b.lo then {flat} else {scaled} end as double), 1)"
+    return (
+        df.withColumn("_b", _bounds(df, column)).withColumn(output, F.expr(score)).drop("_b")
+    )
 
 
 def dense_rank_desc(
-    df: DataFrame, column: str, output: str, buckets: int = RANK_BUCKETS
+    df: DataFrame,
+    column: str,
+    output: str,
+    low: float = 0.0,
+    high: float = 100.0,
+    buckets: int = RANK_BUCKETS,
 ) -> DataFrame:
     """Dense rank over the whole relation, greatest first, NULL last.
 
-    Distinct values are cut into equal-width buckets between the least and the greatest. Each
-    bucket ranks its own values and adds the number of distinct values in higher buckets, so
-    only the ``buckets`` counts ever meet in one task.
+    Distinct values are cut into buckets of equal width between ``low`` and ``high``; values
+    beyond them belong to the end buckets, so the rank is right for any value. Each bucket ranks
+    its own values and adds the number of distinct values in higher buckets: only the
+    ``buckets`` counts ever meet in one task.
     """
-    bounds = _bounds(df, column)
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    width = F.nullif((hi - lo) / buckets, F.lit(0).cast("double"))
-    place = F.least(F.floor((F.col(column) - lo) / width), F.lit(buckets - 1))
-    values = df.select(column).distinct().withColumn(
-        "_bucket",
-        F.when(F.col(column).isNull(), -1).otherwise(F.coalesce(place, F.lit(0))).cast("int"),
-    )
+    place = f"floor(({column} - {low!r}D) / {(high - low) / buckets!r}D)"
+    bucket = f"if({column} is null, -1, greatest(0, least({buckets - 1}, {place})))"
+    values = df.select(column).distinct().withColumn("_bucket", F.expr(f"cast({bucket} as int)"))
     higher = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         values.groupBy("_bucket")
@@ -56,7 +57,7 @@ def dense_rank_desc(
         F.col(column).alias("_value"),
         (F.col("_above") + F.row_number().over(inside)).alias(output),
     )
-    return df.join(ranks, df[column].eqNullSafe(ranks["_value"]), "left").drop("_value")
+    return df.join(ranks, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def share_of_total(df: DataFrame, column: str) -> Column:

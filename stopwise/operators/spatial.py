@@ -8,20 +8,20 @@ by the exact test.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.functions import geo
+from stopwise.functions.steps import computed
 from stopwise.operators.skew import ROWS_PER_SPLIT, join_splitting_hot_keys
 
 CELL = ("_cx", "_cy")
 # The reach is widened a little to cover rounding.
 REACH_SLACK = 1.001
-MIN_COSINE = 0.01
 
 
-def _cos(lat: Column) -> Column:
-    return F.greatest(F.cos(lat * geo.DEG), F.lit(MIN_COSINE))
+def _cos(lat: str) -> str:
+    return f"greatest(cos({lat} * {geo.DEG!r}D), 0.01D)"
 
 
 class Grid:
@@ -31,56 +31,68 @@ class Grid:
         self.reach = radius_m / geo.METERS_PER_DEGREE * REACH_SLACK
         self.step = max(cell_m or 0.0, radius_m) / geo.METERS_PER_DEGREE * REACH_SLACK
 
-    def _row(self, lat: Column) -> Column:
-        return F.floor(lat / self.step)
+    def _row(self, lat: str) -> str:
+        return f"floor(({lat}) / {self.step!r}D)"
 
-    def _column(self, lon: Column, row: Column) -> Column:
-        return F.floor(lon * _cos((row + 0.5) * self.step) / self.step)
+    def _column(self, lon: str) -> str:
+        """Cell column within the row ``_cy``."""
+        return f"floor(({lon}) * {_cos(f'(_cy + 0.5D) * {self.step!r}D')} / {self.step!r}D)"
+
+    def margin(self, lat: str) -> str:
+        """Degrees of longitude that the radius spans up to a latitude."""
+        return f"{self.reach!r}D / {_cos(f'({lat} + {self.reach!r}D)')}"
 
     def cell(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
         """Each row with the one cell it lies in."""
-        df = df.withColumn("_cy", self._row(F.col(lat)))
-        return df.withColumn("_cx", self._column(F.col(lon), F.col("_cy")))
-
-    def _explode(
-        self, df: DataFrame, south: Column, north: Column, west: Column, east: Column
-    ) -> DataFrame:
-        rows = F.sequence(self._row(south - self.reach), self._row(north + self.reach))
-        df = df.withColumn("_cy", F.explode(rows))
-        farthest = F.greatest(F.abs(south), F.abs(north)) + self.reach
-        margin = self.reach / _cos(farthest)
-        columns = F.sequence(
-            self._column(west - margin, F.col("_cy")), self._column(east + margin, F.col("_cy"))
+        return df.selectExpr("*", f"{self._row(lat)} as _cy").selectExpr(
+            "*", f"{self._column(lon)} as _cx"
         )
-        return df.withColumn("_cx", F.explode(columns))
-
-    def reach_of_point(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
-        """Each row once per cell a partner may lie in."""
-        lon, lat = F.col(lon), F.col(lat)
-        return self._explode(df, lat, lat, lon, lon)
 
     def reach_of_box(
         self, df: DataFrame, west: str, south: str, east: str, north: str
     ) -> DataFrame:
-        return self._explode(df, F.col(south), F.col(north), F.col(west), F.col(east))
+        """Each row once per cell a partner of its box may lie in."""
+        low, high = f"{south} - {self.reach!r}D", f"{north} + {self.reach!r}D"
+        margin = self.margin(f"greatest(abs({south}), abs({north}))")
+        rows = f"explode(sequence({self._row(low)}, {self._row(high)})) as _cy"
+        first, last = self._column(f"{west} - {margin}"), self._column(f"{east} + {margin}")
+        return df.selectExpr("*", rows).selectExpr(
+            "*", f"explode(sequence({first}, {last})) as _cx"
+        )
+
+    def reach_of_point(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
+        return self.reach_of_box(df, lon, lat, lon, lat)
 
     def reach_of_chord(self, df: DataFrame) -> DataFrame:
         """Each chord once per reachable cell, in number proportional to its length.
 
         In a row of cells only the part of the chord that passes near the row counts.
         """
-        lon1, lat1, lon2, lat2 = (F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))
-        dlat = F.nullif(lat2 - lat1, F.lit(0.0))
-        floor_lat = F.col("_cy") * self.step - self.reach
-        ceil_lat = (F.col("_cy") + 1) * self.step + self.reach
-
-        def along(lat: Column, when_flat: float) -> Column:
-            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - lat1) / dlat))
-            return lon1 + F.when(dlat.isNull(), F.lit(when_flat)).otherwise(t) * (lon2 - lon1)
-
-        ends = (along(floor_lat, 0.0), along(ceil_lat, 1.0))
-        return self._explode(
-            df, F.least(lat1, lat2), F.greatest(lat1, lat2), F.least(*ends), F.greatest(*ends)
+
+        def along(lat: str, when_flat: float) -> str:
+            t = f"greatest(0D, least(1D, ({lat} - lat1) / nullif(lat2 - lat1, 0D)))"
+            t = f"case when lat1 = lat2 then {when_flat}D else {t} end"
+            return f"lon1 + ({t}) * (lon2 - lon1)"
+
+        low = f"least(lat1, lat2) - {self.reach!r}D"
+        high = f"greatest(lat1, lat2) + {self.reach!r}D"
+        margin = self.margin("greatest(abs(lat1), abs(lat2))")
+        return (
+            df.selectExpr(
+                "*", f"explode(sequence({self._row(low)}, {self._row(high)})) as _cy"
+            )
+            .selectExpr(
+                "*",
+                along(f"(_cy * {self.step!r}D - {self.reach!r}D)", 0.0) + " as _from",
+                along(f"((_cy + 1) * {self.step!r}D + {self.reach!r}D)", 1.0) + " as _to",
+                f"{margin} as _margin",
+            )
+            .selectExpr(
+                "*",
+                f"explode(sequence({self._column('least(_from, _to) - _margin')}, "
+                f"{self._column('greatest(_from, _to) + _margin')})) as _cx",
+            )
+            .drop("_from", "_to", "_margin")
         )
 
 
@@ -93,7 +105,6 @@ def points_within(
     the one repeated over its neighbour cells, so give it the smaller relation.
     """
     grid = Grid(radius_m)
-    distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))
     pairs = join_splitting_hot_keys(
         grid.cell(right, "r_lon", "r_lat"),
         grid.reach_of_point(left, "lon", "lat"),
@@ -101,11 +112,8 @@ def points_within(
         spread_by=("r_lon", "r_lat"),
         rows_per_split=rows_per_split,
     )
-    return (
-        pairs.withColumn("distance_m", distance)
-        .where(F.col("distance_m") <= radius_m)
-        .drop(*CELL)
-    )
+    measured = computed(pairs, distance_m=geo.haversine_m("lon", "lat", "r_lon", "r_lat"))
+    return measured.where(F.col("distance_m") <= radius_m).drop(*CELL)
 
 
 def chord_lengths_within(
@@ -120,9 +128,6 @@ def chord_lengths_within(
     cell, so a pair meets once. Pairs that only touch have length 0 and are left out.
     """
     grid = Grid(radius_m)
-    lon0, lat0 = F.col("lon"), F.col("lat")
-    x1, x2 = (geo.plane_x(F.col(c), lon0, lat0) for c in ("lon1", "lon2"))
-    y1, y2 = (geo.plane_y(F.col(c), lat0) for c in ("lat1", "lat2"))
     pairs = join_splitting_hot_keys(
         grid.reach_of_chord(chords),
         grid.cell(points, "lon", "lat"),
@@ -130,46 +135,22 @@ def chord_lengths_within(
         spread_by=("lon1", "lat1", "lon2", "lat2"),
         rows_per_split=rows_per_split,
     )
-    return (
-        pairs.withColumn("inside_m", geo.chord_in_disc_m(x1, y1, x2, y2, radius_m))
-        .where(F.col("inside_m") > 0)
-        .drop(*CELL)
-    )
-
-
-def _extreme(name: str, choose) -> Column:
-    return choose(F.transform("edges", lambda e: e[name]))
+    return geo.with_chord_in_disc(pairs, radius_m, "inside_m").where("inside_m > 0").drop(*CELL)
 
 
 def with_box(polygons: DataFrame) -> DataFrame:
     """Polygons that have edges, with the box around them; rings are closed."""
-    return polygons.where(F.size("edges") > 0).withColumns(
-        {
-            "_west": _extreme("lon1", F.array_min),
-            "_south": _extreme("lat1", F.array_min),
-            "_east": _extreme("lon1", F.array_max),
-            "_north": _extreme("lat1", F.array_max),
-        }
+    sides = {
+        "_west": "array_min(edges.lon1)",
+        "_south": "array_min(edges.lat1)",
+        "_east": "array_max(edges.lon1)",
+        "_north": "array_max(edges.lat1)",
+    }
+    return polygons.where("size(edges) > 0").selectExpr(
+        "*", *[f"{v} as {k}" for k, v in sides.items()]
     )
 
 
-def _edge_test(lon0: Column, lat0: Column) -> Column:
-    """Least squared distance to the edges and whether a ray east crosses an odd number."""
-
-    def step(acc: Column, edge: Column) -> Column:
-        x1, x2 = geo.plane_x(edge["lon1"], lon0, lat0), geo.plane_x(edge["lon2"], lon0, lat0)
-        y1, y2 = geo.plane_y(edge["lat1"], lat0), geo.plane_y(edge["lat2"], lat0)
-        at = x1 - y1 * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))
-        crosses = ((y1 > 0) != (y2 > 0)) & (at > 0)
-        return F.struct(
-            F.least(acc["d2"], geo.origin_to_segment_m2(x1, y1, x2, y2)).alias("d2"),
-            (acc["odd"] != F.coalesce(crosses, F.lit(False))).alias("odd"),
-        )
-
-    start = F.struct(F.lit(float("inf")).alias("d2"), F.lit(False).alias("odd"))
-    return F.aggregate("edges", start, step)
-
-
 def points_near_polygons(
     points: DataFrame,
     polygons: DataFrame,
@@ -178,16 +159,17 @@ def points_near_polygons(
     cell_m: float = 2_000.0,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """Pairs of points and polygon keys: inside, or at most ``radius_m`` from an edge.
+    """Pairs of points and polygons: inside, or at most ``radius_m`` from an edge.
 
     Points carry ``lon, lat``. Polygons carry ``edges``, an array of
     ``struct<lon1,lat1,lon2,lat2>`` over all their rings; odd crossings of a ray cover holes
-    and several parts. Boxes alone meet the points on the grid; the edges then travel once per
-    polygon, and the exact test stays inside the row.
+    and several parts. Boxes alone meet the points on the grid, then the edges of a polygon
+    travel once. All edges of a pair are unfolded in the task that holds it, so the grouping
+    is finished map-side and shuffles one row per pair. Other polygon columns stay in the result.
     """
     grid = Grid(radius_m, cell_m)
     boxes = with_box(polygons).select(polygon_key, "_west", "_south", "_east", "_north")
-    margin_lon = grid.reach / _cos(F.abs("lat") + grid.reach)
+    margin = grid.margin("abs(lat)")
     candidates = (
         join_splitting_hot_keys(
             grid.cell(points, "lon", "lat"),
@@ -196,17 +178,24 @@ def points_near_polygons(
             spread_by=("lon", "lat"),
             rows_per_split=rows_per_split,
         )
-        .where(F.col("lat").between(F.col("_south") - grid.reach, F.col("_north") + grid.reach))
-        .where(F.col("lon").between(F.col("_west") - margin_lon, F.col("_east") + margin_lon))
-        .drop(*CELL, "_west", "_south", "_east", "_north")
+        .where(f"lat between _south - {grid.reach!r}D and _north + {grid.reach!r}D")
+        .where(f"lon between _west - {margin} and _east + {margin}")
+        .select("lon", "lat", polygon_key)
+    )
+    kept = [c for c in polygons.columns if c not in (polygon_key, "edges")]
+    unfolded = geo.with_plane_chord(
+        candidates.join(polygons, polygon_key).selectExpr(
+            "lon", "lat", polygon_key, *kept, "inline(edges)"
+        )
+    )
+    tested = unfolded.groupBy("lon", "lat", polygon_key, *kept).agg(
+        F.expr(f"min({geo.EDGE_DISTANCE_M2}) as _d2"),
+        F.expr(f"count_if({geo.CROSSES_RAY}) as _crossings"),
     )
     return (
-        candidates.join(polygons.select(polygon_key, "edges"), polygon_key)
-        .withColumn("_hit", _edge_test(F.col("lon"), F.col("lat")))
-        .withColumn(
-            "distance_m",
-            F.when(F.col("_hit.odd"), F.lit(0.0)).otherwise(F.sqrt("_hit.d2")),
+        tested.withColumn(
+            "distance_m", F.expr("case when _crossings % 2 = 1 then 0D else sqrt(_d2) end")
         )
         .where(F.col("distance_m") <= radius_m)
-        .drop("_hit", "edges")
+        .drop("_d2", "_crossings")
     )

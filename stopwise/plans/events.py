@@ -12,7 +12,7 @@ from stopwise.functions.clock import (
     local_date,
     local_hour,
     seconds_between,
-    service_time_to_instant,
+    service_instant,
     utc_date,
 )
 from stopwise.operators.skew import never_matching
@@ -33,7 +33,7 @@ def recent(feed: DataFrame, params: Params, incremental: bool = False) -> DataFr
     else:
         since = params.now - timedelta(days=params.rt_lookback_days)
         first_day = params.now.date() - timedelta(days=params.rt_lookback_days)
-    day = F.col("feed_date") if "feed_date" in feed.columns else utc_date(F.col("feed_ts_utc"))
+    day = F.col("feed_date") if "feed_date" in feed.columns else utc_date("feed_ts_utc")
     return feed.where((day >= F.lit(first_day)) & (F.col("feed_ts_utc") >= _instant(since)))
 
 
@@ -119,11 +119,10 @@ def rt_events(
     events = merge_feeds(
         recent(updates, params, incremental), recent(positions, params, incremental)
     )
-    event = F.col("event_ts_utc")
     events = events.withColumns(
         {
-            "event_date_mst": local_date(event, params.zone),
-            "event_hour_mst": local_hour(event, params.zone),
+            "event_date_mst": local_date("event_ts_utc", params.zone),
+            "event_hour_mst": local_hour("event_ts_utc", params.zone),
             # Events without a stop (positions alone) must not meet in one task.
             "_stop": never_matching(F.col("stop_id"), F.col("feed_ts_utc"), F.col("trip_id")),
         }
@@ -133,21 +132,28 @@ def rt_events(
         "trip_id",
         F.col("stop_id").alias("_stop"),
         "stop_sequence",
-        "arrival_time",
-        "departure_time",
+        "arrival_sec",
+        "departure_sec",
         "service_dates",
     )
-    joined = events.join(dimension, "trip_id", "left").join(
-        times, ["trip_id", "_stop", "stop_sequence"], "left"
+    joined = (
+        events.join(dimension, "trip_id", "left")
+        .join(times, ["trip_id", "_stop", "stop_sequence"], "left")
+        .withColumn("_runs", F.expr("array_contains(service_dates, event_date_mst)"))
+        .withColumns(
+            {
+                f"_{kind}": F.when(
+                    F.col("_runs"),
+                    service_instant("event_date_mst", f"{kind}_sec", params.zone),
+                )
+                for kind in ("arrival", "departure")
+            }
+        )
     )
-    day = F.col("event_date_mst")
 
-    def delay(reported: str, text: str) -> Column:
-        scheduled = F.when(
-            F.array_contains("service_dates", day),
-            service_time_to_instant(day, F.col(text), params.zone),
-        )
-        return F.coalesce(F.col(reported), seconds_between(event, scheduled)).alias(reported)
+    def delay(reported: str, scheduled: str) -> Column:
+        late = seconds_between("event_ts_utc", scheduled)
+        return F.coalesce(reported, late).alias(reported)
 
     return joined.select(
         "feed_ts_utc",
@@ -157,8 +163,8 @@ def rt_events(
         "vp_entity_id",
         "stop_id",
         "stop_sequence",
-        delay("arrival_delay_sec", "arrival_time"),
-        delay("departure_delay_sec", "departure_time"),
+        delay("arrival_delay_sec", "_arrival"),
+        delay("departure_delay_sec", "_departure"),
         "schedule_relationship",
         "vehicle_id",
         "vehicle_label",
@@ -166,7 +172,7 @@ def rt_events(
         "lat",
         "bearing",
         "speed_mps",
-        geo.point(F.col("lon"), F.col("lat")).alias("geom"),
+        geo.point("lon", "lat").alias("geom"),
         "event_ts_utc",
         "direction_id",
         "trip_headsign",

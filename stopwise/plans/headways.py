@@ -22,7 +22,8 @@ def _headways(arrivals: DataFrame, ts: str, output: str) -> DataFrame:
     """
     distinct = arrivals.select(*KEYS, ts).where(F.col(ts).isNotNull()).dropDuplicates()
     previous = F.lag(ts).over(Window.partitionBy(*KEYS).orderBy(ts))
-    return distinct.withColumn(output, seconds_between(F.col(ts), previous))
+    gaps = distinct.withColumn("_previous", previous)
+    return gaps.withColumn(output, seconds_between(ts, "_previous")).drop("_previous")
 
 
 def headways_observed(

@@ -34,7 +34,7 @@ def crash_points(crashes: DataFrame, params: Params = Params()) -> DataFrame:
     The window ends at the newest crash and includes both end dates, by UTC date. Crashes are
     geocoded to street addresses and crossings, so many share a position.
     """
-    day = utc_date(F.col("event_ts_utc"))
+    day = utc_date("event_ts_utc")
     newest = crashes.agg(F.max(day).alias("as_of_date")).scalar()
     recent = crashes.where(
         day.between(F.date_sub(newest, params.crash_window_days), newest)
@@ -50,7 +50,7 @@ def crash_points(crashes: DataFrame, params: Params = Params()) -> DataFrame:
 
 def crash_pairs(stops: DataFrame, crashes: DataFrame, params: Params = Params()) -> DataFrame:
     """Each stop with each crash of the window inside the outer radius, and the distance."""
-    day = utc_date(F.col("event_ts_utc"))
+    day = utc_date("event_ts_utc")
     newest = crashes.agg(F.max(day).alias("as_of_date")).scalar()
     recent = crashes.where(
         day.between(F.date_sub(newest, params.crash_window_days), newest)
@@ -77,7 +77,7 @@ def crash_proximity_by_stop(
             counted = F.sum(F.when(inside, F.col(column)).otherwise(0))
             sums.append(counted.alias(f"{kind}_{label}_cnt"))
     counts = near.groupBy("lon", "lat").agg(*sums)
-    as_of = crashes.agg(F.max(utc_date(F.col("event_ts_utc"))).alias("as_of_date")).scalar()
+    as_of = crashes.agg(F.max(utc_date("event_ts_utc")).alias("as_of_date")).scalar()
     return placed.join(counts, ["lon", "lat"], "left").select(
         "stop_id",
         as_of.alias("as_of_date"),

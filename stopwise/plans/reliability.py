@@ -89,7 +89,7 @@ def stop_hour_headways(
     adherence: DataFrame, params: Params = Params(), exact: bool = False
 ) -> DataFrame:
     """Adherence rate and observed headway quantiles per stop, date and local hour."""
-    hour = local_hour(F.col("event_ts_utc"), params.zone).alias("event_hour_mst")
+    hour = local_hour("event_ts_utc", params.zone).alias("event_hour_mst")
     return adherence.groupBy("stop_id", "service_date_mst", hour).agg(
         F.avg("headway_adherent").alias("headway_adherence_rate"),
         quantile("obs_headway_sec", 0.5, exact).alias("obs_headway_sec_p50"),

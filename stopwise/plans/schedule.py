@@ -11,9 +11,9 @@ from stopwise.functions.clock import (
     WEEKDAYS,
     parse_yyyymmdd,
     runs_on,
-    service_time_to_instant,
+    service_instant,
+    service_seconds,
 )
-from stopwise.functions.safe import blank_to_null
 from stopwise.operators.latest import newest_partition
 from stopwise.params import Params
 
@@ -27,7 +27,7 @@ def service_dates(
     made that the window drops. Removed dates go, added dates come, also for services the
     weekly calendar does not know.
     """
-    start, end = (parse_yyyymmdd(F.col(c)) for c in ("start_date", "end_date"))
+    start, end = parse_yyyymmdd("start_date"), parse_yyyymmdd("end_date")
     calendar = (
         newest_partition(raw_calendar)
         .select(
@@ -41,11 +41,11 @@ def service_dates(
     )
     regular = calendar.withColumn(
         "service_date", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day")))
-    ).where(runs_on(F.col("service_date"), {n: F.col(n) == 1 for n in WEEKDAYS}))
+    ).where(runs_on("service_date"))
 
     exceptions = (
         newest_partition(raw_calendar_dates)
-        .select("service_id", "exception_type", parse_yyyymmdd(F.col("date")).alias("service_date"))
+        .select("service_id", "exception_type", parse_yyyymmdd("date").alias("service_date"))
         .where(F.col("service_date").between(F.lit(first), F.lit(last)))
     )
     keys = ["service_id", "service_date"]
@@ -56,9 +56,9 @@ def service_dates(
 
 
 def trip_patterns(trips: DataFrame, running: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Stop times of each trip with the array of dates the trip runs.
+    """Stop times of each trip on the service-day clock, with the dates the trip runs.
 
-    This is the schedule before expansion: one row per stop time, whatever the number of dates.
+    Stop times with neither an arrival nor a departure are left out. This is the schedule before expansion: one row per stop time, whatever the number of dates.
     The array is bounded by the days of the expansion window.
     """
     dates = running.groupBy("service_id").agg(
@@ -71,9 +71,9 @@ def trip_patterns(trips: DataFrame, running: DataFrame, stop_times: DataFrame) -
         "trip_id",
         "stop_id",
         "stop_sequence",
-        blank_to_null(F.col("arrival_time")).alias("arrival_time"),
-        blank_to_null(F.col("departure_time")).alias("departure_time"),
-    )
+        service_seconds("arrival_time").alias("arrival_sec"),
+        service_seconds("departure_time").alias("departure_sec"),
+    ).where("arrival_sec is not null or departure_sec is not null")
     return running_trips.drop("service_id").join(times, "trip_id")
 
 
@@ -82,24 +82,21 @@ def scheduled_arrivals(patterns: DataFrame, params: Params = Params()) -> DataFr
 
     Dates multiply the rows here, after every join is done.
     """
-    day = F.col("service_date_mst")
     return (
-        patterns.withColumn("service_date_mst", F.explode("service_dates"))
-        .select(
+        patterns.withColumn("service_date_mst", F.explode("service_dates")).select(
             "trip_id",
             "stop_id",
             "stop_sequence",
             "route_id",
             "direction_id",
-            service_time_to_instant(day, F.col("arrival_time"), params.zone).alias(
+            service_instant("service_date_mst", "arrival_sec", params.zone).alias(
                 "sched_arrival_ts_mst"
             ),
-            service_time_to_instant(day, F.col("departure_time"), params.zone).alias(
+            service_instant("service_date_mst", "departure_sec", params.zone).alias(
                 "sched_departure_ts_mst"
             ),
             "service_date_mst",
         )
-        .where("sched_arrival_ts_mst is not null or sched_departure_ts_mst is not null")
     )
 
 

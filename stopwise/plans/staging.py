@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stopwise.functions import geo
 from stopwise.functions.clock import WEEKDAYS, local_date, local_hour
 from stopwise.functions.safe import blank_to_null, to_long
+from stopwise.functions.steps import computed
 from stopwise.operators.latest import first_in_order, newest, newest_partition
 from stopwise.params import Params
 
@@ -34,66 +35,51 @@ def crashes(raw: DataFrame, params: Params = Params()) -> DataFrame:
     """Located crashes, the newest event and worst severity per crash."""
     rows = raw.select(*CRASH_COLUMNS).where("lon is not null and lat is not null")
     rows = newest(rows, ["crash_id"], ["event_ts_utc", "severity"])
-    ts = F.col("event_ts_utc")
     return rows.select(
         "crash_id",
         "event_ts_utc",
         "severity",
         "severity_text",
-        geo.point(F.col("lon"), F.col("lat")).alias("geom"),
+        geo.point("lon", "lat").alias("geom"),
         "roadway_name",
         "on_route",
         "off_route",
         "bike_involved",
         "ped_involved",
-        local_date(ts, params.zone).alias("event_date_mst"),
-        local_hour(ts, params.zone).alias("event_hour_mst"),
+        local_date("event_ts_utc", params.zone).alias("event_date_mst"),
+        local_hour("event_ts_utc", params.zone).alias("event_hour_mst"),
     )
 
 
 def tracts(raw: DataFrame) -> DataFrame:
     """Newest load per tract, with its edges parsed from the GeoJSON text."""
     rows = raw.select("geoid", "name", "aland_m2", "awater_m2", "geometry_geojson", "_ingested_at")
-    return newest(rows, ["geoid"], ["_ingested_at"]).select(
-        "geoid",
-        "name",
-        "aland_m2",
-        "awater_m2",
-        geojson_edges(F.col("geometry_geojson")).alias("edges"),
+    latest = newest(rows, ["geoid"], ["_ingested_at"])
+    return computed(latest, edges=geojson_edges("geometry_geojson")).select(
+        "geoid", "name", "aland_m2", "awater_m2", "edges"
     )
 
 
-def geojson_edges(text: Column) -> Column:
+def geojson_edges(text: str) -> Column:
     """All ring edges of a GeoJSON Polygon or MultiPolygon as one array.
 
     Rings are closed when the text leaves them open and zero-length edges are dropped. Text
     that is neither kind of polygon gives NULL.
     """
-    kind = F.get_json_object(text, "$.type")
-    coordinates = F.get_json_object(text, "$.coordinates")
+    coordinates = f"get_json_object({text}, '$.coordinates')"
     ring = "array<array<array<double>>>"
-    rings = F.when(kind == "Polygon", F.from_json(coordinates, ring)).when(
-        kind == "MultiPolygon", F.flatten(F.from_json(coordinates, f"array<{ring}>"))
+    rings = (
+        f"case get_json_object({text}, '$.type') "
+        f"when 'Polygon' then from_json({coordinates}, '{ring}') "
+        f"when 'MultiPolygon' then flatten(from_json({coordinates}, 'array<{ring}>')) end"
     )
-
-    def edges_of(points: Column) -> Column:
-        closed = F.when(
-            F.element_at(points, 1) == F.element_at(points, -1), points
-        ).otherwise(F.concat(points, F.slice(points, 1, 1)))
-        starts = F.slice(closed, F.lit(1), F.size(closed) - 1)
-        ends = F.slice(closed, F.lit(2), F.size(closed) - 1)
-        return F.zip_with(
-            starts,
-            ends,
-            lambda a, b: F.struct(
-                a[0].alias("lon1"), a[1].alias("lat1"), b[0].alias("lon2"), b[1].alias("lat2")
-            ),
-        )
-
-    whole = F.filter(rings, lambda r: F.size(r) >= 2)
-    edges = F.flatten(F.transform(whole, edges_of))
-    return F.filter(
-        edges, lambda e: (e["lon1"] != e["lon2"]) | (e["lat1"] != e["lat2"])
+    edges = (
+        "zip_with(r, concat(slice(r, 2, size(r)), slice(r, 1, 1)), (a, b) -> "
+        "struct(a[0] as lon1, a[1] as lat1, b[0] as lon2, b[1] as lat2))"
+    )
+    return F.expr(
+        f"filter(flatten(transform(filter({rings}, r -> size(r) >= 2), r -> {edges})), "
+        "e -> e.lon1 != e.lon2 or e.lat1 != e.lat2)"
     )
 
 
@@ -124,7 +110,7 @@ def stops(raw: DataFrame) -> DataFrame:
         "stop_name",
         "stop_lat",
         "stop_lon",
-        geo.point(F.col("stop_lon"), F.col("stop_lat")).alias("geom"),
+        geo.point("stop_lon", "stop_lat").alias("geom"),
         to_long(F.col("wheelchair_boarding")).alias("wheelchair_boarding"),
     )
 
@@ -193,8 +179,6 @@ def sidewalks(raw: DataFrame, all_extracts: bool = False) -> DataFrame:
         "material",
         "year_built",
         "length_m",
-        geo.chord(*[F.col(c) for c in ("lon_start", "lat_start", "lon_end", "lat_end")]).alias(
-            "geom"
-        ),
-        geo.point(F.col("centroid_lon"), F.col("centroid_lat")).alias("centroid"),
+        geo.chord("lon_start", "lat_start", "lon_end", "lat_end").alias("geom"),
+        geo.point("centroid_lon", "centroid_lat").alias("centroid"),
     )
