@@ -18,6 +18,7 @@ SPARK_KIND: dict[str, Callable[[Column], Column]] = {
     "i": lambda c: c.cast("long"),
     "b": lambda c: c.cast("int").cast("long"),
     "f": lambda c: F.round(c.cast("double"), 6),
+    "p": lambda c: F.round(c.cast("double"), 8),
     "d": lambda c: c.cast("string"),
     "t": lambda c: F.unix_micros(c),
     "a": lambda c: F.concat_ws(",", c),
@@ -27,6 +28,7 @@ SQL_KIND = {
     "i": "CAST({c} AS BIGINT)",
     "b": "CAST({c} AS BIGINT)",
     "f": "round(CAST({c} AS DOUBLE), 6)",
+    "p": "round(CAST({c} AS DOUBLE), 8)",
     "d": "CAST(CAST({c} AS DATE) AS VARCHAR)",
     "t": "epoch_us({c})",
     "a": "coalesce(array_to_string({c}, ','), '')",

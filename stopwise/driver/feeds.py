@@ -301,8 +301,8 @@ def _sidewalk_features(m: Model):
 
 @register(
     "sidewalk_flatten",
-    "sidewalk_id:s class:s status:s material:s year_built:s lon_start:f lat_start:f lon_end:f "
-    "lat_end:f centroid_lon:f centroid_lat:f",
+    "sidewalk_id:s class:s status:s material:s year_built:s lon_start:p lat_start:p lon_end:p "
+    "lat_end:p centroid_lon:p centroid_lat:p",
     """SELECT CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_orderkey AS VARCHAR)
                    ELSE concat('f', l_orderkey) END AS sidewalk_id,
               'detached' AS class, '' AS status, 'brick' AS material,
@@ -566,30 +566,30 @@ def _gtfs_validation(m: Model):
     "local_time_parts",
     "event_id:i day:d hour:i",
     """SELECT event_id,
-              CAST(timezone('America/Denver', timezone('UTC', at)) AS DATE) AS day,
-              hour(timezone('America/Denver', timezone('UTC', at))) AS hour
-       FROM (SELECT event_id, ts + to_hours(CAST(event_id % 8760 AS INTEGER)) AS at
+              CAST(timezone('America/Denver', timezone('UTC', moment)) AS DATE) AS day,
+              hour(timezone('America/Denver', timezone('UTC', moment))) AS hour
+       FROM (SELECT event_id, ts + to_hours(CAST(event_id % 8760 AS INTEGER)) AS moment
              FROM events) AS e""",
 )
 def _local_time_parts(m: Model):
     """Instants spread over a year, both clock changes included."""
     rows = m.inputs.events.selectExpr(
         "event_id",
-        "cast(ts as timestamp) + make_interval(0, 0, 0, 0, cast(event_id % 8760 as int)) as at",
+        "cast(ts as timestamp) + make_interval(0, 0, 0, 0, cast(event_id % 8760 as int)) as moment",
     )
     zone = m.params.zone
     return rows.select(
-        "event_id", local_date("at", zone).alias("day"), local_hour("at", zone).alias("hour")
+        "event_id", local_date("moment", zone).alias("day"), local_hour("moment", zone).alias("hour")
     )
 
 
 @register(
     "service_clock",
-    "l_orderkey:i l_linenumber:i at:t",
+    "l_orderkey:i l_linenumber:i moment:t",
     """SELECT l_orderkey, l_linenumber,
               CASE WHEN l_partkey % 70 < 60 THEN timezone('UTC', timezone('America/Denver',
                    l_shipdate + to_hours(CAST(l_suppkey % 30 AS INTEGER))
-                   + to_minutes(CAST(l_partkey % 70 AS INTEGER)) + INTERVAL 30 SECOND)) END AS at
+                   + to_minutes(CAST(l_partkey % 70 AS INTEGER)) + INTERVAL 30 SECOND)) END AS moment
        FROM lineitem WHERE month(l_shipdate) NOT IN (3, 4, 10, 11)
        UNION ALL
        SELECT l_orderkey, l_linenumber,
@@ -608,7 +608,7 @@ def _service_clock(m: Model):
               if(l_partkey % 70 < 60, '12:00:00', '12:61:00'),
               concat(l_suppkey % 30, ':', lpad(l_partkey % 70, 2, '0'), ':30')) as text""",
     ).withColumn("sec", service_seconds("text"))
-    return rows.withColumn("at", service_instant("day", "sec", zone))
+    return rows.withColumn("moment", service_instant("day", "sec", zone))
 
 
 @register(

@@ -12,6 +12,11 @@ from stopwise.operators.nearest import nearest_in_time
 from stopwise.params import Params
 
 KEYS = ["route_id", "direction_id", "stop_id", "service_date_mst"]
+ADHERENCE_DDL = (
+    "route_id string, direction_id long, stop_id string, service_date_mst date, "
+    "event_ts_utc timestamp, obs_headway_sec long, sch_headway_sec long, dt_abs long, "
+    "headway_adherent int"
+)
 
 
 def _headways(arrivals: DataFrame, ts: str, output: str) -> DataFrame:
