@@ -45,27 +45,22 @@ def haversine_m(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     )
 
 
-def plane_x(lon: str, lon0: str, lat0: str) -> str:
-    """SQL text: metres east of (lon0, lat0) on the local plane."""
-    return f"({lon} - {lon0}) * {METERS_PER_DEGREE!r}D * cos({lat0} * {DEG!r}D)"
-
-
-def plane_y(lat: str, lat0: str) -> str:
-    """SQL text: metres north of lat0 on the local plane."""
-    return f"({lat} - {lat0}) * {METERS_PER_DEGREE!r}D"
+def with_plane_scale(df: DataFrame) -> DataFrame:
+    """Add ``_kx``: metres per degree of longitude at ``lat``."""
+    return df.selectExpr("*", f"{METERS_PER_DEGREE!r}D * cos(lat * {DEG!r}D) as _kx")
 
 
 def with_plane_chord(df: DataFrame) -> DataFrame:
     """Add the chord ``lon1, lat1, lon2, lat2`` in metres around ``lon, lat``.
 
-    Start ``_x1, _y1``, direction ``_dx, _dy``, squared length ``_a`` (NULL when zero) and the
+    It needs ``_kx``. Start ``_x1, _y1``, direction ``_dx, _dy``, squared length ``_a`` (NULL when zero) and the
     start's component along the direction ``_b``.
     """
     ends = {
-        "_x1": plane_x("lon1", "lon", "lat"),
-        "_y1": plane_y("lat1", "lat"),
-        "_x2": plane_x("lon2", "lon", "lat"),
-        "_y2": plane_y("lat2", "lat"),
+        "_x1": "(lon1 - lon) * _kx",
+        "_y1": f"(lat1 - lat) * {METERS_PER_DEGREE!r}D",
+        "_x2": "(lon2 - lon) * _kx",
+        "_y2": f"(lat2 - lat) * {METERS_PER_DEGREE!r}D",
     }
     return (
         df.selectExpr("*", *[f"{v} as {k}" for k, v in ends.items()])
@@ -76,7 +71,7 @@ def with_plane_chord(df: DataFrame) -> DataFrame:
     )
 
 
-PLANE_COLUMNS = ("_x1", "_y1", "_x2", "_y2", "_dx", "_dy", "_a", "_b")
+PLANE_COLUMNS = ("_kx", "_x1", "_y1", "_x2", "_y2", "_dx", "_dy", "_a", "_b")
 
 
 def with_chord_in_disc(df: DataFrame, radius_m: float, output: str) -> DataFrame:
@@ -85,7 +80,7 @@ def with_chord_in_disc(df: DataFrame, radius_m: float, output: str) -> DataFrame
     The position along the chord runs from 0 to 1; it is inside between the two roots of a
     quadratic.
     """
-    middle = with_plane_chord(df).selectExpr(
+    middle = with_plane_chord(with_plane_scale(df)).selectExpr(
         "*", "-_b / _a as _mid", f"_x1 * _x1 + _y1 * _y1 - {radius_m * radius_m!r}D as _c"
     )
     roots = middle.selectExpr("*", "sqrt(greatest(_mid * _mid - _c / _a, 0D)) as _half")

@@ -165,7 +165,7 @@ def points_near_polygons(
     ``struct<lon1,lat1,lon2,lat2>`` over all their rings; odd crossings of a ray cover holes
     and several parts. Boxes alone meet the points on the grid, then the edges of a polygon
     travel once. All edges of a pair are unfolded in the task that holds it, so the grouping
-    is finished map-side and shuffles one row per pair. Other polygon columns stay in the result.
+    is finished map-side and shuffles one row per pair.
     """
     grid = Grid(radius_m, cell_m)
     boxes = with_box(polygons).select(polygon_key, "_west", "_south", "_east", "_north")
@@ -182,13 +182,12 @@ def points_near_polygons(
         .where(f"lon between _west - {margin} and _east + {margin}")
         .select("lon", "lat", polygon_key)
     )
-    kept = [c for c in polygons.columns if c not in (polygon_key, "edges")]
     unfolded = geo.with_plane_chord(
-        candidates.join(polygons, polygon_key).selectExpr(
-            "lon", "lat", polygon_key, *kept, "inline(edges)"
-        )
+        geo.with_plane_scale(candidates)
+        .join(polygons.select(polygon_key, "edges"), polygon_key)
+        .selectExpr("lon", "lat", "_kx", polygon_key, "inline(edges)")
     )
-    tested = unfolded.groupBy("lon", "lat", polygon_key, *kept).agg(
+    tested = unfolded.groupBy("lon", "lat", polygon_key).agg(
         F.expr(f"min({geo.EDGE_DISTANCE_M2}) as _d2"),
         F.expr(f"count_if({geo.CROSSES_RAY}) as _crossings"),
     )

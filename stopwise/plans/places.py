@@ -13,6 +13,7 @@ from stopwise.operators.spatial import (
     points_within,
 )
 from stopwise.params import Params
+from stopwise.sinks.tables import materialize
 
 CRASH_COUNTS = (
     "crash_100m_cnt severe_100m_cnt fatal_100m_cnt crash_250m_cnt severe_250m_cnt fatal_250m_cnt"
@@ -112,6 +113,7 @@ def access_score_by_stop(
     stops: DataFrame, sidewalks: DataFrame, params: Params = Params()
 ) -> DataFrame:
     lengths = sidewalk_length_by_stop(stops, sidewalks, params)
+    lengths = materialize(lengths, "access")  # read twice below, one row per stop
     scored = minmax_score(lengths, "sidewalk_len_m_within_200m", "access_score_0_100", 100.0)
     return scored.withColumn("build_run_at", F.lit(params.now))
 
@@ -144,10 +146,10 @@ def vulnerability_by_stop(
     placed = _placed(stops)
     near = points_near_polygons(
         _locations(placed),
-        tracts.select("geoid", "edges").join(people, "geoid"),
+        tracts.select("geoid", "edges").join(people, "geoid", "left_semi"),
         "geoid",
         params.tract_catchment_m,
-    )
+    ).join(people, "geoid")
     total = F.nullif(F.sum("w"), F.lit(0.0))
     means = near.groupBy("lon", "lat").agg(
         *[(F.sum(F.col(c) * F.col("w")) / total).alias(f"{c}_w") for c in SHARES]
@@ -157,6 +159,7 @@ def vulnerability_by_stop(
     joined = placed.join(means, ["lon", "lat"], "left").select(
         "stop_id", *weighted, raw.alias("vuln_raw")
     )
+    joined = materialize(joined, "vulnerability")  # read twice below, one row per stop
     scored = minmax_score(joined, "vuln_raw", "vuln_score_0_100", 100.0).drop("vuln_raw")
     return scored.withColumn("build_run_at", F.lit(params.now))
 
