@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from stopwise.functions.clock import utc_date
 from stopwise.operators.latest import newest
 from stopwise.sinks import tables
-from stopwise.sources.schemas import EXPORT_STATE
+from stopwise.sources.schemas import CSV_OPTIONS, EXPORT_STATE
 
 DATE_COLUMN = "service_date_mst"
+DROP_OPTIONS = {
+    "header": "true",
+    "compression": "gzip",
+    "escape": '"',
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
+}
 
 
 # -- state ------------------------------------------------------------------------------
@@ -144,12 +150,10 @@ def write_drop(
     """
     spark = rows.sparkSession
     target = f"{drop}/{file}"
-    rows.write.mode("overwrite").option("header", True).option("compression", "gzip").option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
-    ).csv(target)
+    rows.write.mode("overwrite").options(**DROP_OPTIONS).csv(target)
     name = F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("part")
     counts = (
-        spark.read.schema(rows.schema).option("header", True).option("multiLine", True).csv(target)
+        spark.read.schema(rows.schema).options(**CSV_OPTIONS).csv(target)
         .select(name)
         .groupBy("part")
         .agg(F.count(F.lit(1)).alias("row_count"))

@@ -88,13 +88,13 @@ def upsert(
     else:
         old = old.join(F.broadcast(staged.select(partition).distinct()), partition, "left_semi")
     merged = newest(old.unionByName(staged), keys, ["_age"])
-    touched = merged.select(*new.columns)
-    result = materialize(touched, "upsert-merged")
-    emptied = (
-        old.select(partition).distinct().join(result.select(partition).distinct(), partition, "left_anti")
-    )
+    result = materialize(merged.select(*new.columns), "upsert-merged")
+    emptied = []
+    if lookback:  # keys may have left a partition; one value per partition comes back
+        kept = result.select(partition).distinct()
+        emptied = old.select(partition).distinct().join(kept, partition, "left_anti").collect()
     overwrite_partitions(result, path, partition, cluster)
-    _drop_partitions(spark, path, partition, [r[0] for r in emptied.collect()])
+    _drop_partitions(spark, path, partition, [r[0] for r in emptied])
 
 
 def _drop_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.functions.clock import utc_date
@@ -29,6 +29,35 @@ def drop_glob(
     return f"{root.rstrip('/')}/{dataset.folder}/{dataset.label}={label}"
 
 
+def _open_drops(
+    reader: DataFrameReader,
+    root: str,
+    dataset: Dataset,
+    leaf: str,
+    start: date | None,
+    end: date | None,
+) -> tuple[DataFrameReader, str]:
+    """Reader and path for one file name in all drops of a range.
+
+    The minute label of a snapshot has a colon, which a path glob cannot hold: those folders are
+    listed as a tree, and the range is a filter on the listed paths.
+    """
+    if dataset.label == "extract_date":
+        return reader, f"{drop_glob(root, dataset, start, end)}/{leaf}"
+    names = "{manifest.json,part-*.txt}" if leaf == "manifest.json" else "*.csv.gz"
+    tree = reader.option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    return tree, f"{root.rstrip('/')}/{dataset.folder}"
+
+
+def _in_drops(df: DataFrame, path: str, leaf: str, start: date | None, end: date | None):
+    df = df.where(F.contains(path, F.lit(f"/{leaf}")))
+    day = extract_date(path)
+    if start or end:
+        lo, hi = sorted((start or end, end or start))
+        df = df.where(day.isNull() | day.between(F.lit(lo), F.lit(hi)))
+    return df
+
+
 def extract_date(path: str) -> Column:
     """Date of the ``extract_date=`` or ``snapshot_at=`` label in a path; NULL when malformed."""
     label = f"regexp_extract({path}, '(?:extract_date|snapshot_at)=([^/T]*)', 1)"
@@ -54,8 +83,11 @@ def list_files(
     end: date | None = None,
 ) -> DataFrame:
     """One row per data file: path, extract date, size. File contents are not read."""
-    glob = f"{drop_glob(root, dataset, start, end)}/{dataset.file}"
-    found = spark.read.format("binaryFile").load(glob).select("path", "length")
+    reader, path = _open_drops(
+        spark.read.format("binaryFile"), root, dataset, dataset.file, start, end
+    )
+    found = reader.load(path).select("path", "length")
+    found = _in_drops(found, "path", dataset.file, start, end)
     return _split_path(found, "path").select(
         F.lit(dataset.table).alias("table"),
         F.col("path").alias("source_path"),
@@ -77,9 +109,10 @@ def manifests(
 
     A manifest that is not JSON counts as absent.
     """
-    glob = f"{drop_glob(root, dataset, start, end)}/manifest.json"
     read = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE")
-    rows = read.json(glob).select(F.col("_metadata.file_path").alias("path"), "files")
+    reader, path = _open_drops(read, root, dataset, "manifest.json", start, end)
+    rows = reader.json(path).select(F.url_decode("_metadata.file_path").alias("path"), "files")
+    rows = _in_drops(rows, "path", "manifest.json", start, end)
     return rows.select(
         F.regexp_replace("path", "/manifest\\.json(/[^/]*)?$", "").alias("drop"),
         F.explode("files").alias("name", "entry"),
