@@ -516,7 +516,7 @@ def _source_freshness(m: Model):
     "dedup_latest_demographics",
     "geoid:s year:i pop_total:i",
     """SELECT concat('G', o_custkey) AS geoid, year(o_orderdate) AS year,
-              CAST(o_totalprice AS BIGINT) AS pop_total
+              CAST(floor(o_totalprice) AS BIGINT) AS pop_total
        FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey
            ORDER BY year(o_orderdate) DESC, o_orderdate DESC, pop_total DESC) = 1""",
 )
@@ -525,7 +525,7 @@ def _dedup_latest_demographics(m: Model):
     rows = m.inputs.orders.selectExpr(
         "concat('G', o_custkey) as geoid",
         "year(o_orderdate) as year",
-        "cast(round(o_totalprice) as bigint) as pop_total",
+        "cast(floor(o_totalprice) as bigint) as pop_total",
         "cast(o_orderdate as timestamp) as _ingested_at",
         *[f"cast(null as bigint) as {c}" for c in absent],
     )

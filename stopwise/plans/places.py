@@ -29,6 +29,20 @@ def _locations(placed: DataFrame) -> DataFrame:
     return placed.select("lon", "lat").where("lon is not null and lat is not null").distinct()
 
 
+def _at_stops(placed: DataFrame, measured: DataFrame) -> DataFrame:
+    """Stops with what was measured at their position, NULL when nothing was.
+
+    Stops without a position get scattered keys beyond any longitude, so that they do not meet
+    in one task.
+    """
+    keyed = placed.selectExpr(
+        "stop_id",
+        "coalesce(lon, 1000D + pmod(xxhash64(stop_id), 1000000)) as lon",
+        "coalesce(lat, 0D) as lat",
+    )
+    return keyed.join(measured, ["lon", "lat"], "left")
+
+
 def crash_points(crashes: DataFrame, params: Params = Params()) -> DataFrame:
     """Crashes of the window as counts per position.
 
@@ -79,7 +93,7 @@ def crash_proximity_by_stop(
             sums.append(counted.alias(f"{kind}_{label}_cnt"))
     counts = near.groupBy("lon", "lat").agg(*sums)
     as_of = crashes.agg(F.max(utc_date("event_ts_utc")).alias("as_of_date")).scalar()
-    return placed.join(counts, ["lon", "lat"], "left").select(
+    return _at_stops(placed, counts).select(
         "stop_id",
         as_of.alias("as_of_date"),
         F.lit(params.crash_window_days).alias("window_days"),
@@ -102,7 +116,7 @@ def sidewalk_length_by_stop(
     lengths = inside.groupBy("lon", "lat").agg(
         F.sum(F.col("inside_m") * F.col("copies")).alias("tot_len_m")
     )
-    return placed.join(lengths, ["lon", "lat"], "left").select(
+    return _at_stops(placed, lengths).select(
         "stop_id",
         F.lit(int(params.sidewalk_buffer_m)).alias("buffer_m"),
         F.coalesce("tot_len_m", F.lit(0.0)).alias("sidewalk_len_m_within_200m"),
@@ -156,7 +170,7 @@ def vulnerability_by_stop(
     )
     weighted = [f"{c}_w" for c in SHARES]
     raw = sum((F.col(c) for c in weighted[1:]), F.col(weighted[0])) / 3.0
-    joined = placed.join(means, ["lon", "lat"], "left").select(
+    joined = _at_stops(placed, means).select(
         "stop_id", *weighted, raw.alias("vuln_raw")
     )
     joined = materialize(joined, "vulnerability")  # read twice below, one row per stop

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stopwise.functions.clock import utc_date
 from stopwise.operators.latest import newest
 from stopwise.sinks import tables
-from stopwise.sources.schemas import CSV_OPTIONS, LEDGER, MANIFEST, Dataset
+from stopwise.sources.schemas import CSV_OPTIONS, DAY_FOLDER, LEDGER, MANIFEST, Dataset
 
 # Files of one run; the rest waits for the next run. It bounds the broadcast of their hashes.
 MAX_FILES = 10_000
@@ -239,15 +239,9 @@ def load(
     if not paths:
         return plan
     rows = with_provenance(read_files(spark, dataset, paths, True), chosen, loaded_at)
-    day = None
-    if dataset.partition:
-        day = f"{dataset.partition}_day"
-        value = (
-            F.col(dataset.partition)
-            if dataset.schema[dataset.partition].dataType.typeName() == "date"
-            else utc_date(dataset.partition)
-        )
-        rows = rows.withColumn(day, value)
+    day = DAY_FOLDER[dataset.partition] if dataset.partition else "_extract_date"
+    if day not in rows.columns:
+        rows = rows.withColumn(day, utc_date(dataset.partition))
     tables.append(rows, target, day, dataset.cluster)
     counts = (
         spark.read.parquet(target)

@@ -117,6 +117,9 @@ DATASETS: dict[str, Dataset] = {
     )
 }
 
+# Day folders of the raw tables; tables without an own date go by extract date.
+DAY_FOLDER = {"feed_ts_utc": "feed_date", "event_ts_utc": "event_date", "date": "date"}
+
 PROVENANCE = "_ingested_at timestamp, _source_path string, _extract_date date, _hash_md5 string"
 MANIFEST = "files map<string, struct<row_count: bigint, bytes: bigint, hash_md5: string>>"
 LEDGER = (

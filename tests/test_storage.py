@@ -54,7 +54,7 @@ def test_drop_load_ledger_and_provenance(spark, folder):
     assert table.count() == 12
     assert rows(table.select("severity_text").distinct()) == [('a "quoted", text\nline',)]
     assert rows(table.select("_extract_date").distinct()) == [(date(2025, 1, 1),), (date(2025, 1, 5),)]
-    assert rows(table.select("event_ts_utc_day").distinct())[0] == (date(2025, 1, 1),)
+    assert rows(table.select("event_date").distinct())[0] == (date(2025, 1, 1),)
     assert table.where("_hash_md5 is null or _source_path is null or _ingested_at is null").count() == 0
     entries = spark.read.parquet(ledger)
     assert entries.agg(F.sum("rows")).first()[0] == 12
