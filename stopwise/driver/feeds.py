@@ -317,9 +317,45 @@ def _sidewalk_flatten(m: Model):
     return sidewalks.sidewalks(_sidewalk_features(m))
 
 
+def _krueger_sql() -> tuple[str, str]:
+    """Easting and northing of lon, lat as SQL, by the series of the projection's definition."""
+    f = geo.GRS80_F
+    n = f / (2 - f)
+    radius = geo.UTM_SCALE * geo.GRS80_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    terms = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    east = " + ".join(
+        ["eta"] + [f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)"
+                   for j, a in enumerate(terms, 1)]
+    )
+    north = " + ".join(
+        ["xi"] + [f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)"
+                  for j, a in enumerate(terms, 1)]
+    )
+    return f"({east}) * {radius!r}::DOUBLE", f"({north}) * {radius!r}::DOUBLE"
+
+
+EAST, NORTH = _krueger_sql()
+ECCENTRICITY = repr((geo.GRS80_F * (2 - geo.GRS80_F)) ** 0.5) + "::DOUBLE"
+
+
 @register(
     "sidewalk_network",
     "segment_count:i positive_length_pct:f total_length_km:f",
+    f"""WITH v AS (
+            SELECT l_orderkey, -105::DOUBLE + CAST(l_linenumber AS DOUBLE) / 1000 AS lon,
+                   39.7::DOUBLE + CAST(l_suppkey AS DOUBLE) / 10000 AS lat FROM lineitem),
+        c AS (SELECT *, radians(lon + 105) AS lam,
+                     sinh(atanh(sin(radians(lat)))
+                          - {ECCENTRICITY} * atanh({ECCENTRICITY} * sin(radians(lat)))) AS t
+              FROM v),
+        g AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM c),
+        p AS (SELECT l_orderkey, lon, lat, {EAST} AS e, {NORTH} AS n FROM g),
+        s AS (SELECT l_orderkey, sqrt(pow(e - lag(e) OVER w, 2) + pow(n - lag(n) OVER w, 2)) AS m
+              FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY lon, lat)),
+        o AS (SELECT l_orderkey, coalesce(sum(m), 0) AS m FROM s GROUP BY l_orderkey)
+        SELECT count(*) AS segment_count,
+               count(*) FILTER (m > 0) * 100.0 / count(*) AS positive_length_pct,
+               sum(m) / 1000 AS total_length_km FROM o""",
 )
 def _sidewalk_network(m: Model):
     features = _sidewalk_features(m)

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], choose) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(choose(F.struct(*order, *rest)).alias("_best"))
-    return best.select(
-        *[F.col(f"_best.{c}").alias(c) if c not in keys else F.col(c) for c in df.columns]
-    )
+def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], choose: str) -> DataFrame:
+    columns = df.columns
+    ranked = [*order, *(c for c in columns if c not in keys and c not in order)]
+    row = ", ".join(f"`{c}`" for c in ranked)
+    best = df.groupBy(*keys).agg(F.expr(f"{choose}(struct({row})) as _best"))
+    return best.selectExpr(*[f"`{c}`" if c in keys else f"_best.`{c}`" for c in columns])
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -26,12 +26,12 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     Remaining ties fall to the greatest values of the other columns, so the choice does not
     depend on row order. Keys group NULL with NULL.
     """
-    return _pick(df, keys, order, F.max)
+    return _pick(df, keys, order, "max")
 
 
 def first_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Row with the smallest ``order`` values per key; NULL counts as smallest."""
-    return _pick(df, keys, order, F.min)
+    return _pick(df, keys, order, "min")
 
 
 def newest_partition(df: DataFrame, column: str = "_extract_date") -> DataFrame:

@@ -54,52 +54,56 @@ def merge_feeds(updates: DataFrame, positions: DataFrame) -> DataFrame:
     is one row to one row.
     """
 
-    def entry(id_name: str, fields: list[str], *lead: Column) -> Column:
-        return F.struct(*lead, F.col("entity_id").alias(id_name), *fields)
+    def fields(source: str, names: list[str]) -> list[str]:
+        return [f"{source}.{n} as {n}" for n in names]
 
-    event = F.col("event_ts_utc")
+    def empty(names: list[str]) -> list[str]:
+        types = dict(updates.dtypes)
+        return [f"cast(null as {types[n]}) as {n}" for n in names]
+
+    def candidate(when: str, update_id: str, update: list[str], position: str) -> str:
+        """The event's order columns first, then what breaks ties."""
+        parts = [
+            f"{when} as event_ts_utc",
+            f"{update_id} as tu_entity_id",
+            f"{position}.id as vp_entity_id",
+            *update,
+            *fields(position, POSITION_FIELDS),
+            "route_id",
+        ]
+        return f"struct({', '.join(parts)})"
+
+    update_row = ", ".join(["entity_id as id", *UPDATE_FIELDS])
+    position_row = ", ".join(["entity_id as id", *POSITION_FIELDS])
     upd = updates.groupBy(*KEYS).agg(
-        F.max(F.when(event.isNotNull(), entry("id", UPDATE_FIELDS, event.alias("at")))).alias(
-            "timed"
+        F.expr(
+            f"max(case when event_ts_utc is not null then struct(event_ts_utc as at, {update_row}) "
+            "end) as timed"
         ),
-        F.max(F.when(event.isNull(), entry("id", UPDATE_FIELDS))).alias("untimed"),
+        F.expr(f"max(case when event_ts_utc is null then struct({update_row}) end) as untimed"),
     )
-    at = F.coalesce(event, F.col("feed_ts_utc")).alias("at")
     pos = positions.groupBy(*KEYS).agg(
-        F.max(entry("id", POSITION_FIELDS)).alias("by_id"),
-        F.max(entry("id", POSITION_FIELDS, at)).alias("by_time"),
+        F.expr(f"max(struct({position_row})) as by_id"),
+        F.expr(
+            f"max(struct(coalesce(event_ts_utc, feed_ts_utc) as at, {position_row})) as by_time"
+        ),
     )
-
-    def combine(when: Column, update: str | None, position: str) -> Column:
-        def field(source: str | None, name: str, types: dict[str, str]) -> Column:
-            if source is None:
-                return F.lit(None).cast(types[name])
-            return F.col(f"{source}.{name}")
-
-        types = dict(updates.dtypes)
-        return F.struct(
-            when.alias("event_ts_utc"),
-            field(update, "id", {"id": types["entity_id"]}).alias("tu_entity_id"),
-            F.col(f"{position}.id").alias("vp_entity_id"),
-            *[field(update, n, types).alias(n) for n in UPDATE_FIELDS],
-            *[F.col(f"{position}.{n}").alias(n) for n in POSITION_FIELDS],
-            "route_id",
-        )
-
-    joined = upd.join(pos, KEYS, "full")
-    fallback = F.coalesce(F.col("by_time.at"), F.col("feed_ts_utc"))
-    timed, untimed = F.col("timed").isNotNull(), F.col("untimed").isNotNull()
-    best = F.greatest(
-        F.when(timed, combine(F.col("timed.at"), "timed", "by_id")),
-        F.when(untimed, combine(fallback, "untimed", "by_time")),
-        F.when(~timed & ~untimed, combine(fallback, None, "by_time")),
+    fallback = "coalesce(by_time.at, feed_ts_utc)"
+    timed = candidate("timed.at", "timed.id", fields("timed", UPDATE_FIELDS), "by_id")
+    untimed = candidate(fallback, "untimed.id", fields("untimed", UPDATE_FIELDS), "by_time")
+    alone = candidate(fallback, "cast(null as string)", empty(UPDATE_FIELDS), "by_time")
+    best = (
+        f"greatest(case when timed is not null then {timed} end, "
+        f"case when untimed is not null then {untimed} end, "
+        f"case when timed is null and untimed is null then {alone} end) as best"
     )
     winners = (
-        joined.select("feed_ts_utc", "trip_id", best.alias("best"))
+        upd.join(pos, KEYS, "full")
+        .selectExpr("feed_ts_utc", "trip_id", best)
         .groupBy("feed_ts_utc", "trip_id")
-        .agg(F.max("best").alias("best"))
+        .agg(F.expr("max(best) as best"))
     )
-    return winners.select("feed_ts_utc", "trip_id", "best.*")
+    return winners.selectExpr("feed_ts_utc", "trip_id", "best.*")
 
 
 def rt_events(
