@@ -94,11 +94,11 @@ def upsert(
         kept = result.select(partition).distinct()
         emptied = old.select(partition).distinct().join(kept, partition, "left_anti").collect()
     overwrite_partitions(result, path, partition, cluster)
-    _drop_partitions(spark, path, partition, [r[0] for r in emptied])
+    drop_partitions(spark, path, partition, [r[0] for r in emptied])
 
 
-def _drop_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
-    """Remove partitions whose every key moved away; one folder per value."""
+def drop_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
+    """Remove the folders of some partition values, if they are there."""
     jvm = spark.sparkContext._jvm
     for value in values:
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")

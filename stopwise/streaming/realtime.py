@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from stopwise.functions.clock import utc_date
+from stopwise.functions.clock import local_date, utc_date
 from stopwise.params import Params
 from stopwise.plans import events, headways, reliability
 from stopwise.sinks import tables
@@ -101,11 +101,13 @@ def _dates(df: DataFrame, column: str) -> list[date]:
 
 
 def resolve_snapshots(
-    store: Store, snapshots: DataFrame, dims: Dimensions, params: Params
+    store: Store, snapshots: DataFrame, batch_id: int, dims: Dimensions, params: Params
 ) -> list[date]:
     """Resolve the given snapshots again from the raw tables and upsert their events.
 
-    Returns the service dates whose events may have changed.
+    Returns the service dates whose events may have changed: those of the events now, and those
+    of the same snapshots without this batch, where the table still has them. Only these
+    partitions are read and rewritten.
     """
     spark = snapshots.sparkSession
     snapshots = tables.materialize(snapshots.distinct(), "snapshots")
@@ -116,31 +118,31 @@ def resolve_snapshots(
     def known(name: str, dataset: Dataset) -> DataFrame:
         raw = store.read(spark, name)
         if raw is None:
-            return spark.createDataFrame([], dataset.ddl)
+            raw = spark.createDataFrame([], f"{dataset.ddl}, feed_date date, batch int")
         recent = raw.where(F.col("feed_date").isin(days))
         return recent.join(snapshots, "feed_ts_utc", "left_semi")
 
-    found = events.rt_events(
-        known("raw_updates", UPDATES), known("raw_positions", POSITIONS), dims.trips,
-        dims.patterns, params,
-    )
+    updates, positions = known("raw_updates", UPDATES), known("raw_positions", POSITIONS)
+    found = events.rt_events(updates, positions, dims.trips, dims.patterns, params)
     found = tables.materialize(found, "batch-events")
-    # An event lies on the local date of its time, near the date of its snapshot.
-    first = days[0] - timedelta(days=params.recompute_days)
-    old = store.read(spark, "events")
-    changed = _dates(found, "event_date_mst")
-    if old is not None:
-        near = old.where(F.col("event_date_mst") >= F.lit(first))
-        changed += _dates(near.join(snapshots, "feed_ts_utc", "left_semi"), "event_date_mst")
-    tables.upsert(
-        found,
-        store.path("events"),
-        ["feed_ts_utc", "trip_id"],
-        "event_date_mst",
-        lookback=f"event_date_mst >= date '{min([first, *changed])}'",
-        cluster=("route_id", "trip_id"),
-    )
-    return sorted(set(changed))
+    before = events.merge_feeds(
+        *[events.recent(f.where(F.col("batch") != batch_id), params) for f in (updates, positions)]
+    ).select(local_date("event_ts_utc", params.zone).alias("day"))
+    changed = sorted({*_dates(found, "event_date_mst"), *_dates(before, "day")})
+    if changed:
+        tables.upsert(
+            found,
+            store.path("events"),
+            ["feed_ts_utc", "trip_id"],
+            "event_date_mst",
+            lookback=_among("event_date_mst", changed),
+            cluster=("route_id", "trip_id"),
+        )
+    return changed
+
+
+def _among(column: str, dates: list[date]) -> str:
+    return f"{column} in ({', '.join(f"date '{d}'" for d in dates)})"
 
 
 def recompute_dates(
@@ -149,21 +151,25 @@ def recompute_dates(
     """Rebuild adherence and the reliability marts of whole service dates."""
     if not dates:
         return
-    found = store.read(spark, "events").where(F.col("event_date_mst").isin(dates))
+    day = "service_date_mst"
+    found = store.read(spark, "events").where(_among("event_date_mst", dates))
     resolved = events.resolve(found, params)
     observed = headways.headways_observed(resolved, params, dates[0])
-    planned = dims.scheduled_headways.where(F.col("service_date_mst").isin(dates))
+    planned = dims.scheduled_headways.where(_among(day, dates))
     adherence = headways.headway_adherence(observed, planned, params, dates[0])
-    day = "service_date_mst"
-    tables.overwrite_partitions(adherence, store.path("adherence"), day, ("route_id", "stop_id"))
-    adherence = store.read(spark, "adherence")
-    if adherence is None:  # no headway so far
-        adherence = spark.createDataFrame([], headways.ADHERENCE_DDL)
-    adherence = adherence.where(F.col(day).isin(dates))
+    adherence = tables.materialize(adherence, "batch-adherence")
     stop_hour = reliability.reliability_by_stop_hour(resolved, adherence, params)
-    tables.overwrite_partitions(stop_hour, store.path("stop_hour"), day, ("stop_id",))
     route_day = reliability.reliability_by_route_day(resolved, dims.weather_days, params)
-    tables.overwrite_partitions(route_day, store.path("route_day"), day, ("route_id",))
+    marts = (
+        ("adherence", adherence, adherence, ("route_id", "stop_id")),
+        ("stop_hour", stop_hour, resolved.where("stop_id is not null"), ("stop_id",)),
+        ("route_day", route_day, resolved, ("route_id",)),
+    )
+    for name, mart, source, cluster in marts:
+        tables.overwrite_partitions(mart, store.path(name), day, cluster)
+        # A recomputed date that has no rows any more loses its old ones.
+        gone = set(dates) - set(_dates(source, day))
+        tables.drop_partitions(spark, store.path(name), day, sorted(gone))
     impacts = reliability.weather_impacts(store.read(spark, "route_day"), params)
     tables.overwrite(impacts, store.path("impacts"))
 
@@ -198,7 +204,7 @@ def process_batch(
     touched = add_raw(store, "raw_updates", updates, batch_id).union(
         add_raw(store, "raw_positions", positions, batch_id)
     )
-    changed = resolve_snapshots(store, touched, dims, params)
+    changed = resolve_snapshots(store, touched, batch_id, dims, params)
     if marts:
         recompute_dates(store, batch.sparkSession, changed, dims, params)
 
