@@ -153,3 +153,24 @@ def test_live_windows(spark, folder):
         day = view.withColumn("d", F.to_date(keys[0]))
         realtime.write_live(day, out, out + "-cp", keys, "d").awaitTermination()
         assert spark.read.parquet(out).count() == count
+
+
+def test_event_that_moves_to_another_date_leaves_the_old_one(spark, folder, dims):
+    store = realtime.Store(f"{folder}/store")
+    feed = "2025-01-14T17:00:00.000000Z"
+
+    def batch(batch_id, *events_at):
+        lines = [
+            f"{feed},e,T1,R1,S1,1,0,,SCHEDULED,{at}.000000Z,," for at in events_at
+        ]
+        df = spark.createDataFrame(
+            [(line, f"/x/{realtime.UPDATES.file}/part-0.csv.gz") for line in lines], "value string, file string"
+        )
+        realtime.process_batch(df, batch_id, store, dims, PARAMS)
+
+    batch(0, "2025-01-14T18:00:00")
+    assert rows(store.read(spark, "route_day"), F.day("service_date_mst"), "n_events") == [(14, 1)]
+    batch(1, "2025-01-15T18:00:00")
+    assert rows(store.read(spark, "events"), F.day("event_date_mst")) == [(15,)]
+    for mart in ("route_day", "stop_hour"):
+        assert rows(store.read(spark, mart), F.day("service_date_mst"), "n_events") == [(15, 1)]
