@@ -219,8 +219,9 @@ def load(
 ) -> DataFrame:
     """Append the new files of a dataset to its raw table and record them in the ledger.
 
-    Returns the plan. The ledger is written last, so a run that dies loads its files again; the
-    append itself is committed as a whole, and staging keeps the newest load of a record.
+    Returns the plan. The ledger is written last: a run that dies between the append and the
+    ledger loads its files again. Staging then keeps one copy of keyed records; sidewalks and
+    realtime rows have no key in the raw table and would be there twice.
     """
     found = list_files(spark, root, dataset, start, end)
     try:
