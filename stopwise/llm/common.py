@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import stopwise
 from stopwise.sinks.tables import materialize as stored
 
-__all__ = ["stored", "table", "body", "release"]
+__all__ = ["stored", "table", "body", "release", "shipped"]
+
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, as ``--py-files`` would."""
+    if spark.sparkContext.applicationId not in _shipped:
+        root = Path(stopwise.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="run-"), "stopwise.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, Path(root.name, file.relative_to(root)))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(spark.sparkContext.applicationId)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopwise.llm import exact_dedup, url_filter, warc
+from stopwise.llm import bpe, exact_dedup, url_filter, warc
+from stopwise.llm.common import shipped
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+Run = Callable[[SparkSession, str], DataFrame]
+
+
+def _on_cluster(run: Run) -> Run:
+    """Executors get the package before any of its functions runs there."""
+    return lambda spark, sf_dir: run(shipped(spark), sf_dir)
+
+
+QUERIES: dict[str, Run] = {
+    f.__name__: _on_cluster(f)
     for f in (
         url_filter.op1_url_filters,
         exact_dedup.op3_exact_dedup,
         warc.op4_warc,
+        bpe.op9_bpe,
     )
 }
 
