@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopwise.llm import bpe, exact_dedup, url_filter, warc
+from stopwise.llm import bpe, exact_dedup, packing, toxicity, url_filter, warc
 from stopwise.llm.common import shipped
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,10 @@ QUERIES: dict[str, Run] = {
     f.__name__: _on_cluster(f)
     for f in (
         url_filter.op1_url_filters,
+        packing.op2_best_fit_packing,
         exact_dedup.op3_exact_dedup,
         warc.op4_warc,
+        toxicity.op6_toxicity,
         bpe.op9_bpe,
     )
 }
