@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopwise.llm import bpe, exact_dedup, packing, toxicity, url_filter, warc
+from stopwise.llm import bpe, exact_dedup, licenses, packing, toxicity, url_filter, warc
 from stopwise.llm.common import shipped
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ QUERIES: dict[str, Run] = {
         warc.op4_warc,
         toxicity.op6_toxicity,
         bpe.op9_bpe,
+        licenses.op10_license_scans,
     )
 }
 
