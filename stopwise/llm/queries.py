@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopwise.llm import bpe, exact_dedup, licenses, packing, toxicity, url_filter, warc
+from stopwise.llm import bpe, exact_dedup, licenses, ngram_join, packing, toxicity, url_filter, warc
 from stopwise.llm.common import shipped
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ QUERIES: dict[str, Run] = {
         exact_dedup.op3_exact_dedup,
         warc.op4_warc,
         toxicity.op6_toxicity,
+        ngram_join.op7_ngram_jaccard,
         bpe.op9_bpe,
         licenses.op10_license_scans,
     )
