@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopwise.llm import bpe, exact_dedup, licenses, ngram_join, packing, toxicity, url_filter, warc
+from stopwise.llm import bpe, exact_dedup, licenses, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
 from stopwise.llm.common import shipped
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ QUERIES: dict[str, Run] = {
         packing.op2_best_fit_packing,
         exact_dedup.op3_exact_dedup,
         warc.op4_warc,
+        suffix_dedup.op5_suffix_dedup,
         toxicity.op6_toxicity,
         ngram_join.op7_ngram_jaccard,
         bpe.op9_bpe,
