@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import body, release, stored, table
-from stopwise.llm.words import WORD, default_path, words_of
+from stopwise.llm.common import body, release, table
+from stopwise.llm.words import chunks, cut, default_path, words_of
 
 #: Words of the broadcast part, the longest of them, and how often a task must see a candidate.
-HEAD = 250_000
+HEAD = 400_000
 LONGEST = 24
 AGAIN = 3
-#: Distinct words that a task counts at a time.
-COUNTED = 400_000
+#: Distinct chunks that a task counts or remembers at a time.
+COUNTED = 250_000
 
 
 def _head(docs: DataFrame, size: int) -> DataFrame:
@@ -48,7 +48,11 @@ def _head(docs: DataFrame, size: int) -> DataFrame:
         seen: Counter[str] = Counter()
 
         def flush():
-            often = [(w, n) for w, n in seen.items() if n >= AGAIN and len(w) <= LONGEST]
+            found: Counter[str] = Counter()
+            for chunk, n in seen.items():
+                for w in cut(chunk):
+                    found[w] += n
+            often = [(w, n) for w, n in found.items() if n >= AGAIN and len(w) <= LONGEST]
             seen.clear()
             return pa.RecordBatch.from_pydict(
                 {"word": pa.array([w for w, _ in often], pa.string()),
@@ -57,7 +61,7 @@ def _head(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(WORD.findall(text.as_py()))
+                seen.update(chunks(text.as_py()))
                 if len(seen) > COUNTED:
                     yield flush()
         yield flush()
@@ -69,17 +73,18 @@ def _head(docs: DataFrame, size: int) -> DataFrame:
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """Add ``ids`` (little-endian unsigned 32-bit) to rows whose last column is a word.
+    """Add ``ids`` (as narrow as the vocabulary allows) to rows whose last column is a word.
 
     Rows that are sorted by word have each distinct word encoded once.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = words_of(path), {}
+        kind = words.narrow()
         for batch in batches:
             column = batch.column(batch.num_columns - 1).to_pylist()
             new = [w for w in dict.fromkeys(column) if w not in last]
-            known = last | dict(zip(new, words.encode(new), strict=True))
+            known = last | dict(zip(new, words.encode(new, kind), strict=True))
             ids = pa.array([known[w] for w in column], pa.binary())
             # A word goes on in the next batch only if it ends this one.
             last = {column[-1]: known[column[-1]]} if column else last
@@ -106,29 +111,36 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast(
         dict(zip(*(c.to_pylist() for c in often.columns), strict=True))
     )
+    release(spark)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        tails: dict[str, tuple[str, ...]] = {}
+
+        def flush(ids, words):
+            return pa.RecordBatch.from_pydict(
+                {"doc_id": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())}
+            )
+
         for batch in batches:
             ids, words = [], []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = set(WORD.findall(text)).difference(known)
+                parts = set(chunks(text))
+                if len(tails) > COUNTED:
+                    tails.clear()
+                for c in parts.difference(tails):
+                    tails[c] = tuple(w for w in cut(c) if w not in known)
+                own = {w for c in parts for w in tails[c]}
                 ids.extend([doc_id] * len(own))
                 words.extend(own)
                 if len(ids) > 200_000:
-                    yield pa.RecordBatch.from_pydict(
-                        {"doc_id": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())}
-                    )
+                    yield flush(ids, words)
                     ids, words = [], []
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())}
-            )
+            yield flush(ids, words)
 
     source = docs.select(F.col("doc_id").cast("long"), body().alias("text"))
     tail = source.mapInArrow(rare, "doc_id long, word string")
-    tail = tail.repartition("word").sortWithinPartitions("word")
-    tail = stored(encode_words(tail, path), "rare-words")
-    release(spark)
+    tail = encode_words(tail.repartition("word").sortWithinPartitions("word"), path)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -149,25 +161,32 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        known, unpacker, words = shared.value, zstandard.ZstdDecompressor(), words_of(path)
-        piece = words.pieces()
-        decoded: dict[bytes, str] = {}
+        known, unpacker = shared.value, zstandard.ZstdDecompressor()
+        piece, kind = words_of(path).pieces(), words_of(path).narrow()
+        done: dict[str, tuple[bytes, str]] = {}
 
-        def text_of(ids: bytes) -> str:
-            if ids not in decoded:
-                if len(decoded) > COUNTED:
-                    decoded.clear()
-                decoded[ids] = " ".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()])
-            return decoded[ids]
+        def look_up(parts: list[bytes]) -> tuple[bytes, str]:
+            ids = np.frombuffer(b"".join(parts), kind)
+            return ids.astype("<u4").tobytes(), " ".join([piece[i] for i in ids.tolist()])
 
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 text = unpacker.decompress(batch.column(1)[i].as_py()).decode()
                 own = {r["word"]: r["ids"] for r in batch.column(2)[i].as_py() or ()}
-                parts = [known.get(w) or own.get(w, b"") for w in WORD.findall(text)]
-                ids = b"".join(parts)
-                back = " ".join([text_of(p) for p in parts if p])
+                parts = chunks(text)
+                if len(done) > COUNTED:
+                    done.clear()
+                mine = {}
+                for c in set(parts).difference(done):
+                    found = cut(c)
+                    if all(w in known for w in found):
+                        done[c] = look_up([known[w] for w in found])
+                    else:
+                        mine[c] = look_up([known[w] if w in known else own[w] for w in found])
+                both = [mine[c] if c in mine else done[c] for c in parts]
+                ids = b"".join([x for x, _ in both])
+                back = " ".join([x for _, x in both if x])
                 if digests:
                     out.append((
                         len(ids) // 4, hashlib.sha256(ids).hexdigest(),

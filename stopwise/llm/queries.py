@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopwise.llm import bpe, exact_dedup, licenses, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
+from stopwise.llm import (
+    bpe,
+    exact_dedup,
+    licenses,
+    neighbours,
+    ngram_join,
+    packing,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 from stopwise.llm.common import shipped
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +38,7 @@ QUERIES: dict[str, Run] = {
         suffix_dedup.op5_suffix_dedup,
         toxicity.op6_toxicity,
         ngram_join.op7_ngram_jaccard,
+        neighbours.op8_embedding_near_dedup,
         bpe.op9_bpe,
         licenses.op10_license_scans,
     )

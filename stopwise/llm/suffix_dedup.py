@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from stopwise.llm.common import body, release, stored, table
 from stopwise.llm.shingles import mix
@@ -44,7 +45,7 @@ CHUNK = 16_384
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """row (fixed by being written), doc_id, packed text."""
+    """row (fixed by being written), doc (all columns but the text), packed text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -53,11 +54,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
         for batch in batches:
             packed = [packer.compress(t.as_py().encode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"]
+                [batch.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), body().alias("text"))
-    packed = rows.mapInArrow(pack, "doc_id long, packed binary")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("doc"), body().alias("text"))
+    schema = StructType([rows.schema["doc"], StructField("packed", BinaryType())])
+    packed = rows.mapInArrow(pack, schema)
     return stored(packed.withColumn("row", F.monotonically_increasing_id()), "texts")
 
 
@@ -335,8 +338,9 @@ def _spans(texts: DataFrame, many: int) -> DataFrame:
     return spans
 
 
-def keep(docs: DataFrame, many: int = MANY) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, spans (removed start and stop) per document."""
+def keep(docs: DataFrame, many: int = MANY, as_text: bool = False) -> DataFrame:
+    """doc (a struct of all columns but the text), kept (the remaining bytes), n_bytes and spans
+    (removed start and stop) per document. As text, kept has the whole characters that remain."""
     texts = _numbered(docs)
     spans = _spans(texts, many)
     own = spans.groupBy(F.col("row").alias("of")).agg(
@@ -347,18 +351,19 @@ def keep(docs: DataFrame, many: int = MANY) -> DataFrame:
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        kinds = [pa.int64(), pa.binary(), pa.int64(),
-                 pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
-        names = ["doc_id", "kept", "n_bytes", "spans"]
+        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        kinds = [pa.string() if as_text else pa.binary(), pa.int64(), span]
 
-        def flush(out):
+        def flush(batch, first, out):
+            found = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names
+                [batch.column(0).slice(first, len(out)), *found],
+                names=["doc", "kept", "n_bytes", "spans"],
             )
 
         for batch in batches:
-            out, size = [], 0
-            for doc_id, packed, own in zip(*batch.columns, strict=True):
+            out, size, first = [], 0, 0
+            for packed, own in zip(batch.column(1), batch.column(2), strict=True):
                 text, gone, rest, end = unpacker.decompress(packed.as_py()), [], [], 0
                 for start, stop in sorted((s["start"], s["stop"]) for s in own.as_py() or ()):
                     stop = min(stop, len(text))
@@ -373,23 +378,43 @@ def keep(docs: DataFrame, many: int = MANY) -> DataFrame:
                     rest.append(text[end : g["start"]])
                     end = g["stop"]
                 rest.append(text[end:])
-                out.append((doc_id.as_py(), b"".join(rest), len(text), gone))
+                kept = b"".join(rest)
+                out.append((kept.decode("utf-8", "ignore") if as_text else kept, len(text), gone))
                 size += len(text)
                 if size > 8 << 20:
-                    yield flush(out)
+                    yield flush(batch, first, out)
+                    first += len(out)
                     out, size = [], 0
             if out:
-                yield flush(out)
+                yield flush(batch, first, out)
 
-    both = texts.join(own, texts["row"] == own["of"], "left").select("doc_id", "packed", "own")
-    schema = "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, stop: long>>"
+    both = texts.join(own, texts["row"] == own["of"], "left").select("doc", "packed", "own")
+    removed = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
+    schema = StructType(
+        [both.schema["doc"], StructField("kept", StringType() if as_text else BinaryType()),
+         StructField("n_bytes", LongType()), StructField("spans", removed)]
+    )
     return both.mapInArrow(run, schema)
 
 
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with what is left of their texts; characters that were cut apart go.
+
+    ``n_chars``, where there is one, is counted anew.
+    """
+    left = keep(docs, as_text=True)
+    columns = {c: F.col("doc").getField(c) for c in docs.columns if c != "text"}
+    columns["text"] = F.col("kept")
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.length(columns["text"]).cast(kind)
+    return left.select(*[columns[c].alias(c) for c in docs.columns])
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keep(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        "doc_id",
+        F.col("doc.doc_id").cast("long").alias("doc_id"),
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),

@@ -18,9 +18,10 @@ WORD = re.compile(
     r"[A-Za-zÀ-ÖØ-öø-įı-ſ]++(?=[!-@\[-`{-~])|[^ \t\n\r]+"
 )
 
-#: Words and letters a process remembers at most; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
-LETTERS = 16_000_000
+#: Words and letters that a process remembers at most, in each of two generations. When the younger
+#: one is full it becomes the older, and words that are met again move back.
+REMEMBERED = 250_000
+LETTERS = 8_000_000
 
 _loaded: dict[str, "Words"] = {}
 
@@ -36,23 +37,31 @@ class Words:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = 0
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def encode(self, words: list[str], kind: str = "<u4") -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(x.ids, kind).tobytes() for x in found]
+
+    def narrow(self) -> str:
+        """The smallest integers that hold every id."""
+        return "<u2" if max(self.pieces(), default=0) < 1 << 16 else "<u4"
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text."""
-        words = WORD.findall(text)
-        new = list(set(words).difference(self.known))
+        parts = chunks(text)
+        new = set(parts).difference(self.known)
         if new:
-            if len(self.known) + len(new) > REMEMBERED or self.letters > LETTERS:
-                self.known, self.letters = {}, 0
-                new = list(set(words))
+            if len(self.known) > REMEMBERED or self.letters > LETTERS:
+                self.known, self.older, self.letters = {}, self.known, 0
+                new = set(parts)
+            old = {w for w in new if w in self.older}
+            new = list(new.difference(old))
+            self.known.update((w, self.older[w]) for w in old)
             self.known.update(zip(new, self.encode(new), strict=True))
-            self.letters += sum(map(len, new))
-        return b"".join(map(self.known.__getitem__, words))
+            self.letters += sum(map(len, new)) + sum(map(len, old))
+        return b"".join(map(self.known.__getitem__, parts))
 
     def pieces(self) -> dict[int, str]:
         """The id-to-piece table of the vocabulary, added tokens included."""
@@ -66,6 +75,18 @@ def words_of(path: str) -> Words:
     return _loaded[path]
 
 
+def chunks(text: str) -> list[str]:
+    """What stands between white space."""
+    for blank in "\t\n\r":
+        text = text.replace(blank, " ")
+    return [c for c in text.split(" ") if c]
+
+
+def cut(chunk: str) -> list[str]:
+    """The words of a chunk, one or two."""
+    return WORD.findall(chunk)
+
+
 def default_path() -> str:
     import public_tokenizers
 
