@@ -40,7 +40,7 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 8
-POOL = 32
+POOL = 8
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
