@@ -95,8 +95,7 @@ def _mart_query_filtered(m: Model):
     "filter_options",
     "kind:s value:s",
     """SELECT 'route' AS kind, route_id AS value
-       FROM (SELECT DISTINCT route_id FROM b_route_day WHERE route_id IS NOT NULL
-             ORDER BY route_id LIMIT 200) AS r
+       FROM (SELECT DISTINCT route_id FROM b_route_day WHERE route_id IS NOT NULL) AS r
        UNION ALL SELECT DISTINCT 'precip_bin', precip_bin FROM b_route_day
        UNION ALL SELECT 'date_min', CAST(min(service_date_mst) AS VARCHAR) FROM b_route_day
        UNION ALL SELECT 'date_max', CAST(max(service_date_mst) AS VARCHAR) FROM b_route_day""",

@@ -89,12 +89,20 @@ class Model:
 
     @cached_property
     def route_day(self) -> DataFrame:
+        return reliability.reliability_by_route_day(self.resolved, self.weather_days, self.params)
+
+    @cached_property
+    def route_day_exact(self) -> DataFrame:
         return reliability.reliability_by_route_day(
             self.resolved, self.weather_days, self.params, exact=True
         )
 
     @cached_property
     def stop_hour(self) -> DataFrame:
+        return reliability.reliability_by_stop_hour(self.resolved, self.adherence, self.params)
+
+    @cached_property
+    def stop_hour_exact(self) -> DataFrame:
         return reliability.reliability_by_stop_hour(
             self.resolved, self.adherence, self.params, exact=True
         )

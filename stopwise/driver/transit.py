@@ -165,17 +165,29 @@ def _route_day_reliability(m: Model):
     return m.route_day
 
 
-@register(
-    "stop_hour_reliability",
+# Groups are below the size at which the quantile sketch rounds, so both forms give the same.
+@register("route_day_reliability_exact", ROUTE_DAY_COLUMNS, "SELECT * FROM b_route_day")
+def _route_day_reliability_exact(m: Model):
+    return m.route_day_exact
+
+
+STOP_HOUR_COLUMNS = (
     "stop_id:s service_date_mst:d event_hour_mst:i n_events:i pct_on_time:f mean_delay_sec:f "
     "p90_delay_sec:i route_id_mode:s headway_adherence_rate:f obs_headway_sec_p50:i "
-    "obs_headway_sec_p90:i",
-    "SELECT * FROM b_stop_hour",
+    "obs_headway_sec_p90:i"
 )
+
+
+@register("stop_hour_reliability", STOP_HOUR_COLUMNS, "SELECT * FROM b_stop_hour")
 def _stop_hour_reliability(m: Model):
     return m.stop_hour
 
 
+@register("stop_hour_reliability_exact", STOP_HOUR_COLUMNS, "SELECT * FROM b_stop_hour")
+def _stop_hour_reliability_exact(m: Model):
+    return m.stop_hour_exact
+
+
 @register(
     "route_mode_by_stop_hour",
     "stop_id:s service_date_mst:d event_hour_mst:i route_id_mode:s",

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import re
 from datetime import UTC, date, datetime
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 
 from stopwise.params import Params
@@ -264,17 +262,21 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = tune(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self.frames: dict[str, DataFrame] = {}
 
-    @cache
     def table(self, name: str) -> DataFrame:
         """A given table; the declared schema spares the job that would infer it."""
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self.frames:
+            path = f"{self.sf_dir}/{name}.parquet"
+            self.frames[name] = self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        return self.frames[name]
 
-    @cache
     def view(self, name: str) -> DataFrame:
-        text = VIEWS[name].replace("{fanout}", FANOUT["spark"])
-        used = {n: self.table(n) for n in SCHEMAS if "{" + n + "}" in text}
-        return self.spark.sql(text, **used)
+        if name not in self.frames:
+            text = VIEWS[name].replace("{fanout}", FANOUT["spark"])
+            used = {n: self.table(n) for n in SCHEMAS if "{" + n + "}" in text}
+            self.frames[name] = self.spark.sql(text, **used)
+        return self.frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("v_") and name in VIEWS:

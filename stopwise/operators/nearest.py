@@ -24,8 +24,9 @@ def nearest_in_time(
     Left rows without any partner are dropped; equal distances take the earlier right row. Right
     rows have distinct times per key.
 
-    Both sides share one sorted window in which a left row looks back and ahead for its nearest
-    right rows, so the cost grows with the rows and not with the pairs per key. The caller's
+    Both sides share one partitioning, sorted by time once in each direction. In both orders a
+    left row takes the last right row so far, and such running frames keep one value, so the cost
+    is that of sorting and does not grow with the pairs per key. The caller's
     keys must include the service date: with whole-second times a key then holds at most a day
     of seconds from either side.
     """
@@ -50,9 +51,11 @@ def nearest_in_time(
             payload.alias("_right"),
         )
     )
-    timeline = Window.partitionBy(*keys).orderBy("_at", "_side")
-    back = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = timeline.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(*so_far)
+    ahead = (
+        Window.partitionBy(*keys).orderBy(F.desc("_at"), F.asc("_side")).rowsBetween(*so_far)
+    )
     gap_back = F.abs(seconds_between("_at", "_before.ts"))
     gap_ahead = F.abs(seconds_between("_at", "_after.ts"))
     use_before = F.col("_after").isNull() | (gap_back <= gap_ahead)
@@ -61,7 +64,7 @@ def nearest_in_time(
     )
     return (
         both.withColumn("_before", F.last("_right", ignorenulls=True).over(back))
-        .withColumn("_after", F.first("_right", ignorenulls=True).over(ahead))
+        .withColumn("_after", F.last("_right", ignorenulls=True).over(ahead))
         .where("_side = 1 and (_before is not null or _after is not null)")
         .withColumn("_best", best)
         .select(

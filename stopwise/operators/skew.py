@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A hot-key list longer than this is cut to the hottest ones; the others join unsplit,
-# which is slower and equally exact. It bounds the broadcast to well under a megabyte.
-MAX_HOT_KEYS = 10_000
 ROWS_PER_SPLIT = 200_000
 
 
@@ -32,18 +29,16 @@ def join_splitting_hot_keys(
     """Inner equi-join that divides the rows of hot keys of ``big`` over several tasks.
 
     Keys with more than ``rows_per_split`` rows get a split number from a hash of
-    ``spread_by``; the rows of ``small`` with such a key are repeated once per split. The
-    result equals ``big.join(small, keys)``.
+    ``spread_by``; the rows of ``small`` with such a key are repeated once per split. There are
+    at most rows / ``rows_per_split`` hot keys; whether their list is broadcast is left to Spark,
+    which knows its size when it is joined. The result equals ``big.join(small, keys)``.
     """
     hot = (
         big.groupBy(*keys)
         .count()
         .where(F.col("count") > rows_per_split)
-        .orderBy(F.desc("count"), *keys)
-        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("count") / rows_per_split).cast("int").alias("_splits"))
     )
-    hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
     splits = F.coalesce(F.col("_splits"), F.lit(1))
     big = (
         big.join(hot, list(keys), "left")

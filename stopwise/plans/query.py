@@ -25,11 +25,6 @@ MARTS = (
 )
 DATE_COLUMN = "service_date_mst"
 DATED_MARTS = MARTS[:2]
-ROW_LIMIT = 5_000
-DISPLAY_LIMIT = 10_000
-PREVIEW_LIMIT = 100
-FILTER_ROUTES = 200
-EXPORT_LIMITS = (1_000, 2_000_000)
 
 
 @dataclass(frozen=True)
@@ -66,32 +61,36 @@ def mart_query(
     marts: Mapping[str, DataFrame],
     name: str,
     filters: Filters = Filters(),
-    limit: int | None = ROW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Rows of an allowed mart under structured filters, capped unless ``limit`` is None.
+    """Rows of an allowed mart under structured filters, all of them unless a limit is given.
 
     A mart partitioned by date needs a date range.
     """
     df = mart(marts, name)
     if name in DATED_MARTS and not (filters.start_date and filters.end_date):
         raise ValueError(f"{name} needs a date range on {DATE_COLUMN}")
-    filtered = apply_filters(df, filters)
-    return filtered if limit is None else filtered.limit(limit)
+    return first_rows(apply_filters(df, filters), limit)
 
 
-def preview(marts: Mapping[str, DataFrame], name: str) -> DataFrame:
-    return mart(marts, name).limit(PREVIEW_LIMIT)
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, or the first ones in the order of the columns, so that it is defined which."""
+    return df if limit is None else df.orderBy(*df.columns).limit(limit)
 
 
-def display(df: DataFrame, limit: int = DISPLAY_LIMIT) -> tuple[DataFrame, DataFrame]:
+def preview(marts: Mapping[str, DataFrame], name: str, limit: int) -> DataFrame:
+    return first_rows(mart(marts, name), limit)
+
+
+def display(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows to show and the true row count."""
-    return df.limit(limit), df.agg(F.count(F.lit(1)).alias("total_rows"))
+    return first_rows(df, limit), df.agg(F.count(F.lit(1)).alias("total_rows"))
 
 
 def enrich(df: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame:
     """Stop and route labels that a result lacks, joined by id as text.
 
-    Results are capped for display, so Spark sees a small side and picks the join.
+    Spark picks the join from the sizes.
     """
     lookups = (
         ("stop_id", stops, ("stop_name", "lat", "lon")),
@@ -111,17 +110,16 @@ def export_rows(
     date_column: str | None = None,
     start: date | None = None,
     end: date | None = None,
-    limit: int = 200_000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Rows of a CSV download: optional date range and a row cap within bounds."""
-    low, high = EXPORT_LIMITS
-    if not low <= limit <= high:
-        raise ValueError(f"limit must be between {low} and {high}")
+    """Rows of a CSV download: optional date range, and the caller's row limit if there is one."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
     if date_column and start and end:
         if start > end:
             raise ValueError("start must be on or before end")
         df = df.where(F.col(date_column).between(F.lit(start), F.lit(end)))
-    return df.limit(limit)
+    return first_rows(df, limit)
 
 
 # -- prepared questions -----------------------------------------------------------------
@@ -199,10 +197,7 @@ def equity_gaps(
 
 def filter_options(route_day: DataFrame) -> DataFrame:
     """Choices for the filters as (kind, value): routes, weather bins, first and last date."""
-    routes = (
-        route_day.where("route_id is not null").select("route_id").distinct()
-        .orderBy("route_id").limit(FILTER_ROUTES)
-    )
+    routes = route_day.where("route_id is not null").select("route_id").distinct()
     bins = route_day.where("precip_bin is not null").select("precip_bin").distinct()
     span = route_day.agg(F.min(DATE_COLUMN).alias("lo"), F.max(DATE_COLUMN).alias("hi"))
     options = routes.select(F.lit("route").alias("kind"), F.col("route_id").alias("value"))

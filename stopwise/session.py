@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,10 +48,32 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only a session that names none (a local test) falls back to a temporary folder.
+    Only a local session may name none and then gets a temporary folder; on a cluster that is an
+    error, since the driver's disk is not the executors'.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="stopwise-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4()}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4()}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written to the shared folder inside the block are dropped at its end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _scratch.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

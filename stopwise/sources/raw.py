@@ -12,9 +12,6 @@ from stopwise.operators.latest import newest
 from stopwise.sinks import tables
 from stopwise.sources.schemas import CSV_OPTIONS, DAY_FOLDER, LEDGER, MANIFEST, Dataset
 
-# Files of one run; the rest waits for the next run. It bounds the broadcast of their hashes.
-MAX_FILES = 10_000
-
 
 def drop_glob(
     root: str, dataset: Dataset, start: date | None = None, end: date | None = None
@@ -170,9 +167,10 @@ def load_plan(
     )
 
 
-def to_load(plan: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
-    """The first files of a plan to load in this run."""
-    return plan.where("status = 'LOAD'").orderBy("source_path").limit(max_files)
+def to_load(plan: DataFrame, max_files: int | None = None) -> DataFrame:
+    """The files of a plan to load in this run, only the first ones if the caller says how many."""
+    new = plan.where("status = 'LOAD'")
+    return new if max_files is None else new.orderBy("source_path").limit(max_files)
 
 
 def read_files(spark: SparkSession, dataset: Dataset, paths: list[str], strict: bool) -> DataFrame:
@@ -185,7 +183,7 @@ def read_files(spark: SparkSession, dataset: Dataset, paths: list[str], strict:
 def with_provenance(rows: DataFrame, hashes: DataFrame, loaded_at: datetime) -> DataFrame:
     """Rows with load time, source path, extract date (else load date) and file hash.
 
-    ``hashes`` has one row per file of the run, at most ``MAX_FILES``.
+    ``hashes`` has one row per file of the run; Spark picks the join from its size.
     """
     marked = rows.withColumn("_source_path", F.col("_metadata.file_path"))
     names = hashes.select(
@@ -194,7 +192,7 @@ def with_provenance(rows: DataFrame, hashes: DataFrame, loaded_at: datetime) ->
     day = F.coalesce(extract_date("_source_path"), utc_date("_ingested_at"))
     return (
         marked.withColumn("_key", _plain_path(F.col("_source_path")))
-        .join(F.broadcast(names), "_key", "left")
+        .join(names, "_key", "left")
         .withColumn("_ingested_at", F.lit(loaded_at))
         .withColumn("_extract_date", day)
         .select(*rows.columns, "_ingested_at", "_source_path", "_extract_date", "_hash_md5")
@@ -215,7 +213,7 @@ def load(
     loaded_at: datetime,
     start: date | None = None,
     end: date | None = None,
-    max_files: int = MAX_FILES,
+    max_files: int | None = None,
 ) -> DataFrame:
     """Append the new files of a dataset to its raw table and record them in the ledger.
 

@@ -18,8 +18,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from stopwise.functions.clock import local_date, utc_date
 from stopwise.params import Params
 from stopwise.plans import events, headways, reliability
+from stopwise.session import scratch
 from stopwise.sinks import tables
-from stopwise.sources.schemas import CSV_OPTIONS, DATASETS, Dataset
+from stopwise.sources.raw import read_files
+from stopwise.sources.schemas import DATASETS, Dataset
 
 UPDATES = DATASETS["raw_gtfsrt_trip_updates"]
 POSITIONS = DATASETS["raw_gtfsrt_vehicle_positions"]
@@ -54,29 +56,32 @@ class Dimensions:
 # -- sources ----------------------------------------------------------------------------
 
 
-def snapshot_lines(spark: SparkSession, root: str, max_files: int = 500) -> DataFrame:
-    """New feed files as text lines, each file exactly once."""
-    return (
-        spark.readStream.format("text")
+def snapshot_files(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
+    """Paths of new feed files, each file exactly once; ``max_files`` bounds a micro-batch."""
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv.gz")
-        .option("maxFilesPerTrigger", max_files)
-        .load(f"{root.rstrip('/')}/{UPDATES.folder}")
-        .select("value", F.col("_metadata.file_path").alias("file"))
     )
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(f"{root.rstrip('/')}/{UPDATES.folder}").select("path")
+
 
+def read_snapshots(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of both feeds, read as the batch load reads them: declared options, strict.
 
-def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines of both feeds as typed rows; header lines repeat in every file and drop out."""
+    The paths of a micro-batch go back to the reader, which keeps them on the driver in any case.
+    """
+    spark = files.sparkSession
+    paths = sorted(r.path for r in files.select("path").distinct().collect())
 
     def rows(dataset: Dataset) -> DataFrame:
-        options = {"timestampFormat": CSV_OPTIONS["timestampFormat"], "nullValue": ""}
-        return (
-            lines.where(F.contains("file", F.lit(dataset.file)))
-            .where(~F.startswith("value", F.lit(dataset.schema.fieldNames()[0] + ",")))
-            .select(F.from_csv("value", dataset.ddl, options).alias("r"))
-            .select("r.*")
-        )
+        own = [p for p in paths if f"/{dataset.file}" in p]
+        if not own:
+            return spark.createDataFrame([], dataset.schema)
+        return read_files(spark, dataset, own, strict=True)
 
     return rows(UPDATES), rows(POSITIONS)
 
@@ -196,17 +201,21 @@ def process_batch(
     store: Store,
     dims: Dimensions,
     params: Params = Params(),
-    split: Split = split_lines,
+    split: Split = read_snapshots,
     marts: bool = True,
 ) -> None:
-    """One micro-batch from raw rows to marts; both feeds of a snapshot meet in the raw tables."""
-    updates, positions = split(batch)
-    touched = add_raw(store, "raw_updates", updates, batch_id).union(
-        add_raw(store, "raw_positions", positions, batch_id)
-    )
-    changed = resolve_snapshots(store, touched, batch_id, dims, params)
-    if marts:
-        recompute_dates(store, batch.sparkSession, changed, dims, params)
+    """One micro-batch from raw rows to marts; both feeds of a snapshot meet in the raw tables.
+
+    What it wrote on the way is dropped at its end.
+    """
+    with scratch(batch.sparkSession):
+        updates, positions = split(batch)
+        touched = add_raw(store, "raw_updates", updates, batch_id).union(
+            add_raw(store, "raw_positions", positions, batch_id)
+        )
+        changed = resolve_snapshots(store, touched, batch_id, dims, params)
+        if marts:
+            recompute_dates(store, batch.sparkSession, changed, dims, params)
 
 
 def run_stream(
@@ -214,7 +223,7 @@ def run_stream(
     store: Store,
     dims: Dimensions,
     params: Params = Params(),
-    split: Split = split_lines,
+    split: Split = read_snapshots,
     marts: bool = True,
     every: str | None = None,
 ) -> StreamingQuery:
@@ -292,8 +301,9 @@ def write_live(
     """Keep a table at the newest value of every window; a window's later value replaces it."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            tables.upsert(batch, path, keys, partition)
+        with scratch(batch.sparkSession):
+            if not batch.isEmpty():
+                tables.upsert(batch, path, keys, partition)
 
     return (
         view.writeStream.outputMode("update")

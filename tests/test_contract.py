@@ -44,3 +44,10 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(at) == columns
     assert got
     assert compare(got, [tuple(r[at[c]] for c in columns) for r in cursor.fetchall()]) == ""
+
+
+def test_stream_reads_a_table_that_is_a_folder(spark, folder):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(4).write.parquet(f"{folder}/events.parquet")
+    run = contract.queries()["stop_hour_stream"]
+    assert sorted(map(tuple, run(spark, folder).collect())) == sorted(map(tuple, run(spark, SF).collect()))

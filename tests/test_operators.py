@@ -77,6 +77,23 @@ def test_nearest_in_time_equals_brute_force(spark):
     assert rows(got) == ordered(expected)
 
 
+def test_nearest_in_time_of_one_large_key(spark):
+    """A frame that starts anew for every row would need minutes here."""
+    n = 30_000
+    left = spark.range(n).selectExpr("'k' as k", "timestamp_seconds(id * 3) as t", "id as i")
+    right = spark.range(n).selectExpr("'k' as k", "timestamp_seconds(id * 3 + 1) as s", "id as v")
+    found = nearest_in_time(left, right, ["k"], "t", "s", "v")
+    wrong = found.where("not (dt_abs = 1 and v = i)")
+    assert found.count() == n and wrong.isEmpty()
+
+
+def test_many_hot_keys_are_all_split(spark):
+    big = spark.range(60_000).selectExpr("id % 20000 as k", "id as v")
+    small = spark.range(20_000).selectExpr("id as k", "id * 2 as w")
+    joined = join_splitting_hot_keys(big, small, ["k"], ["v"], rows_per_split=2)
+    assert joined.where("w = 2 * k").count() == 60_000
+
+
 def test_minmax_scores(spark):
     def scores(values, flat):
         df = spark.createDataFrame([(v,) for v in values], "v double")

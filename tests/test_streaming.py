@@ -1,4 +1,6 @@
+import gzip
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def test_stream_equals_batch_with_late_files_and_repeats(spark, folder, dims):
     root, store = f"{folder}/raw", realtime.Store(f"{folder}/store")
 
     def run():
-        stream = realtime.snapshot_lines(spark, root, max_files=2)
+        stream = realtime.snapshot_files(spark, root, max_files=2)
         realtime.run_stream(stream, store, dims, PARAMS).awaitTermination()
 
     _snapshot(spark, root, 0, [1, 2], with_positions=False)
@@ -103,10 +105,10 @@ def test_stream_equals_batch_with_late_files_and_repeats(spark, folder, dims):
     assert store.read(spark, "impacts").count() > 0
 
     # A repeated batch changes nothing.
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv.gz").text(
-        f"{root}/rtd_gtfsrt"
-    ).select("value", F.col("_metadata.file_path").alias("file"))
-    realtime.process_batch(lines, 777, store, dims, PARAMS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.csv.gz"
+    ).load(f"{root}/rtd_gtfsrt").select("path")
+    realtime.process_batch(files, 777, store, dims, PARAMS)
     _assert_same(spark, store, expected)
     listed = raw.manifests(spark, root, realtime.UPDATES)
     assert listed.count() == 3  # the newest manifest of a drop names the file written last
@@ -116,7 +118,7 @@ def test_stream_equals_batch_with_late_files_and_repeats(spark, folder, dims):
 def test_late_weather_rebuilds_route_days(spark, folder, dims):
     root, store = f"{folder}/raw", realtime.Store(f"{folder}/store")
     _snapshot(spark, root, 0, [1])
-    realtime.run_stream(realtime.snapshot_lines(spark, root), store, dims, PARAMS).awaitTermination()
+    realtime.run_stream(realtime.snapshot_files(spark, root), store, dims, PARAMS).awaitTermination()
     assert rows(store.read(spark, "route_day").select("precip_bin").distinct()) == [("heavy",)]
     dry = dims.weather_days.withColumn("precip_bin", F.lit("none"))
     late = realtime.Dimensions(dims.trips, dims.patterns, dims.scheduled_headways, dry)
@@ -160,12 +162,13 @@ def test_event_that_moves_to_another_date_leaves_the_old_one(spark, folder, dims
     feed = "2025-01-14T17:00:00.000000Z"
 
     def batch(batch_id, *events_at):
-        lines = [
-            f"{feed},e,T1,R1,S1,1,0,,SCHEDULED,{at}.000000Z,," for at in events_at
-        ]
-        df = spark.createDataFrame(
-            [(line, f"/x/{realtime.UPDATES.file}/part-0.csv.gz") for line in lines], "value string, file string"
-        )
+        path = Path(folder, str(batch_id), realtime.UPDATES.file, "part-0.csv.gz")
+        path.parent.mkdir(parents=True)
+        with gzip.open(path, "wt") as out:
+            print(",".join(realtime.UPDATES.schema.fieldNames()), file=out)
+            for at in events_at:
+                print(f"{feed},e,T1,R1,S1,1,0,,SCHEDULED,{at}.000000Z,,", file=out)
+        df = spark.createDataFrame([(str(path),)], "path string")
         realtime.process_batch(df, batch_id, store, dims, PARAMS)
 
     batch(0, "2025-01-14T18:00:00")
