@@ -4,21 +4,27 @@ A document is the set of its word shingles. Sizes are cut into bands such that s
 ``NUM`` / ``DEN`` or more lie in the same band or in neighbours; instance j of the join covers band
 j and the one below. Inside an instance such sets differ in at most k_j elements, so when the
 feature domain is cut into more than k_j partitions, the sets agree on one partition at least: they
-share the signature that hashes (instance, partition, elements there). Partitions number
-``SLACK`` * (k + 1).
+share the signature that hashes (instance, partition, elements there).
 
-Two refinements keep signatures few. Small sets have few partitions, and the agreeing one may be
+Two refinements keep signatures few. Small sets have k + 1 partitions, and the agreeing one may be
 empty; empty partitions have no signature, so the domain is cut anew under further seeds until
-there are ``SIGNATURES`` partitions (``SEEDS`` cuts at most). Large sets enumerate only
-``SIGNATURES`` of their partitions: each agrees with a probability of at least exp(-1 / SLACK) =
-0.45, so all of them differ for a linked pair with a probability below 0.55^32 < 1e-8.
+there are ``SIGNATURES`` partitions (``SEEDS`` cuts at most). Sets of more than ``SIGNATURES``
+differences have ``COARSE`` * (k + 1) partitions and enumerate ``SIGNATURES`` of them. Each of
+these agrees for a linked pair with a probability of 0.36 or more, as the differences fall at
+random: all differ with a probability below 0.64^40 < 2e-8 for a link at the threshold.
 
-Texts with equal sets are one node, and only different sets are compared. Nodes that share a
-signature are compared with one hub of it; verified links give components; members of one
-component need not be compared again. Signatures that still hold several components get another
-hub, and after ``HUBS`` of those, all their pairs between components are compared. So no group is
-ever expanded into all its pairs, and no link between components is lost. Every comparison is
-exact, on the shingles of the whole texts.
+Texts with equal sets are one node, and only different sets are compared.
+
+1. Every signature of several nodes names a hub, and nodes are compared with the hubs that they
+   share two signatures with. Verified links give components. This is done ``HUBS`` times with other
+   hubs; most signatures then hold one component only.
+2. Nodes of the other signatures get finer ones (more of the domain in each, and more of them), which
+   again every linked pair shares; those that are connected by them are a family. Within a family
+   every two nodes of different components are compared, in blocks of ``BLOCK`` nodes per side, by
+   products of sparse columns; only links leave a block. Blocks of one component are skipped.
+
+So no group is expanded into rows of pairs, and no link between components is left out. Every
+comparison is exact, on the shingles of the whole texts.
 
 Defined cases: null and texts without words have size 0 and link with nothing; fewer words than a
 shingle are one shingle; a null doc_id takes part and is no component_id unless a component has no
@@ -32,6 +38,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +50,17 @@ from stopwise.llm.shingles import STEP, mix, shingles
 
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-SIGNATURES = 32
-SLACK = 1.25
+SIGNATURES = 40
+COARSE = 0.8
 SEEDS = 8
 HUBS = 2
+#: Signatures of families, and nodes on either side of a block of comparisons.
+FINE_SIGNATURES = 160
+FINE_COARSE = 0.35
+BLOCK = 256
+
+#: Sets that a task remembers.
+REMEMBERED = 2_000
 
 #: Stands for a null doc_id in joins; texts found by it are told apart by their digests.
 NO_ID = -(2**63)
@@ -74,29 +88,39 @@ def most_differences(instance: int) -> int:
     return 2 * _bands[instance][1] * (DEN - NUM) // (DEN + NUM)
 
 
-def signatures(found: np.ndarray) -> np.ndarray:
+SEED = np.array([(i + 1) * int(STEP) & 0xFFFFFFFFFFFFFFFF for i in range(SEEDS)], np.uint64)
+
+
+def partitions(instance: int, enough: int = SIGNATURES, coarse: float = COARSE) -> int:
+    least = most_differences(instance) + 1
+    return least if least <= enough * coarse else max(int(enough * coarse), math.ceil(coarse * least))
+
+
+def signatures(found: np.ndarray, enough: int = SIGNATURES, coarse: float = COARSE) -> np.ndarray:
     """The signatures of a set of hashes."""
     if not len(found):
         return found
     band = int(np.searchsorted(_starts, len(found), "right")) - 1
     out = []
     for instance in (band, band + 1):
-        parts = math.ceil(SLACK * (most_differences(instance) + 1))
-        for seed in range(min(SEEDS, -(-SIGNATURES // parts))):
-            dealt = mix(found + np.uint64((seed + 1) * int(STEP) & 0xFFFFFFFFFFFFFFFF))
-            part = ((dealt >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            if parts > SIGNATURES:
-                few = part < SIGNATURES
-                part, dealt = part[few], dealt[few]
-                if not len(part):
-                    continue
-            order = np.argsort(part, kind="stable")
-            part, dealt = part[order], mix(dealt[order])
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sums = np.add.reduceat(dealt, first)
-            sizes = np.diff(np.r_[first, len(part)]).astype(np.uint64)
-            name = np.uint64((instance * SEEDS + seed) << 40) + part[first]
-            out.append(mix(mix(sums + sizes) + mix(name * STEP + np.uint64(1))))
+        parts = partitions(instance, enough, coarse)
+        seeds = SEED[: -(-enough // parts)]
+        dealt = mix(found + seeds[:, None])
+        part = ((dealt >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        part += np.arange(len(seeds), dtype=np.uint64)[:, None] << np.uint64(32)
+        part, dealt = part.ravel(), dealt.ravel()
+        if parts > enough:
+            few = part < enough
+            part, dealt = part[few], dealt[few]
+            if not len(part):
+                continue
+        order = np.argsort(part, kind="stable")
+        part, dealt = part[order], mix(dealt[order])
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sums = np.add.reduceat(dealt, first)
+        sizes = np.diff(np.r_[first, len(part)]).astype(np.uint64)
+        name = np.uint64(instance << 40) + part[first]
+        out.append(mix(mix(sums + sizes) + mix(name * STEP + np.uint64(1))))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -171,15 +195,22 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        last, hub = None, None
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(node: int, packed: pa.Scalar) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= REMEMBERED:
+                    sets.clear()
+                sets[node] = shingles(unpacker.decompress(packed.as_py()).decode())
+            return sets[node]
+
         for batch in batches:
             fits = []
-            for a, mine, theirs in zip(
-                batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True
-            ):
-                if a != last:
-                    last, hub = a, shingles(unpacker.decompress(mine.as_py()).decode())
-                other = shingles(unpacker.decompress(theirs.as_py()).decode())
+            for a, b, mine, theirs in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3),
+                strict=True,
+            ):
+                hub, other = set_of(a, mine), set_of(b, theirs)
                 both = len(np.intersect1d(hub, other, assume_unique=True))
                 fits.append(DEN * both >= NUM * (len(hub) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
@@ -190,6 +221,111 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, label) of different labels that share a fine signature."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            found = [
+                signatures(shingles(unpacker.decompress(p.as_py()).decode()), FINE_SIGNATURES, FINE_COARSE)
+                for p in batch.column(2)
+            ]
+            for low in range(0, len(found), 500):
+                part, count = found[low : low + 500], [len(f) for f in found[low : low + 500]]
+                index = pa.array(np.repeat(np.arange(low, low + len(part)), count))
+                signs = pa.array(np.concatenate([f.view(np.int64) for f in part]))
+                yield pa.RecordBatch.from_arrays(
+                    [signs, batch.column(0).take(index), batch.column(1).take(index)],
+                    names=["sign", "node", "label"],
+                )
+
+    asked = apart.join(texts, "node").select("node", "label", "packed")
+    signs = stored(asked.mapInArrow(sign, "sign long, node long, label long"), "fine-signs")
+    several = signs.groupBy("sign").agg(
+        F.min("node").alias("a"), F.min("label").alias("l"), F.max("label").alias("h")
+    )
+    stars = signs.join(several.where("l < h").select("sign", "a"), "sign").select("a", F.col("node").alias("b"))
+    # Nodes of one label are one, so that a family is told apart by labels.
+    joined = apart.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    families = components(stars.distinct().unionByName(joined))
+    families = families.select("node", F.col("label").alias("family"))
+    members = apart.join(families, "node")
+    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= BLOCK // 2).groupBy("family").agg(F.sum("n").alias("n_small"))
+    # Large components have blocks of their own; the others are dealt out by component.
+    members = members.join(sizes, ["family", "label"]).join(small, "family", "left")
+    own = F.col("n") > BLOCK // 2
+    block = F.when(
+        own, F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+    ).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("n_small") / BLOCK)))
+    members = members.select("family", "node", "label", block.alias("block"), F.when(own, F.col("label")).alias("pure"))
+    members = stored(members, "family-members")
+    blocks = members.select("family", "block", "pure").distinct()
+    others = blocks.select("family", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    pairs = (
+        blocks.join(others, "family").where("block <= other")
+        .where("not (pure is not null and pure <=> other_pure)").select("family", "block", "other")
+    )
+    pairs = stored(pairs, "block-pairs")
+    with_text = members.join(texts, "node").select("family", "block", "node", "label", "packed")
+    left = with_text.join(pairs, ["family", "block"]).withColumn("side", F.lit(0))
+    right = with_text.withColumnRenamed("block", "other").join(
+        pairs.where("block < other"), ["family", "other"]
+    ).withColumn("side", F.lit(1))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        sets = [shingles(unpacker.decompress(p).decode()) for p in frame["packed"]]
+        side, label, node = (frame[c].to_numpy() for c in ("side", "label", "node"))
+        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(columns):
+            columns = rows
+        size = np.array([len(x) for x in sets])
+        both = shared_counts([sets[i] for i in rows], [sets[i] for i in columns])
+        union = size[rows][:, None] + size[columns] - both
+        linked = (DEN * both >= NUM * union) & (label[rows][:, None] != label[columns])
+        i, j = np.nonzero(linked)
+        # One link of each two components tells that they are one.
+        found = pd.DataFrame(
+            {"a": node[rows][i], "b": node[columns][j], "x": label[rows][i], "y": label[columns][j]}
+        )
+        return found.drop_duplicates(["x", "y"])[["a", "b"]]
+
+    return stored(
+        left.unionByName(right).groupBy("family", "block", "other").applyInPandas(compare, "a long, b long"),
+        "links",
+    )
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8_192) -> np.ndarray:
+    """Elements that each set on the left shares with each on the right."""
+    flat_left, flat_right = np.concatenate(left), np.concatenate(right)
+    known = np.intersect1d(flat_left, flat_right)
+    out = np.zeros((len(left), len(right)), np.int64)
+
+    def places(sets, flat):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(known, flat)
+        hit = at < len(known)
+        hit[hit] = known[at[hit]] == flat[hit]
+        return row[hit], at[hit]
+
+    (row_l, at_l), (row_r, at_r) = places(left, flat_left), places(right, flat_right)
+    for low in range(0, len(known), width):
+        a = np.zeros((len(left), min(width, len(known) - low)), np.float32)
+        b = np.zeros((len(right), a.shape[1]), np.float32)
+        own_l, own_r = (at_l >= low) & (at_l < low + width), (at_r >= low) & (at_r < low + width)
+        a[row_l[own_l], at_l[own_l] - low] = 1
+        b[row_r[own_r], at_r[own_r] - low] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -221,45 +357,30 @@ def join(docs: DataFrame) -> DataFrame:
     release(spark)
 
     fits = F.least("n_a", "n_shingles") * DEN >= F.greatest("n_a", "n_shingles") * NUM
-    links = tested = None
+    links = None
     groups = members.withColumn("label", F.col("node"))
-    for turn in range(HUBS + 1):
-        if turn < HUBS:
-            # A hub for every signature: the smallest by an order that changes with the turn.
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n_shingles", "label")
-            hubs = groups.groupBy("sign").agg(F.min(order).alias("hub"))
-            hubs = hubs.select(
-                "sign", F.col("hub.node").alias("a"), F.col("hub.n_shingles").alias("n_a"),
-                F.col("hub.label").alias("label_a"),
-            )
-        else:
-            hubs = groups.select(
-                "sign", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"),
-                F.col("label").alias("label_a"),
-            )
-        apart = F.col("label_a") != F.col("label")
-        if turn == HUBS:
-            apart = F.col("label_a") < F.col("label")
+    for turn in range(HUBS):
+        # A hub for every signature: the smallest by an order that changes with the turn.
+        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n_shingles", "label")
+        hubs = groups.groupBy("sign").agg(F.min(order).alias("hub"))
+        hubs = hubs.select(
+            "sign", F.col("hub.node").alias("a"), F.col("hub.n_shingles").alias("n_a"),
+            F.col("hub.label").alias("label_a"),
+        )
         pairs = (
-            groups.join(hubs, "sign").where(apart & fits)
-            .select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y"))
-            .distinct()
+            groups.join(hubs, "sign").where((F.col("label_a") != F.col("label")) & fits)
+            .groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
+            .where("n > 1").select("a", "b")
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(_linked(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), texts), "links")
+        found = stored(_linked(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
         labels = components(links)
         release(spark)
-        if turn == HUBS:
-            break
         groups = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = groups.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h"))
         groups = stored(groups.join(several.where("l < h").select("sign"), "sign"), "apart")
-        if groups.isEmpty():
-            break
+    links = links.unionByName(_families(groups.select("node", "label").distinct(), texts))
+    labels = components(links)
 
     whole = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
 SIZE = 5
 
-#: Words are what stands between ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 REMEMBERED = 400_000
 
-_hashes: dict[str, int] = {}
+_hashes: dict[bytes, int] = {}
 
 #: Odd multipliers of the 64-bit finalizer that MurmurHash3 publishes, and an odd number for rows.
 MIX_1 = np.uint64(0xFF51AFD7ED558CCD)
@@ -29,19 +24,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> HALF)
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def words_of(text: str) -> list[bytes]:
+    """What stands between ASCII white space, with A-Z in lower case: bytes know no other kinds."""
+    return text.encode().lower().split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     new = set(words).difference(_hashes)
     if new:
         if len(_hashes) + len(new) > REMEMBERED:
             _hashes.clear()
             new = set(words)
-        _hashes.update({w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new})
+        _hashes.update({w: xxhash.xxh3_64_intdigest(w) for w in new})
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str, size: int = SIZE) -> np.ndarray:
     """Sorted distinct hashes of the ``size``-word shingles; of all words if there are fewer."""
-    words = WORD.findall(text.translate(LOWER))
+    words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
     one = word_hashes(words)
