@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import stopwise
-from stopwise.sinks.tables import materialize as stored
-
-__all__ = ["stored", "table", "body", "release", "shipped"]
+from stopwise.session import shared_dir
 
 _shipped: set[str] = set()
 
@@ -30,6 +28,23 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a relation once into the shared folder and go on from the written table."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.stored_at = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Drop tables made by ``stored`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from stopwise.llm.common import body, release, stored, table
+from stopwise.llm.common import body, discard, release, stored, table
 from stopwise.llm.shingles import mix
 from stopwise.llm.suffixes import BEFORE, LENGTH, WIDE, anchors, repeated, side_hashes
 
@@ -329,11 +329,16 @@ def _spans(texts: DataFrame, many: int) -> DataFrame:
         F.greatest(F.col("at") - BEFORE, F.lit(0)).cast("long").alias("start"),
         (F.col("at") + LENGTH).cast("long").alias("stop"),
     )
+    whole, wanted = stored(whole, "whole-contexts"), stored(wanted, "wanted")
+    discard(found, grams, shared, kinds)
+    release(spark)
     contexts = stored(_contexts(texts, wanted), "contexts")
+    discard(wanted)
     release(spark)
     spans = whole.unionByName(_merged(contexts.where("not many")))
     spans = spans.unionByName(_counted(contexts.where("many")))
     spans = stored(spans, "spans")
+    discard(whole, contexts)
     release(spark)
     return spans
 
