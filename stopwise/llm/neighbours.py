@@ -80,7 +80,7 @@ def _matrix(x) -> np.ndarray:
 
 
 def _leaves(vectors: DataFrame, seed: int) -> DataFrame:
-    """u, part, x, block: leaves of random projections in blocks."""
+    """u, x, block: leaves of random projections in blocks, each of one part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -95,8 +95,10 @@ def _leaves(vectors: DataFrame, seed: int) -> DataFrame:
 
     dealt = vectors.select("u", "part", "x").mapInPandas(run, "u long, part string, x binary, leaf long")
     sizes = dealt.groupBy("part", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    chunk = F.pmod(F.xxhash64("u", F.lit(seed)), F.col("blocks")).alias("chunk")
-    return dealt.join(sizes, ["part", "leaf"]).select("u", "part", "leaf", chunk, "x")
+    # One name for a block, so that the blocks of a large leaf are dealt out to all tasks.
+    chunk = F.pmod(F.xxhash64("u", F.lit(seed)), F.col("blocks"))
+    block = F.concat_ws("/", "part", "leaf", chunk).alias("block")
+    return dealt.join(sizes, ["part", "leaf"]).select("u", "x", block)
 
 
 def _first_lists(vectors: DataFrame, seed: int) -> DataFrame:
@@ -115,7 +117,7 @@ def _first_lists(vectors: DataFrame, seed: int) -> DataFrame:
 
     return (
         _leaves(vectors, seed)
-        .groupBy("part", "leaf", "chunk")
+        .groupBy("block")
         .applyInPandas(run, "u long, v long, cosine double")
     )
 
