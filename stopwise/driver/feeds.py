@@ -414,14 +414,20 @@ def _tract_quality(m: Model):
 
 # -- weather and demographics -----------------------------------------------------------
 
-WEATHER_WIDE = """
+
+def last(value: str, where: str) -> str:
+    """The value of the greatest order key, the greatest one on a tie."""
+    return f"(list({value} ORDER BY l_orderkey DESC, {value} DESC) FILTER ({where}))[1]"
+
+
+WEATHER_WIDE = f"""
     SELECT CAST(l_shipdate AS DATE) AS date, 'W1' AS station,
-           max(l_quantity * 9) FILTER (l_linenumber = 1) AS snow,
-           max(l_quantity) FILTER (l_linenumber = 2) AS prcp,
-           max(-l_quantity) FILTER (l_linenumber = 3) AS tmin,
-           max(l_discount * 100) FILTER (l_linenumber = 4) AS tmax,
-           max(l_quantity * 3) FILTER (l_linenumber = 5 AND l_suppkey % 2 = 0) AS tavg
-    FROM lineitem GROUP BY ALL"""
+           {last('l_quantity * 9', 'l_linenumber = 1')} AS snow,
+           {last('l_quantity', 'l_linenumber = 2')} AS prcp,
+           {last('-l_quantity', 'l_linenumber = 3')} AS tmin,
+           {last('l_discount * 100', 'l_linenumber = 4')} AS tmax,
+           {last('l_quantity * 3', 'l_linenumber = 5 AND l_suppkey % 2 = 0')} AS tavg
+    FROM lineitem GROUP BY 1, 2"""
 WEATHER_SQL = f"""
     WITH w AS ({WEATHER_WIDE}),
     d AS (SELECT CAST(g AS DATE) AS date
@@ -446,6 +452,7 @@ def _observations(m: Model):
     return m.inputs.lineitem.selectExpr(
         "concat(cast(cast(l_shipdate as date) as string), 'T00:00:00') as date",
         "'W1' as station",
+        "l_orderkey as loaded",
         f"{kind} as datatype",
         """case l_linenumber when 1 then l_quantity * 9 when 3 then -l_quantity
                 when 4 then l_discount * 100
@@ -463,7 +470,7 @@ SPAN = (date(1994, 12, 20), date(2001, 12, 31))
     WEATHER_SQL,
 )
 def _weather_pivot_spine(m: Model):
-    return weather.daily_weather(weather.widen(_observations(m)), *SPAN)
+    return weather.daily_weather(weather.widen(_observations(m), "loaded"), *SPAN)
 
 
 @register(
@@ -476,7 +483,7 @@ def _weather_pivot_spine(m: Model):
         FROM w""",
 )
 def _unit_scale(m: Model):
-    return weather.scale_units(weather.widen(_observations(m)))
+    return weather.scale_units(weather.widen(_observations(m), "loaded"))
 
 
 @register(
@@ -520,7 +527,7 @@ def _precip_bins(m: Model):
         FROM ({WEATHER_SQL}) AS d""",
 )
 def _missing_rates(m: Model):
-    days = weather.daily_weather(weather.widen(_observations(m)), *SPAN)
+    days = weather.daily_weather(weather.widen(_observations(m), "loaded"), *SPAN)
     return weather.missing_rates(days, ["snow_mm", "precip_mm", "tavg_c", "precip_bin"])
 
 

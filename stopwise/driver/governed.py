@@ -230,7 +230,8 @@ def _qa_dup_profile(m: Model):
     "qa_snapshot_counts",
     "num_snapshots:i total_updates:i grade:s",
     """SELECT count(DISTINCT feed_ts_utc) AS num_snapshots, count(*) AS total_updates,
-              'FAIL' AS grade
+              CASE WHEN count(DISTINCT feed_ts_utc) >= 280 THEN 'PASS'
+                   WHEN count(DISTINCT feed_ts_utc) >= 80 THEN 'WARN' ELSE 'FAIL' END AS grade
        FROM v_updates WHERE CAST(feed_ts_utc - INTERVAL 7 HOUR AS DATE) = DATE '2024-01-30'""",
 )
 def _qa_snapshot_counts(m: Model):

@@ -93,11 +93,16 @@ def export_partitioned(
     if not found:
         return []
     rows = mart.where(F.col(DATE_COLUMN).isin(found)).withColumn("run_date", F.col(DATE_COLUMN))
-    tables.overwrite_partitions(rows, f"{root}/{name}", "run_date")
+    tables.overwrite_partitions(rows, f"{root}/{name}", "run_date", _spread(mart))
     write_state(spark, state_path, name, found[-1], run_at)
     return found
 
 
+def _spread(mart: DataFrame) -> tuple[str, ...]:
+    """Columns by which the rows of a date are dealt out, so that a task writes few files."""
+    return tuple(c for c in ("route_id", "stop_id") if c in mart.columns) or (mart.columns[0],)
+
+
 def export_snapshot(
     mart: DataFrame, name: str, root: str, state_path: str, run_at: datetime
 ) -> bool:

@@ -26,19 +26,25 @@ def precip_bin(mm: str) -> Column:
     )
 
 
-def widen(observations: DataFrame) -> DataFrame:
+def widen(observations: DataFrame, order: str | None = None) -> DataFrame:
     """Long observations (date, station, datatype, value) to one row per day and station.
 
-    Conditional maxima in one aggregate; a repeated observation keeps its greatest value.
+    One aggregate. Of a repeated observation the last value by the ``order`` column counts, the
+    greatest one where the order leaves a tie or there is no such column.
     """
     day = F.expr("try_to_date(substring(cast(date as string), 1, 10), 'yyyy-MM-dd')")
+    value = F.col("value").try_cast("double")
+    rank = F.lit(0) if order is None else F.col(order)
     return (
         observations.groupBy(day.alias("date"), "station")
         .agg(
             *[
-                F.max(F.when(F.col("datatype") == kind, F.col("value").try_cast("double"))).alias(
-                    name
-                )
+                F.max(
+                    F.when(
+                        (F.col("datatype") == kind) & value.isNotNull(),
+                        F.struct(rank.alias("rank"), value.alias("value")),
+                    )
+                )["value"].alias(name)
                 for kind, (name, _) in MEASURES.items()
             ]
         )
