@@ -164,7 +164,7 @@ def points_near_polygons(
     Points carry ``lon, lat``. Polygons carry ``edges``, an array of
     ``struct<lon1,lat1,lon2,lat2>`` over all their rings; odd crossings of a ray cover holes
     and several parts. Boxes alone meet the points on the grid, then the edges of a polygon
-    travel once. All edges of a pair are unfolded in the task that holds it, so the grouping
+    travel once, or once per split of a hot polygon. All edges of a pair are unfolded in the task that holds it, so the grouping
     is finished map-side and shuffles one row per pair.
     """
     grid = Grid(radius_m, cell_m)
@@ -182,6 +182,8 @@ def points_near_polygons(
         .where(f"lon between _west - {margin} and _east + {margin}")
         .select("lon", "lat", polygon_key)
     )
+    # The points of a hot polygon are split while the query runs (forceOptimizeSkewedJoin): a
+    # measured list as above would compute the candidates twice.
     unfolded = geo.with_plane_chord(
         geo.with_plane_scale(candidates)
         .join(polygons.select(polygon_key, "edges"), polygon_key)

@@ -213,3 +213,21 @@ def test_points_near_polygons(spark):
         + [("804 south", g) for g in ("holed", "open", "two")]
         + [("second", "two")]
     )
+
+
+def test_a_polygon_of_many_edges_and_points_is_split(spark):
+    """A circle of 2,000 edges: distances are known without the operator."""
+    lat, n, radius = 39.7, 2_000, 3_000.0
+    kx = math.cos(math.radians(lat))
+    at = lambda r, t: (
+        -105 + r * math.cos(t) / geo.METERS_PER_DEGREE / kx,
+        lat + r * math.sin(t) / geo.METERS_PER_DEGREE,
+    )
+    ring = [list(at(radius, 2 * math.pi * i / n)) for i in range(n)]
+    polygons = _polygons(spark, {"c": str({"type": "Polygon", "coordinates": [ring + ring[:1]]}).replace("'", '"')})
+    reach = [(100.0 + 13 * i, 0.1 + i) for i in range(300)]
+    points = spark.createDataFrame([(*at(r, t), r) for r, t in reach], "lon double, lat double, r double")
+    found = points_near_polygons(points, polygons, "geoid", 500.0, rows_per_split=40).join(points, ["lon", "lat"])
+    got = {round(x.r): x.distance_m for x in found.collect()}
+    assert {round(r) for r, _ in reach if r < radius + 490} <= set(got) <= {round(r) for r, _ in reach if r < radius + 510}
+    assert all(abs(d - max(0.0, r - radius)) < 10 for r, d in got.items())
