@@ -20,8 +20,9 @@ Texts with equal sets are one node, and only different sets are compared.
    hubs; most signatures then hold one component only.
 2. Nodes of the other signatures get finer ones (more of the domain in each, and more of them), which
    again every linked pair shares; those that are connected by them are a family. Within a family
-   every two nodes of different components are compared, in blocks of ``BLOCK`` nodes per side, by
-   products of sparse columns; only links leave a block. Blocks of one component are skipped.
+   every two nodes of different components and fitting sizes are compared, in blocks of ``BLOCK``
+   nodes per side, by products of sparse columns; only links leave a block. Blocks of one component
+   are skipped.
 
 So no group is expanded into rows of pairs, and no link between components is left out. Every
 comparison is exact, on the shingles of the whole texts.
@@ -54,13 +55,15 @@ SIGNATURES = 40
 COARSE = 0.8
 SEEDS = 8
 HUBS = 2
-#: Signatures of families, and nodes on either side of a block of comparisons.
+#: Signatures of families; nodes on either side of a block of comparisons, and about how many
+#: shingles these have together.
 FINE_SIGNATURES = 160
 FINE_COARSE = 0.35
 BLOCK = 256
+BLOCK_SHINGLES = 150_000
 
-#: Sets that a task remembers.
-REMEMBERED = 2_000
+#: Shingles of sets that a task remembers.
+REMEMBERED = 4_000_000
 
 #: Stands for a null doc_id in joins; texts found by it are told apart by their digests.
 NO_ID = -(2**63)
@@ -196,12 +199,16 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         unpacker = zstandard.ZstdDecompressor()
         sets: dict[int, np.ndarray] = {}
+        held = 0
 
         def set_of(node: int, packed: pa.Scalar) -> np.ndarray:
+            nonlocal held
             if node not in sets:
-                if len(sets) >= REMEMBERED:
+                if held > REMEMBERED:
                     sets.clear()
+                    held = 0
                 sets[node] = shingles(unpacker.decompress(packed.as_py()).decode())
+                held += len(sets[node])
             return sets[node]
 
         for batch in batches:
@@ -222,7 +229,8 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, label) of different labels that share a fine signature."""
+    """Links (a, b) between nodes (node, n_shingles, label) of different labels that share a fine
+    signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -252,21 +260,30 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
     joined = apart.select(F.col("label").alias("a"), F.col("node").alias("b"))
     families = components(stars.distinct().unionByName(joined))
     families = families.select("node", F.col("label").alias("family"))
-    members = apart.join(families, "node")
-    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= BLOCK // 2).groupBy("family").agg(F.sum("n").alias("n_small"))
+    # Sizes of linked sets differ by a factor of DEN / NUM at most: by one of these classes.
+    grade = F.floor(F.log(F.col("n_shingles")) / math.log(DEN / NUM + 0.01)).alias("grade")
+    # The weight of a node is its share of a block.
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES).alias("weight")
+    members = apart.select("node", "label", grade, weight).join(families, "node")
+    group = ["family", "grade"]
+    sizes = members.groupBy(*group, "label").agg(F.sum("weight").alias("n"))
+    small = sizes.where(F.col("n") <= 0.5).groupBy(*group).agg(F.sum("n").alias("n_small"))
     # Large components have blocks of their own; the others are dealt out by component.
-    members = members.join(sizes, ["family", "label"]).join(small, "family", "left")
-    own = F.col("n") > BLOCK // 2
+    members = members.join(sizes, [*group, "label"]).join(small, group, "left")
+    own = F.col("n") > 0.5
     block = F.when(
-        own, F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    ).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("n_small") / BLOCK)))
-    members = members.select("family", "node", "label", block.alias("block"), F.when(own, F.col("label")).alias("pure"))
+        own, F.xxhash64("grade", "label", F.pmod(F.xxhash64("node"), F.ceil("n")))
+    ).otherwise(F.xxhash64("grade", F.pmod(F.xxhash64("label"), F.ceil("n_small"))))
+    members = members.select(
+        *group, "node", "label", block.alias("block"), F.when(own, F.col("label")).alias("pure")
+    )
     members = stored(members, "family-members")
-    blocks = members.select("family", "block", "pure").distinct()
-    others = blocks.select("family", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    blocks = members.select(*group, "block", "pure").distinct()
+    others = blocks.select(
+        "family", F.col("grade").alias("other_grade"), F.col("block").alias("other"), F.col("pure").alias("other_pure")
+    )
     pairs = (
-        blocks.join(others, "family").where("block <= other")
+        blocks.join(others, "family").where("block <= other and abs(grade - other_grade) <= 1")
         .where("not (pure is not null and pure <=> other_pure)").select("family", "block", "other")
     )
     pairs = stored(pairs, "block-pairs")
@@ -379,7 +396,7 @@ def join(docs: DataFrame) -> DataFrame:
         groups = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = groups.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h"))
         groups = stored(groups.join(several.where("l < h").select("sign"), "sign"), "apart")
-    links = links.unionByName(_families(groups.select("node", "label").distinct(), texts))
+    links = links.unionByName(_families(groups.select("node", "n_shingles", "label").distinct(), texts))
     labels = components(links)
 
     whole = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
