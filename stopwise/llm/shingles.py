@@ -7,7 +7,7 @@ import xxhash
 
 SIZE = 5
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _hashes: dict[bytes, int] = {}
 

@@ -38,7 +38,7 @@ from stopwise.llm.common import body, table
 HELD_OUT = 2
 THRESHOLD = 0.3
 
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 PREFIXES = (4, 5, 6, 7)
 #: A feature occurs in so many toxic documents, at so many times the rate of clean ones, and the
 #: rates differ by so many standard errors.
@@ -50,7 +50,7 @@ STEPS = 120
 RATE = 0.3
 SHRINK = 3e-5
 #: Words whose weight a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 SENTENCE = re.compile(r"[^.!?\n\r]+")
 WORD = re.compile(r"\w+")

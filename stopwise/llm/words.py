@@ -20,8 +20,8 @@ WORD = re.compile(
 
 #: Words and letters that a process remembers at most, in each of two generations. When the younger
 #: one is full it becomes the older, and words that are met again move back.
-REMEMBERED = 250_000
-LETTERS = 8_000_000
+REMEMBERED = 150_000
+LETTERS = 5_000_000
 
 _loaded: dict[str, "Words"] = {}
 
