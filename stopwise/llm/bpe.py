@@ -34,11 +34,14 @@ from stopwise.llm.common import body, release, table
 from stopwise.llm.words import chunks, cut, default_path, words_of
 
 #: Words of the broadcast part, the longest of them, and how often a task must see a candidate.
-HEAD = 400_000
+HEAD = 500_000
 LONGEST = 24
-AGAIN = 3
+AGAIN = 2
 #: Distinct chunks that a task counts or remembers at a time.
-COUNTED = 250_000
+COUNTED = 400_000
+
+#: Stands for a null doc_id in joins. Words mean the same in every document, so it may be an id too.
+NO_ID = -(2**63)
 
 
 def _head(docs: DataFrame, size: int) -> DataFrame:
@@ -138,7 +141,18 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
                     ids, words = [], []
             yield flush(ids, words)
 
-    source = docs.select(F.col("doc_id").cast("long"), body().alias("text"))
+    # A row (id, word with ids) is packed into few bytes, since rows of rare words travel twice.
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            pairs = [w.encode() + b"\n" + i for w, i in zip(words, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(pairs, pa.binary())], names=["of", "pair"]
+            )
+
+    source = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), body().alias("text")
+    )
     tail = source.mapInArrow(rare, "doc_id long, word string")
     tail = encode_words(tail.repartition("word").sortWithinPartitions("word"), path)
 
@@ -152,11 +166,10 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
                 [batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"]
             )
 
-    own = tail.groupBy(F.col("doc_id").alias("of")).agg(
-        F.collect_list(F.struct("word", "ids")).alias("rare")
-    )
+    pairs = tail.mapInArrow(pair, "of long, pair binary")
+    own = pairs.groupBy("of").agg(F.collect_list("pair").alias("rare"))
     packed = source.mapInArrow(pack, "doc_id long, packed binary")
-    both = packed.join(own, packed["doc_id"].eqNullSafe(own["of"]), "left").drop("of")
+    both = packed.join(own, packed["doc_id"] == own["of"], "left").drop("of")
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -173,7 +186,8 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 text = unpacker.decompress(batch.column(1)[i].as_py()).decode()
-                own = {r["word"]: r["ids"] for r in batch.column(2)[i].as_py() or ()}
+                split = [p.partition(b"\n") for p in batch.column(2)[i].as_py() or ()]
+                own = {w.decode(): found for w, _, found in split}
                 parts = chunks(text)
                 if len(done) > COUNTED:
                     done.clear()
@@ -206,7 +220,8 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
     else:
         names, kinds = ("ids", "decoded"), (pa.binary(), pa.string())
         schema = "doc_id long, ids binary, decoded string"
-    return both.mapInArrow(put_back, schema)
+    done = both.mapInArrow(put_back, schema)
+    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
