@@ -37,8 +37,9 @@ from stopwise.llm.words import chunks, cut, default_path, words_of
 HEAD = 500_000
 LONGEST = 24
 AGAIN = 2
-#: Distinct chunks that a task counts or remembers at a time.
+#: Distinct chunks that a task counts at a time, and whose ids and text it remembers.
 COUNTED = 400_000
+REMEMBERED = 200_000
 
 #: Stands for a null doc_id in joins. Words mean the same in every document, so it may be an id too.
 NO_ID = -(2**63)
@@ -189,7 +190,7 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
                 split = [p.partition(b"\n") for p in batch.column(2)[i].as_py() or ()]
                 own = {w.decode(): found for w, _, found in split}
                 parts = chunks(text)
-                if len(done) > COUNTED:
+                if len(done) > REMEMBERED:
                     done.clear()
                 mine = {}
                 for c in set(parts).difference(done):
