@@ -1,17 +1,26 @@
 """Embedding near-duplicates by NN-descent.
 
-Vectors are compared only within their label. Every vector keeps a list of its ``LIST`` nearest ones
-found so far. Lists start from leaves of random projections, cut into blocks of about ``BLOCK``
-vectors that are compared among themselves. In each round the neighbours of a vector, in both
-directions, are compared with each other (neighbours of neighbours), and lists take what is nearer.
-A vector with many reverse neighbours lends at most about ``LENT`` of them to a round, chosen anew
-each time.
-
-All pairs that reach the threshold on the way are links; their components are closed groups. A list
-that holds links only may miss others, so lists are then enlarged to the whole component, in
-blocks: pairs of blocks whose centres and radii decide every pair (all link or none) are counted
-without comparing vectors, others are compared. An audit compares ``AUDIT`` vectors with all of
-their label; below ``RECALL`` further rounds with new projections follow.
+Vectors are compared only within their label. Equal vectors are one node with a weight; its name is
+the 64-bit hash of label and vector, so naming it needs no join. Every node keeps a list of its
+``LIST`` nearest ones found so far. Lists start from leaves of random projections, which take as many
+planes as bring them to ``BLOCK`` times the logarithm of the label's nodes, and whose nodes are
+compared among themselves. In each round the neighbours of a node, in both directions, are compared
+with each other (neighbours of neighbours), and lists take what is nearer, until no more than
+``CHANGED`` of their entries are new. A node with many reverse neighbours lends at most about ``LENT``
+of them to a round, chosen anew each time.
+
+All pairs that reach the threshold on the way join components, also those that no list has room for;
+of each leaf or neighbourhood only a spanning forest of its links is kept. Further attempts look
+outward: lists then hold only nodes of other components, so a group that fills its own lists still
+meets the groups beside it. Lists are then enlarged to the whole component, in blocks: pairs of
+blocks whose centres and radii decide every pair (all link or none) are counted without comparing
+vectors, others are compared.
+
+An attempt with new projections is the last one when it adds a link to at most 1 - ``RECALL`` of the
+linked nodes outside large components, and an audit agrees: nodes without a component, of small and
+of large components are compared with all of their label, and the mean recall per node that has
+links, of those in large components and of all others, is at least ``RECALL``. What ``ATTEMPTS``
+attempts do not settle is an error.
 
 Cosines are those of double precision. Defined cases: null labels, null, empty and zero vectors and
 those with null or non-finite components link with nothing; vectors of different lengths are apart;
@@ -36,12 +45,18 @@ THRESHOLD = 0.93
 LIST = 12
 LENT = 12
 BLOCK = 128
-PLANES = 4
+#: Planes are taken in steps until a leaf is small enough, this many at most.
+STEP = 2
+PLANES = 40
 TREES = 2
-ROUNDS = 2
-#: Rows of a block of a component, vectors of the audit, and the recall it asks for.
+CHANGED = 0.02
+#: Rows of a block of a component.
 ENLARGED = 512
+#: Nodes that the audit takes of large components (more than ``SMALL`` nodes), of small ones and of
+#: those without one, and the recall it asks for.
 AUDIT = 256
+AUDIT_APART = 2_048
+SMALL = LIST + 1
 RECALL = 0.98
 ATTEMPTS = 4
 #: Safety of decisions by centres and radii, in radians.
@@ -49,7 +64,7 @@ MARGIN = 1e-7
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """u (row number, fixed by being written), vec_id, part (label and length), x (unit, doubles)."""
+    """u (hash of part and x), vec_id, part (label and length), x (unit, doubles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +76,8 @@ def _vectors(rows: DataFrame) -> DataFrame:
                     # Scaled first, so that squares neither vanish nor overflow.
                     top = np.abs(x).max()
                     norm = np.linalg.norm(x / top) if np.isfinite(top) and top > 0 else 0.0
-                    x = x / top / norm if norm > 0 and np.isfinite(norm) else None
+                    # Adding 0 makes a negative zero a zero.
+                    x = x / top / norm + 0.0 if norm > 0 and np.isfinite(norm) else None
                 ids.append(vec_id)
                 labels.append(None if x is None else f"{label}/{len(x)}")
                 parts.append(None if x is None else x.tobytes())
@@ -72,7 +88,16 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
     found = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
     found = found.mapInArrow(run, "vec_id long, part string, x binary")
-    return stored(found.withColumn("u", F.monotonically_increasing_id()), "vectors")
+    return stored(found.withColumn("u", F.when(F.col("x").isNotNull(), F.xxhash64("part", "x"))), "vectors")
+
+
+def _nodes(every: DataFrame) -> DataFrame:
+    """u, part, x, weight (its rows) and least (its smallest vec_id) of every distinct vector."""
+    found = every.where("x is not null").groupBy("u").agg(
+        F.first("part").alias("part"), F.first("x").alias("x"), F.count("*").alias("weight"),
+        F.min("vec_id").alias("least"),
+    )
+    return stored(found, "nodes")
 
 
 def _matrix(x) -> np.ndarray:
@@ -80,46 +105,93 @@ def _matrix(x) -> np.ndarray:
 
 
 def _leaves(vectors: DataFrame, seed: int) -> DataFrame:
-    """u, x, block: leaves of random projections in blocks, each of one part."""
+    """u, x, label, block: leaves of random projections, each of one part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            leaf = np.zeros(len(frame), np.int64)
+            code = np.zeros(len(frame), np.int64)
             size = frame["x"].str.len().to_numpy()
             for width in np.unique(size):
                 own = np.flatnonzero(size == width)
                 planes = np.random.default_rng([seed, int(width)]).normal(size=(width // 8, PLANES))
                 bits = _matrix(frame["x"].iloc[own]) @ planes > 0
-                leaf[own] = bits @ (1 << np.arange(PLANES))
-            yield frame.assign(leaf=leaf)
+                code[own] = bits @ (1 << np.arange(PLANES)[::-1])
+            yield frame[["u", "part"]].assign(code=code)
+
+    codes = stored(vectors.select("u", "part", "x").mapInPandas(run, "u long, part string, code long"), "codes")
+    levels = F.array(*[
+        F.struct(F.lit(d).alias("level"), F.shiftright("code", PLANES - d).alias("prefix"))
+        for d in range(0, PLANES + 1, STEP)
+    ])
+    # Prefixes of codes that hold too many nodes are few: nodes / BLOCK at each level at most.
+    every = codes.select("u", "part", F.explode(levels).alias("p")).select("u", "part", "p.level", "p.prefix")
+    sizes = every.groupBy("part", "level", "prefix").agg(F.count("*").alias("n"))
+    parts = codes.groupBy("part").agg((BLOCK * F.ceil(F.log2(F.count("*") + 1))).alias("most"))
+    hot = stored(sizes.where(F.col("n") > BLOCK).join(parts, "part").where("n > most"), "large-leaves")
+    deepest = every.join(hot, ["part", "level", "prefix"]).groupBy("u").agg(
+        F.max(F.struct("level", "n", "most")).alias("d")
+    )
+    # A leaf that all planes leave too large is dealt out to blocks; each level is a plane more.
+    level = F.least(F.coalesce(F.col("d.level") + STEP, F.lit(0)), F.lit(PLANES))
+    chunks = F.when(F.col("d.level") == PLANES, F.ceil(F.col("d.n") / F.col("d.most"))).otherwise(1)
+    block = F.concat_ws(
+        "/", "part", level, F.expr("shiftright(code, rest)"), F.pmod(F.xxhash64("u", F.lit(seed)), chunks)
+    )
+    named = codes.join(deepest, "u", "left").withColumn("rest", (PLANES - level).cast("int"))
+    named = named.select("u", block.alias("block"))
+    return vectors.join(named, "u").select("u", "x", "label", "block")
+
 
-    dealt = vectors.select("u", "part", "x").mapInPandas(run, "u long, part string, x binary, leaf long")
-    sizes = dealt.groupBy("part", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    # One name for a block, so that the blocks of a large leaf are dealt out to all tasks.
-    chunk = F.pmod(F.xxhash64("u", F.lit(seed)), F.col("blocks"))
-    block = F.concat_ws("/", "part", "leaf", chunk).alias("block")
-    return dealt.join(sizes, ["part", "leaf"]).select("u", "x", block)
+def _spanning(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members and first members of the components of a symmetric matrix of links."""
+    top = np.full(len(hits), -1)
+    for first in np.flatnonzero(hits.sum(axis=1) > hits.diagonal()):
+        if top[first] < 0:
+            new = np.array([first])
+            while len(new):
+                top[new] = first
+                new = np.flatnonzero(hits[new].any(axis=0) & (top < 0))
+    members = np.flatnonzero((top >= 0) & (top != np.arange(len(hits))))
+    return members, top[members]
+
+
+_PAIRS = "u long, v long, cosine double, linked boolean"
 
 
 def _first_lists(vectors: DataFrame, seed: int) -> DataFrame:
-    """u, v, cosine: the nearest of each vector in its block, in both directions."""
+    """u, v, cosine, linked: the nearest of each node outside its component (label) in its leaf, in
+    one direction, and a spanning forest of the links of the leaf."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, u = _matrix(frame["x"]), frame["u"].to_numpy()
-        cosine = x @ x.T
-        np.fill_diagonal(cosine, -2)
+        frame = frame.sort_values("u")
+        x, u, label = _matrix(frame["x"]), frame["u"].to_numpy(), frame["label"].to_numpy()
         k = min(LIST, len(u) - 1)
         if k < 1:
-            return pd.DataFrame({"u": [], "v": [], "cosine": []}).astype({"u": "int64", "v": "int64"})
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        i = np.repeat(np.arange(len(u)), k)
-        return pd.DataFrame({"u": u[i], "v": u[near.ravel()], "cosine": cosine[i, near.ravel()]})
-
-    return (
-        _leaves(vectors, seed)
-        .groupBy("block")
-        .applyInPandas(run, "u long, v long, cosine double")
-    )
+            return pd.DataFrame({"u": [], "v": [], "cosine": [], "linked": []}).astype(
+                {"u": "int64", "v": "int64", "cosine": "float64", "linked": "bool"}
+            )
+        hits = np.zeros((len(u), len(u)), bool)
+        out = []
+        # In strips, so that a large leaf holds few numbers at a time.
+        for low in range(0, len(u), ENLARGED):
+            i = np.arange(low, min(low + ENLARGED, len(u)))
+            cosine = x[i] @ x.T
+            hits[i] = cosine >= THRESHOLD
+            cosine[label[i][:, None] == label] = -2
+            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k].ravel()
+            at = np.repeat(i, k)
+            found = cosine[at - low, near]
+            own = found > -2
+            out.append((u[at[own]], u[near[own]], found[own]))
+        a, b = _spanning(hits | hits.T)
+        once = label[a] != label[b]
+        u_, v, cosine = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pd.concat([
+            pd.DataFrame({"u": u_, "v": v, "cosine": cosine, "linked": False}),
+            pd.DataFrame({"u": u[a[once]], "v": u[b[once]], "cosine": 1.0, "linked": True}),
+        ])
+
+    return _leaves(vectors, seed).groupBy("block").applyInPandas(run, _PAIRS)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -147,7 +219,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Itera
 
 
 def _round(vectors: DataFrame, lists: DataFrame, seed: int) -> DataFrame:
-    """u, v, cosine of pairs of neighbours' neighbours that enter a list or are links."""
+    """u, v, cosine, linked: neighbours' neighbours of other components that enter a list, and a
+    spanning forest of the links of each neighbourhood."""
     worst = lists.groupBy("u").agg(F.min("cosine").alias("worst"), F.count("*").alias("n"))
     worst = worst.select("u", F.when(F.col("n") < LIST, F.lit(-2.0)).otherwise(F.col("worst")).alias("worst"))
     into = lists.groupBy("v").agg(F.count("*").alias("n"))
@@ -160,13 +233,14 @@ def _round(vectors: DataFrame, lists: DataFrame, seed: int) -> DataFrame:
         .unionByName(worst.select(F.col("u").alias("pivot"), "u"))
         .distinct()
     )
-    narrow = vectors.select("u", "x").join(worst, "u")
-    around = around.join(narrow, "u").select("pivot", "u", "worst", "x")
+    narrow = vectors.select("u", "x", "label").join(worst, "u")
+    around = around.join(narrow, "u").select("pivot", "u", "worst", "x", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches):
             pivot = group.column("pivot").to_numpy()
             u, worst = group.column("u").to_numpy(), group.column("worst").to_numpy()
+            label = group.column("label").to_numpy()
             x = _padded(group.column("x").to_pylist())
             first = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1]])
             sizes = np.diff(np.r_[first, len(pivot)])
@@ -179,21 +253,31 @@ def _round(vectors: DataFrame, lists: DataFrame, seed: int) -> DataFrame:
                 i, j = np.triu_indices(size, 1)
                 for low in range(0, len(at), 2_000):
                     rows = at[low : low + 2_000]
-                    cosine = np.matmul(x[rows], x[rows].transpose(0, 2, 1))[:, i, j]
+                    square = np.matmul(x[rows], x[rows].transpose(0, 2, 1))
+                    cosine = square[:, i, j]
                     a, b = rows[:, i], rows[:, j]
-                    new = (cosine > np.minimum(worst[a], worst[b])) | (cosine >= THRESHOLD)
-                    out.append((u[a[new]], u[b[new]], cosine[new]))
+                    new = (cosine > np.minimum(worst[a], worst[b])) & (label[a] != label[b])
+                    out.append((u[a[new]], u[b[new]], cosine[new], np.zeros(new.sum(), bool)))
+                    hits = square >= THRESHOLD
+                    hits |= hits.transpose(0, 2, 1) | np.eye(size, dtype=bool)
+                    top, before = np.tile(np.arange(size), (len(rows), 1)), None
+                    while before is None or (top != before).any():
+                        before = top
+                        top = np.where(hits, top[:, None, :], size).min(axis=2)
+                    a, b = rows, np.take_along_axis(rows, top, axis=1)
+                    new = (a != b) & (label[a] != label[b])
+                    out.append((u[a[new]], u[b[new]], np.ones(new.sum()), np.ones(new.sum(), bool)))
             if out:
-                a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
+                a, b, c, linked = (np.concatenate(z) for z in zip(*out, strict=True))
                 low, high = np.minimum(a, b), np.maximum(a, b)
-                once = np.unique(np.stack([low, high]), axis=1, return_index=True)[1]
+                once = np.unique(np.stack([low, high, linked]), axis=1, return_index=True)[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low[once]), pa.array(high[once]), pa.array(c[once])],
-                    names=["u", "v", "cosine"],
+                    [pa.array(low[once]), pa.array(high[once]), pa.array(c[once]), pa.array(linked[once])],
+                    names=["u", "v", "cosine", "linked"],
                 )
 
     sorted_rows = around.repartition("pivot").sortWithinPartitions("pivot")
-    return sorted_rows.mapInArrow(run, "u long, v long, cosine double")
+    return sorted_rows.mapInArrow(run, _PAIRS)
 
 
 def _padded(rows: list[bytes]) -> np.ndarray:
@@ -208,26 +292,35 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def descend(vectors: DataFrame, lists: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Lists after new leaves and some rounds, and the links met on the way."""
-    found = [_first_lists(vectors, 100 * seed + t) for t in range(TREES)]
-    start = found[0]
-    for more in found[1:]:
-        start = start.unionByName(more)
-    if lists is not None:
-        start = start.unionByName(lists)
+    """Lists after new leaves and rounds until few entries change, and links met on the way that
+    join components (the label of vectors)."""
+    start = _first_lists(vectors, 100 * seed)
+    for t in range(1, TREES):
+        start = start.unionByName(_first_lists(vectors, 100 * seed + t))
     start = stored(start, "leaf-pairs")
-    links = start.where(F.col("cosine") >= THRESHOLD).select("u", "v")
-    lists = stored(_best(start), "lists")
-    for n in range(ROUNDS):
+    links = start.where("linked").select("u", "v")
+    first = start.where("not linked").select("u", "v", "cosine")
+    if lists is not None:
+        # Of earlier lists what is still in another component.
+        label = vectors.select(F.col("u").alias("v"), F.col("label").alias("other"))
+        old = lists.join(vectors.select("u", "label"), "u").join(label, "v").where("label <> other")
+        first = first.unionByName(old.select("u", "v", "cosine"))
+    lists = stored(_best(first), "lists")
+    entries, n = lists.count(), 0
+    while entries:
         pairs = stored(_round(vectors, lists, 100 * seed + n), "pairs")
-        links = links.unionByName(pairs.where(F.col("cosine") >= THRESHOLD).select("u", "v"))
-        lists = stored(_best(_both_ways(pairs).unionByName(lists)), "lists")
+        links = links.unionByName(pairs.where("linked").select("u", "v"))
+        listed = pairs.where("not linked").select("u", "v", "cosine")
+        before, n = lists, n + 1
+        lists = stored(_best(_both_ways(listed).unionByName(before)), "lists")
         release(vectors.sparkSession)
+        if lists.join(before, ["u", "v"], "left_anti").count() <= CHANGED * entries:
+            break
     return lists, stored(links.distinct(), "links")
 
 
 def enlarge(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """u, n_links: links of each member of the components (node, label), counted in blocks."""
+    """u, n_links: links of each row of the members of the components (node, label), counted in blocks."""
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / ENLARGED).alias("blocks"))
     members = (
         labels.join(sizes, "label")
@@ -235,9 +328,9 @@ def enlarge(vectors: DataFrame, labels: DataFrame) -> DataFrame:
             F.col("label"), F.col("node").alias("u"),
             F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"),
         )
-        .join(vectors.select("u", "x"), "u")
+        .join(vectors.select("u", "x", "weight"), "u")
     )
-    members = stored(members.select("label", "block", "u", "x"), "members")
+    members = stored(members.select("label", "block", "u", "x", "weight"), "members")
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(frame["x"])
@@ -247,7 +340,7 @@ def enlarge(vectors: DataFrame, labels: DataFrame) -> DataFrame:
         radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
         return pd.DataFrame(
             {"label": frame["label"].iloc[:1], "block": frame["block"].iloc[:1], "centre": [centre.tobytes()],
-             "radius": [radius], "size": [len(x)]}
+             "radius": [radius], "size": [frame["weight"].sum()]}
         )
 
     balls = stored(
@@ -282,76 +375,116 @@ def enlarge(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     counted = members.join(whole, ["label", "block"]).select("u", "n")
     asked = pairs.where("kind = 'compare' and block <= other").select("label", "block", "other")
     left = members.join(asked, ["label", "block"]).select(
-        "label", "block", "other", "u", "x", F.lit(0).alias("side")
+        "label", "block", "other", "u", "x", "weight", F.lit(0).alias("side")
     )
     right = members.withColumnRenamed("block", "other").join(
         asked.where("block < other"), ["label", "other"]
-    ).select("label", "block", "other", "u", "x", F.lit(1).alias("side"))
+    ).select("label", "block", "other", "u", "x", "weight", F.lit(1).alias("side"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = frame[frame["side"] == 0], frame[frame["side"] == 1]
         x = _matrix(mine["x"])
         y = _matrix(theirs["x"]) if len(theirs) else x
-        hits = x @ y.T >= THRESHOLD
-        parts = [pd.DataFrame({"u": mine["u"], "n": hits.sum(axis=1)})]
+        hits = (x @ y.T >= THRESHOLD).astype(np.float64)
+        more = (theirs if len(theirs) else mine)["weight"].to_numpy()
+        parts = [pd.DataFrame({"u": mine["u"], "n": (hits @ more).astype(np.int64)})]
         if len(theirs):
-            parts.append(pd.DataFrame({"u": theirs["u"], "n": hits.sum(axis=0)}))
+            parts.append(pd.DataFrame({"u": theirs["u"], "n": (mine["weight"].to_numpy() @ hits).astype(np.int64)}))
         return pd.concat(parts)
 
     compared = left.unionByName(right).groupBy("label", "block", "other").applyInPandas(compare, "u long, n long")
-    # A vector is counted once with itself.
+    # A row is counted once with itself.
     total = counted.unionByName(compared).groupBy("u").agg((F.sum("n") - 1).alias("n_links"))
     return stored(total, "counts")
 
 
-def audit(vectors: DataFrame, counts: DataFrame, sample: int = AUDIT) -> float:
-    """Share of the links of a sample of vectors, found by comparing it with all, that counts has."""
-    usable = vectors.where("x is not null")
-    asked = usable.orderBy(F.xxhash64("u"), "u").limit(sample).select(F.col("u").alias("q"), "part", F.col("x").alias("y"))
-    asked = stored(asked, "audit")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                hits = np.einsum("ij,ij->i", _padded(list(f["x"])), _padded(list(f["y"]))) >= THRESHOLD
-                yield f[hits][["q"]]
-
-    # A stated query set, at most ``sample`` rows, against all vectors of its label.
-    met = usable.join(F.broadcast(asked), "part").where("u <> q").select("q", "x", "y")
-    true = met.mapInPandas(run, "q long").groupBy("q").agg(F.count("*").alias("n"))
-    row = (
-        true.join(counts, true["q"] == counts["u"], "left")
-        .agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))).alias("found"))
-        .first()
-    )
-    return 1.0 if not row["n"] else row["found"] / row["n"]
+def audit(vectors: DataFrame, counts: DataFrame, labels: DataFrame) -> float:
+    """Mean share, over nodes with links, of the links of a node that counts has: the smaller one of
+    large components and of all other nodes, estimated from a sample of each kind of node."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    size = labels.join(sizes, "label").select(F.col("node").alias("u"), "size")
+    kind = F.when(F.col("size") > SMALL, "large").when(F.col("size").isNotNull(), "small").otherwise("alone")
+    kinds = stored(
+        vectors.select("u", "part", "x", "weight").join(size, "u", "left").join(counts, "u", "left")
+        .select("u", "part", "x", "weight", kind.alias("kind"),
+                F.coalesce("n_links", F.col("weight") - 1).alias("n_links")),
+        "audit",
+    )
+    total = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    worst = 1.0
+    seen: dict[str, tuple[float, float]] = {}
+    for name, most in (("large", AUDIT), ("small", AUDIT_APART), ("alone", AUDIT_APART)):
+        if name not in total:
+            continue
+        # A stated query set, at most ``most`` nodes, against all nodes of its label.
+        asked = kinds.where(F.col("kind") == name).orderBy("u").limit(most)
+        asked = asked.select("u", "part", "x", "n_links").toPandas()
+        queries = {p: (f["u"].to_numpy(), _matrix(f["x"])) for p, f in asked.groupby("part")}
+
+        def run(frames: Iterator[pd.DataFrame], queries=queries) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for part, f in frame.groupby("part"):
+                    if part in queries:
+                        q, y = queries[part]
+                        x, weight = _matrix(f["x"]), f["weight"].to_numpy()
+                        n = ((y @ x.T >= THRESHOLD) @ weight.astype(np.float64)).astype(np.int64)
+                        yield pd.DataFrame({"q": q[n > 0], "n": n[n > 0]})
+
+        true = kinds.select("part", "x", "weight").mapInPandas(run, "q long, n long")
+        true = true.groupBy("q").agg((F.sum("n") - 1).alias("n")).toPandas()
+        both = asked.merge(true, left_on="u", right_on="q")
+        both = both[both["n"] > 0]
+        share = total[name] / len(asked)
+        found = np.minimum(both["n_links"] / both["n"], 1.0).sum()
+        seen[name] = (share * found, share * len(both))
+    apart = [seen[k] for k in ("small", "alone") if k in seen]
+    for found, linked in (seen.get("large", (0, 0)), (sum(f for f, _ in apart), sum(n for _, n in apart))):
+        worst = min(worst, found / linked if linked else 1.0)
+    return float(worst)
+
+
+def _added(before: DataFrame, after: DataFrame) -> float:
+    """Share of the nodes that have a component, outside those that were large, to which an attempt
+    gave another component."""
+    sizes = before.groupBy("label").agg(F.count("*").alias("size"))
+    old = before.join(sizes, "label").select("node", F.col("label").alias("was"), "size")
+    both = after.join(old, "node", "left").where(F.coalesce("size", F.lit(0)) <= SMALL)
+    row = both.agg(F.count("*").alias("n"), F.count_if(~F.col("label").eqNullSafe(F.col("was"))).alias("new")).first()
+    return row["new"] / row["n"] if row["n"] else 0.0
 
 
 def near_duplicates(rows: DataFrame) -> tuple[DataFrame, float]:
     """One row per vector (vec_id, n_links, component_id, kept), and the audited recall."""
     every = _vectors(rows)
-    vectors = every.where("x is not null")
-    lists = links = None
+    nodes = _nodes(every)
+    ends = "node long, label long"
+    labels, lists, recall = rows.sparkSession.createDataFrame([], ends), None, 0.0
+    links = None
     for attempt in range(ATTEMPTS):
-        lists, found = descend(vectors, lists, attempt + 1)
+        old = labels.select(F.col("node").alias("u"), "label")
+        vectors = nodes.join(old, "u", "left").withColumn("label", F.coalesce("label", "u"))
+        lists, found = descend(stored(vectors, "labelled"), lists, attempt + 1)
         links = found if links is None else links.unionByName(found)
-        labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        counts = enlarge(vectors, labels)
-        recall = audit(vectors, counts)
-        if recall >= RECALL:
-            break
-    named = labels.join(every.select(F.col("u").alias("node"), "vec_id"), "node")
-    least = named.groupBy("label").agg(F.min("vec_id").alias("least"))
-    group = labels.join(least, "label").select(F.col("node").alias("u"), "least")
-    result = (
-        every.select("u", "vec_id")
-        .join(counts, "u", "left")
-        .join(group, "u", "left")
-        .select(
-            "vec_id",
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("least", "vec_id").alias("component_id"),
-        )
+        before, labels = labels, components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        # Only when new projections add little is the rest worth an audit.
+        if _added(before, labels) <= 1 - RECALL:
+            counts = enlarge(nodes, labels)
+            recall = audit(nodes, counts, labels)
+            if recall >= RECALL:
+                break
+    else:
+        raise RuntimeError(f"recall {recall} after {ATTEMPTS} attempts")
+    named = labels.join(nodes.select(F.col("u").alias("node"), "least"), "node")
+    least = named.groupBy("label").agg(F.min("least").alias("first"))
+    group = labels.join(least, "label").select(F.col("node").alias("u"), "first")
+    # Per distinct vector, then per row.
+    settled = nodes.join(counts, "u", "left").join(group, "u", "left").select(
+        "u", F.coalesce("n_links", F.col("weight") - 1).alias("n_links"), F.coalesce("first", "least").alias("first")
+    )
+    result = every.select("u", "vec_id").join(settled, "u", "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("first", "vec_id").alias("component_id"),
     )
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)) | F.col("component_id").isNull()
     return result.withColumn("kept", kept), recall

@@ -73,3 +73,31 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     got, recall = m.near_duplicates(empty)
     assert got.collect() == [] and recall == 1.0
+
+
+def clustered(n, dims=64, clusters=50, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    x = centres[np.arange(n) % clusters] + 0.7 * rng.normal(size=(n, dims))
+    return rng, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def beside(rng, x, cosine):
+    """Vectors at a cosine to x."""
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return cosine * x + math.sqrt(1 - cosine**2) * other
+
+
+def test_rare_pairs_of_a_large_label_beside_a_large_group(spark):
+    # 1 % of planted pairs, and a third of the label in one component.
+    rng, x = clustered(12_000)
+    planted = beside(rng, x[:120], 0.96)
+    group = beside(rng, np.repeat(x[5_000:5_001], 4_000, axis=0), 0.985)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, planted, group]))]
+    got, recall = m.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    found = {r.vec_id: r for r in got.collect()}
+    met = sum(found[i].component_id == found[12_000 + i].component_id for i in range(120))
+    assert met >= 0.98 * 120 and recall >= m.RECALL
+    assert {found[i].component_id for i in (5_000, *range(12_120, 16_120))} == {5_000}
