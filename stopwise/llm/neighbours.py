@@ -20,7 +20,7 @@ An attempt with new projections is the last one when it adds a link to at most 1
 linked nodes outside large components, and an audit agrees: nodes without a component, of small and
 of large components are compared with all of their label, and the mean recall per node that has
 links, of those in large components and of all others, is at least ``RECALL``. What ``ATTEMPTS``
-attempts do not settle is an error.
+attempts do not settle is compared pair by pair.
 
 Cosines are those of double precision. Defined cases: null labels, null, empty and zero vectors and
 those with null or non-finite components link with nothing; vectors of different lengths are apart;
@@ -59,6 +59,8 @@ AUDIT_APART = 2_048
 SMALL = LIST + 1
 RECALL = 0.98
 ATTEMPTS = 4
+#: Vectors repeated by more than one row in so many are broadcast.
+COMMON = 1_000
 #: Safety of decisions by centres and radii, in radians.
 MARGIN = 1e-7
 
@@ -319,6 +321,23 @@ def descend(vectors: DataFrame, lists: DataFrame | None, seed: int) -> tuple[Dat
     return lists, stored(links.distinct(), "links")
 
 
+def exhaustive(vectors: DataFrame) -> DataFrame:
+    """u, v: a spanning forest of the links of every two blocks of a part; quadratic."""
+    sizes = vectors.groupBy("part").agg(F.ceil(F.count("*") / ENLARGED).cast("int").alias("blocks"))
+    dealt = vectors.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("u"), "blocks").cast("int"))
+    # Every node goes to the pairs of its block with each block of the part.
+    met = dealt.select("part", "u", "x", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    pair = met.select("part", "u", "x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x, u = _matrix(frame["x"]), frame["u"].to_numpy()
+        hits = x @ x.T >= THRESHOLD
+        a, b = _spanning(hits | hits.T)
+        return pd.DataFrame({"u": u[a], "v": u[b]})
+
+    return stored(pair.groupBy("part", "i", "j").applyInPandas(run, "u long, v long"), "all-links")
+
+
 def enlarge(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """u, n_links: links of each row of the members of the components (node, label), counted in blocks."""
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / ENLARGED).alias("blocks"))
@@ -473,18 +492,31 @@ def near_duplicates(rows: DataFrame) -> tuple[DataFrame, float]:
             if recall >= RECALL:
                 break
     else:
-        raise RuntimeError(f"recall {recall} after {ATTEMPTS} attempts")
+        links = exhaustive(nodes)
+        labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        counts, recall = enlarge(nodes, labels), 1.0
     named = labels.join(nodes.select(F.col("u").alias("node"), "least"), "node")
     least = named.groupBy("label").agg(F.min("least").alias("first"))
     group = labels.join(least, "label").select(F.col("node").alias("u"), "first")
     # Per distinct vector, then per row.
-    settled = nodes.join(counts, "u", "left").join(group, "u", "left").select(
-        "u", F.coalesce("n_links", F.col("weight") - 1).alias("n_links"), F.coalesce("first", "least").alias("first")
+    settled = stored(
+        nodes.join(counts, "u", "left").join(group, "u", "left").select(
+            "u", "weight", F.coalesce("n_links", F.col("weight") - 1).alias("n_links"),
+            F.coalesce("first", "least").alias("first"),
+        ),
+        "settled",
+    )
+    # The at most COMMON vectors that so many rows repeat are not dealt out by their name.
+    common = F.broadcast(settled.where(F.col("weight") > max(1, every.count() // COMMON)).drop("weight"))
+    own = every.select("u", "vec_id")
+    usable = own.where("u is not null")
+    joined = (
+        usable.join(common, "u")
+        .unionByName(usable.join(common.select("u"), "u", "left_anti").join(settled.drop("weight"), "u"))
+        .unionByName(own.where("u is null").select("*", F.lit(0).alias("n_links"), F.lit(None).cast("long").alias("first")))
     )
-    result = every.select("u", "vec_id").join(settled, "u", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("first", "vec_id").alias("component_id"),
+    result = joined.select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("first", "vec_id").alias("component_id")
     )
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)) | F.col("component_id").isNull()
     return result.withColumn("kept", kept), recall

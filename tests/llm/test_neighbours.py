@@ -101,3 +101,25 @@ def test_rare_pairs_of_a_large_label_beside_a_large_group(spark):
     met = sum(found[i].component_id == found[12_000 + i].component_id for i in range(120))
     assert met >= 0.98 * 120 and recall >= m.RECALL
     assert {found[i].component_id for i in (5_000, *range(12_120, 16_120))} == {5_000}
+
+
+def test_two_saturated_groups_are_linked(spark):
+    # Groups of 30 % and 20 % copies, exact or all but exact, at a cosine of 0.95 to each other.
+    for noise in (0.0, 1e-4):
+        rng, x = clustered(1_000)
+        pair = np.concatenate([x[:1], beside(rng, x[:1], 0.95)])
+        copies = np.repeat(pair, [600, 400], axis=0)
+        copies = copies + noise * rng.normal(size=copies.shape)
+        rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([copies, x[1:]]))]
+        got, _ = m.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+        found = sorted(got.collect())
+        assert {(r.n_links, r.component_id) for r in found[:1_000]} == {(999, 0)}
+        assert all(r.kept == (r.vec_id == 0) for r in found[:1_000])
+
+
+def test_what_attempts_leave_is_compared_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(m, "audit", lambda *_: 0.0)
+    rows = vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, _ = m.near_duplicates(frame)
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got.collect()], key=str) == brute(rows)
