@@ -5,6 +5,11 @@ its distinct words and their beginnings; a document's is the noisy-or of its sen
 1 - prod(1 - p). The weights are fitted to document labels by gradient steps through the noisy-or, so what the labels say of whole
 documents ends at the sentences that explain it, and those are located when a text is scored.
 
+When a text is scored, only sentences that are evidence enter the noisy-or: above the background
+(the bias) and at ``EVIDENCE`` or more alone. The background of every sentence and slightly telling
+words would otherwise add up until any long text is toxic. A text without evidence has the score of
+its strongest sentence.
+
 The fit reads a bounded sample: the ``FIT_ROWS`` labelled documents of the smallest id hashes, of
 which every fourth id class (crc32 of the id as text, modulo 4, equal to ``HELD_OUT``) is never
 read. Features are words and beginnings of words (``PREFIXES`` letters) that are found in toxic
@@ -37,6 +42,7 @@ from stopwise.llm.common import body, table
 
 HELD_OUT = 2
 THRESHOLD = 0.3
+EVIDENCE = 0.1
 
 FIT_ROWS = 8_000
 PREFIXES = (4, 5, 6, 7)
@@ -82,14 +88,16 @@ class Model:
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score, and start, end and score of each sentence that reaches the threshold alone."""
-        clean, spans = 0.0, []
+        clean, strongest, spans = 0.0, None, []
         for m in SENTENCE.finditer(text):
             z = max(-60.0, min(60.0, self.sentence(m[0].lower())))
-            clean -= math.log1p(math.exp(z))
+            strongest = z if strongest is None else max(strongest, z)
+            if z > self.bias and z >= math.log(EVIDENCE / (1 - EVIDENCE)):
+                clean -= math.log1p(math.exp(z))
             if z >= math.log(THRESHOLD / (1 - THRESHOLD)):
                 spans.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
         if not clean:
-            clean = -math.log1p(math.exp(self.bias))
+            clean = -math.log1p(math.exp(self.bias if strongest is None else strongest))
         return -math.expm1(clean), spans
 
 

@@ -55,3 +55,17 @@ def test_odd_rows_and_columns(spark, odd_docs, no_docs):
     assert m.drop_toxic(no_docs, marks).collect() == []
     # Without labels nothing is toxic.
     assert m.drop_toxic(odd_docs, marks.limit(0)).count() == odd_docs.count()
+
+
+def test_length_alone_makes_no_text_toxic(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = m.fit(m.sample(docs, marks))
+    clean = [t for (i, t), (_, _, toxic) in zip(rows, labels, strict=True) if not toxic and model.document(t)[0] < m.THRESHOLD]
+    long = " ".join(clean * 4)
+    assert len(m.SENTENCE.findall(long)) > 10_000
+    assert model.document(long)[0] < m.THRESHOLD and not model.document(long)[1]
+    # One telling sentence in it is still found.
+    score, spans = model.document(long + " vileword and nastyword.")
+    assert score >= m.THRESHOLD and len(spans) == 1 and spans[0][0] >= len(long)
