@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine to license notices, then inheritance from the nearest directory that
 has a license file; DataFrame functions only.
 
-Units are compared with notices: every line of a text that holds a marker word (a header), and the
-whole text of a document with such a line (a license file is nearly all notice). Vectors are sparse:
+Units are compared with notices and full license texts: every line of a text that holds a marker word
+and every paragraph with one (headers, also hard-wrapped ones), and the whole text of a document with
+such a line, with full texts only (a license file). An SPDX identifier names its license by itself. Vectors are sparse:
 a unit's terms meet the terms of the notices in a join whose right side is bounded by the notices
 themselves. Term weights are term frequency times log(documents / documents with the term),
 counted over all documents; a term of a unit that no notice has counts with the greatest weight, so
@@ -22,6 +23,8 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +71,35 @@ NOTICES = (
         "software and associated documentation files.",
     ),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
-)
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted.",
+    ),
+    *[
+        (
+            f"{short}-{number}",
+            "This program is free software; you can redistribute it and/or modify it under the terms "
+            f"of the GNU {name} Public License as published by the Free Software Foundation; either "
+            f"version {version} of the License, or (at your option) any later version.",
+        )
+        for short, name, number, version in (
+            ("GPL", "General", "2.0", "2"), ("GPL", "General", "3.0", "3"), ("LGPL", "Library General", "2.0", "2"),
+            ("LGPL", "Lesser General", "2.1", "2.1"), ("LGPL", "Lesser General", "3.0", "3"),
+            ("AGPL", "Affero General", "3.0", "3"),
+        )
+    ],
+    # The full texts, as they are distributed.
+    *[(f.stem, f.read_text("utf-8")) for f in sorted(Path(__file__).with_name("texts").glob("*.txt"))],
+)
+
+#: Notices from this one on are full texts; only they decide what is a license file by its text.
+FIRST_TEXT = len(NOTICES) - len(list(Path(__file__).with_name("texts").glob("*.txt")))
+
+#: An SPDX expression, as it is written.
+SPDX = r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9][a-z0-9.+-]*(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9.+-]+)*)"
+#: Between two paragraphs: a line without a letter or digit.
+GAP = r"(?:\r\n|\r|\n)[^\p{L}\p{N}\r\n]*(?:\r\n|\r|\n)"
 
 #: A line without any of these is no header.
 MARKER = r"(?i)licen[sc]|copyright|copyleft|redistribut|permission|public domain|spdx|creative commons"
@@ -106,14 +137,20 @@ def weights(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _units(files: DataFrame) -> DataFrame:
-    """row, unit (0 the whole text, then its lines from 1), term: of texts with a marker."""
+    """row, unit (0 the whole text, its lines from 1, its paragraphs from -1 downwards), term: of texts
+    with a marker."""
     marked = files.where(F.col("text").rlike(MARKER))
     lines = marked.select("row", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("at", "line"))
     headers = lines.where(F.col("line").rlike(MARKER)).select(
         "row", (F.col("at") + 1).alias("unit"), F.explode(terms(F.col("line"))).alias("term")
     )
+    blocks = marked.select("row", F.posexplode(F.split("text", GAP)).alias("at", "block"))
+    # A paragraph of one line is that line.
+    blocks = blocks.where(F.col("block").rlike(MARKER) & F.trim("block").rlike(r"[\r\n]")).select(
+        "row", (-F.col("at") - 1).alias("unit"), F.explode(terms(F.col("block"))).alias("term")
+    )
     whole = marked.select("row", F.lit(0).alias("unit"), F.explode(terms(F.col("text"))).alias("term"))
-    return headers.unionByName(whole)
+    return headers.unionByName(blocks).unionByName(whole)
 
 
 def similarities(files: DataFrame, docs: DataFrame) -> DataFrame:
@@ -141,6 +178,7 @@ def similarities(files: DataFrame, docs: DataFrame) -> DataFrame:
     dots = (
         counts.where("idf is not null")
         .join(F.broadcast(vectors), "term")
+        .where((F.col("unit") != 0) | (F.col("notice") >= FIRST_TEXT))
         .groupBy("row", "unit", "notice", "license", "notice_norm")
         .agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
     )
@@ -182,8 +220,12 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     found = stored(similarities(files, docs), "similar")
     better = F.min(F.struct((-F.col("similarity")).alias("cost"), "license"))
+    named = files.select("row", F.regexp_extract("text", SPDX, 1).alias("license"), F.lit(1.0).alias("similarity"))
     header = (
-        found.where((F.col("unit") > 0) & (F.col("similarity") >= HEADER_SIMILARITY))
+        found.where((F.col("unit") != 0) & (F.col("similarity") >= HEADER_SIMILARITY))
+        .join(named.where("license <> ''").select("row"), "row", "left_anti")
+        .select("row", "license", "similarity")
+        .unionByName(named.where("license <> ''"))
         .groupBy("row").agg(better.alias("h"))
     )
     whole = found.where((F.col("unit") == 0) & (F.col("similarity") >= FILE_SIMILARITY))

@@ -59,3 +59,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     path = odd_docs.withColumnRenamed("source", "path")
     assert m.scan(path).count() == odd_docs.count()
     assert m.scan(no_docs.withColumnRenamed("source", "path")).collect() == []
+
+
+def test_full_texts_wrapped_headers_and_identifiers(spark):
+    texts = dict(m.NOTICES[-17:])
+    mit = texts["MIT"].replace("<year> <copyright holders>", "2019 Ann Example")
+    lesser = next(t for n, t in m.NOTICES if n == "LGPL-2.1" and len(t) < 1000).replace("program", "library")
+    wrap = lambda t: "\n".join(f" * {' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
+    got = scanned(spark, [
+        (1, "a/one", mit), (2, "a/x.py", "code"), (3, "b/two", texts["GPL-3.0"]), (4, "c/y.c", f"/*\n{wrap(lesser)}\n */\n\nint main;"),
+        (5, "d/z.c", "// SPDX-License-Identifier: MIT\ncode"), (6, "e/v.c", "# SPDX-License-Identifier: Zlib OR MIT"),
+        (7, "f/isc", texts["ISC"]), (8, "g/w.c", "int a;\n// Permission to use, copy, modify, and/or distribute this software for any"),
+    ])
+    assert [(got[i].license, got[i].origin) for i in (1, 3, 7)] == [("MIT", "file"), ("GPL-3.0", "file"), ("ISC", "file")]
+    assert (got[2].license, got[2].origin, got[2].from_doc) == ("MIT", "directory", 1)
+    assert [(got[i].license, got[i].origin) for i in (4, 8)] == [("LGPL-2.1", "header"), ("ISC", "header")]
+    assert [got[i].license for i in (5, 6)] == ["MIT", "Zlib OR MIT"]
