@@ -13,6 +13,7 @@ from stopwise.llm import (
     neighbours,
     ngram_join,
     packing,
+    prefix_trie,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -41,10 +42,12 @@ QUERIES: dict[str, Run] = {
         neighbours.op8_embedding_near_dedup,
         bpe.op9_bpe,
         licenses.op10_license_scans,
+        prefix_trie.op13_prefix_trie,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_warc": warc.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
