@@ -14,6 +14,7 @@ from stopwise.llm import (
     ngram_join,
     packing,
     prefix_trie,
+    secrets,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -42,6 +43,7 @@ QUERIES: dict[str, Run] = {
         neighbours.op8_embedding_near_dedup,
         bpe.op9_bpe,
         licenses.op10_license_scans,
+        secrets.op12_secret_scans,
         prefix_trie.op13_prefix_trie,
     )
 }
