@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stopwise.llm import (
     bpe,
     exact_dedup,
+    hard_negatives,
     licenses,
     neighbours,
     ngram_join,
@@ -43,6 +44,7 @@ QUERIES: dict[str, Run] = {
         neighbours.op8_embedding_near_dedup,
         bpe.op9_bpe,
         licenses.op10_license_scans,
+        hard_negatives.op11_hard_negatives,
         secrets.op12_secret_scans,
         prefix_trie.op13_prefix_trie,
     )
@@ -51,5 +53,6 @@ QUERIES: dict[str, Run] = {
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_warc": warc.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
     "op13_prefix_trie": prefix_trie.SQL,
 }
