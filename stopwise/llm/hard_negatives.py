@@ -14,9 +14,10 @@ near means a great inner product. The tree covers that sphere:
 A node with centre c and covering radius r holds inner products with q between q.c - e and q.c + e,
 where e is |q| r or, by the sphere, less. A search asks for the best ``k`` within a window of scores. It
 visits the ``FIRST`` blocks with the best bounds, and then only blocks whose bound reaches the k-th
-score found there. In a block the descent is best first: nodes outside the window are skipped, it ends
-when the next bound is below the k-th score, and leaves are verified by exact products. Bounds are
-compared in blocks of queries and blocks of nodes. A block that many queries visit is dealt out with them.
+score found there. In a block the descent is best first: leaves come in the order of the best bounds that
+they and the nodes above them have, those outside the windows are skipped, it ends when the next bound
+is below the k-th score, and leaves are verified by exact products. Bounds are compared in blocks of
+queries and blocks of nodes. A block that many queries visit is dealt out with them.
 
 Equal vectors of one label are one candidate that keeps its ``k`` + 1 smallest ids: no search can
 return more of them. Anchors that are equal vectors of one label are one query.
@@ -30,7 +31,6 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -46,8 +46,8 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score is between these percentages of the positive's.
 WINDOW = (30, 90)
-LEAF, FAN, SAMPLE = 2_048, 16, 512
-BUCKET, BRANCHES = 32, 8
+LEAF, FAN, SAMPLE = 8_192, 16, 512
+BUCKET, BRANCHES = 128, 8
 FIRST = 2
 #: Queries and nodes that are compared at a time, and queries that share a copy of a block.
 CHUNK = 1_024
@@ -266,58 +266,81 @@ class Block:
     """The lower levels of the tree over the candidates of one block."""
 
     def __init__(self, few: list[dict], most: float, width: int):
-        self.most, self.label = most, np.array([c["label"] for c in few], object)
+        self.most = most
+        self.code = {label: i for i, label in enumerate({c["label"] for c in few})}
+        self.label = np.array([self.code[c["label"]] for c in few])
         self.ids = [c["ids"] for c in few]
         whole = _matrix([c["x"] for c in few], width)
         # Products below 2**53 are exact in doubles.
         self.x = whole.astype(np.float64) if most < 2.0**52 else whole
         on_sphere = np.column_stack([np.sqrt(np.maximum(most - np.array([c["norm"] for c in few]), 0.0)), whole])
-        self.centre, self.radius, self.below, self.own = [], [], [], []
-        first = len(few) // 2
-        self._grow(np.arange(len(few)), first, on_sphere, 0)
+        self.centre, self.radius, self.parent, self.own = [], [], [], []
+        self._grow(np.arange(len(few)), len(few) // 2, -1, on_sphere, 0)
         # Without the added component: the query has a zero there.
         self.centres = whole[self.centre].astype(np.float64)
         self.radii = np.array(self.radius)
+        self.leaves = np.array([i for i, rows in enumerate(self.own) if rows is not None])
 
-    def _grow(self, rows: np.ndarray, centre: int, x: np.ndarray, depth: int) -> int:
+    def _grow(self, rows: np.ndarray, centre: int, parent: int, x: np.ndarray, depth: int) -> None:
         node = len(self.centre)
         distance = np.sqrt(((x[rows] - x[centre]) ** 2).sum(axis=1))
         self.centre.append(centre)
         self.radius.append(float(distance.max()))
-        self.below.append([])
+        self.parent.append(parent)
         self.own.append(None)
         if len(rows) <= BUCKET or self.radius[node] == 0 or depth > 40:
             self.own[node] = rows
-            return node
+            return
         own = rows[far_apart(x[rows], BRANCHES)]
         at, _ = nearest(x[rows], x[own])
-        self.below[node] = [
-            self._grow(rows[at == i], int(own[i]), x, depth + 1) for i in range(len(own)) if (at == i).any()
-        ]
-        return node
-
-    def search(self, q: np.ndarray, low, high, label: str, same: bool, window: tuple, k: int) -> list[tuple]:
-        """The best k of (-score, id) within a window, given the nodes' bounds."""
-        least, greatest = window
-        found: list[tuple] = []
-        heap = [(-high[0], 0)]
-        while heap:
-            bound, node = heapq.heappop(heap)
-            if len(found) >= k and -bound < -found[k - 1][0]:
+        for i in range(len(own)):
+            if (at == i).any():
+                self._grow(rows[at == i], int(own[i]), node, x, depth + 1)
+
+    def leaf_bounds(self, q: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of every query (row) for every leaf, none wider than those of the nodes above it, and
+        the leaves in the order in which a descent by the best bound comes to them."""
+        low, high = bounds(q, norms, self.centres, self.radii, self.most)
+        # Nodes come after their parents.
+        for node, parent in enumerate(self.parent):
+            if parent >= 0:
+                np.maximum(low[:, node], low[:, parent], out=low[:, node])
+                np.minimum(high[:, node], high[:, parent], out=high[:, node])
+        low, high = low[:, self.leaves], high[:, self.leaves]
+        return low, high, np.argsort(-high, axis=1, kind="stable")
+
+    def search(self, q: np.ndarray, low, high, order, label: str, same: bool, windows: list[tuple], k: int) -> list:
+        """The best k of (-score, id) within each window (least, greatest).
+
+        One descent serves all windows of a query. It takes ever more leaves at a time.
+        """
+        found: list[list[tuple]] = [[] for _ in windows]
+        floor, top = [least for least, _ in windows], max(greatest for _, greatest in windows)
+        own, at, step = self.code.get(label, -1), 0, 2
+        while at < len(order):
+            need = min(floor)
+            if high[order[at]] < need:
                 break
-            if low[node] > greatest or high[node] < least:
+            visited = [self.own[self.leaves[i]] for i in order[at : at + step] if high[i] >= need and low[i] <= top]
+            at, step = at + step, 2 * step
+            if not visited:
                 continue
-            if self.own[node] is None:
-                for child in self.below[node]:
-                    if low[child] <= greatest and high[child] >= least:
-                        heapq.heappush(heap, (-high[child], child))
-                continue
-            rows = self.own[node]
+            rows = np.concatenate(visited)
             score = self.x[rows] @ q
-            fits = ((self.label[rows] == label) == same) & (score >= least) & (score <= greatest)
-            for i in np.flatnonzero(fits):
-                found += [(-int(score[i]), vec_id) for vec_id in self.ids[rows[i]][:k]]
-            found = sorted(found)[:k]
+            fits = np.flatnonzero(((self.label[rows] == own) == same) & (score >= need) & (score <= top))
+            fits = fits[np.argsort(-score[fits], kind="stable")]
+            score, rows = score[fits], rows[fits]
+            for j, (_, greatest) in enumerate(windows):
+                new: list[tuple] = []
+                for i in range(int(np.searchsorted(-score, -greatest)), len(score)):
+                    # Equal scores stay, their ids decide.
+                    if score[i] < floor[j] or (len(new) >= k and -score[i] > new[-1][0]):
+                        break
+                    new += [(-int(score[i]), vec_id) for vec_id in self.ids[rows[i]][:k]]
+                if new:
+                    found[j] = sorted(found[j] + new)[:k]
+                    if len(found[j]) == k:
+                        floor[j] = max(floor[j], -found[j][-1][0])
         return found
 
 
@@ -387,13 +410,13 @@ def _visit(tree: Tree, queries: DataFrame, pairs: DataFrame, same: bool, k: int)
             for piece in pieces:
                 q = _matrix([c["x"] for c in piece], width)
                 norms = np.array([c["norm"] for c in piece])
-                lows, highs = bounds(q.astype(np.float64), norms, block.centres, block.radii, most)
+                bounded = zip(*block.leaf_bounds(q.astype(np.float64), norms), strict=True)
                 exact = q.astype(block.x.dtype)
                 out = []
-                for i, c in enumerate(piece):
-                    for w in c["windows"]:
-                        window = (max(w["least"], w["reached"]), w["greatest"])
-                        found = block.search(exact[i], lows[i], highs[i], c["label"], same, window, k)
+                for x, c, (low, high, order) in zip(exact, piece, bounded, strict=True):
+                    windows = [(max(w["least"], w["reached"]), w["greatest"]) for w in c["windows"]]
+                    best = block.search(x, low, high, order, c["label"], same, windows, k)
+                    for w, found in zip(c["windows"], best, strict=True):
                         out += [(c["u"], w["w"], -score, vec_id) for score, vec_id in found]
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 types = [pa.binary(), pa.int32(), pa.int64(), pa.int64()]

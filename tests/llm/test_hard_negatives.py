@@ -41,7 +41,7 @@ def clustered(seed, n, width=16, labels=4):
     return [(i, int(r.integers(0, labels)), v) for i, v in enumerate(x.astype(np.float32).tolist())]
 
 
-@pytest.mark.parametrize("leaf", [40, 5_000])
+@pytest.mark.parametrize("leaf", [120, 5_000])
 def test_against_brute_force(spark, monkeypatch, leaf):
     """With many blocks on several levels, and with one."""
     monkeypatch.setattr(m, "LEAF", leaf)
@@ -51,7 +51,7 @@ def test_against_brute_force(spark, monkeypatch, leaf):
 
 
 def test_copies_ties_and_hot_vector(spark, monkeypatch):
-    monkeypatch.setattr(m, "LEAF", 30)
+    monkeypatch.setattr(m, "LEAF", 150)
     rows = clustered(2, 500)
     hot = rows[0][2]
     # A third of all rows is one vector, in two labels; ids repeat; whole groups tie.
@@ -96,9 +96,10 @@ def test_bounds_hold_and_prune():
     score = x[:50] @ x.T
 
     def under(node):
-        own = block.own[node]
-        return own if own is not None else np.concatenate([under(c) for c in block.below[node]])
+        below = [c for c, parent in enumerate(block.parent) if parent == node]
+        return block.own[node] if not below else np.concatenate([under(c) for c in below])
 
+    assert len(block.leaves) > 20 and sorted(under(0)) == list(range(2_000))
     for node in range(len(block.centre)):
         inside = score[:, under(node)]
         assert (inside >= low[:, [node]]).all() and (inside <= high[:, [node]]).all()
@@ -113,11 +114,16 @@ def test_bounds_hold_and_prune():
             return x[at]
 
     block.x = Counted()
+    low, high, order = block.leaf_bounds(x[:50], norm[:50])
     for i in range(50):
-        found = block.search(x[i], low[i], high[i], few[i]["label"], True, (-math.inf, math.inf), 6)
         own = [j for j in range(2_000) if few[j]["label"] == few[i]["label"]]
-        assert found == sorted((-int(score[i, j]), j) for j in own)[:6]
-    assert Counted.seen < 0.35 * 50 * 2_000
+        every = sorted((-int(score[i, j]), j) for j in own)
+        middle = -every[40][0]
+        windows = [(-math.inf, math.inf), (-math.inf, middle)]
+        for each in (windows[:1], windows):
+            found = block.search(x[i], low[i], high[i], order[i], few[i]["label"], True, each, 6)
+            assert found == [[e for e in every if -e[0] <= w[1]][:6] for w in each]
+    assert Counted.seen < 0.6 * 2 * 50 * 2_000
 
 
 def test_far_apart_and_nearest():
