@@ -153,6 +153,12 @@ def write_drop(
     The manifest has row count, size and MD5 of every part and is written last, so a drop with
     a manifest is complete.
     """
+    files = write_parts(rows, drop, file)
+    return write_manifest(rows.sparkSession, drop, files, quality, written_at)
+
+
+def write_parts(rows: DataFrame, drop: str, file: str) -> dict[str, dict]:
+    """Write rows as gzip CSV parts; returns the manifest entry of each part."""
     spark = rows.sparkSession
     target = f"{drop}/{file}"
     rows.write.mode("overwrite").options(**DROP_OPTIONS).csv(target)
@@ -178,7 +184,13 @@ def write_drop(
             "hash_md5",
         )
     )
-    files = {r.name: {k: r[k] for k in ("row_count", "bytes", "hash_md5")} for r in parts.collect()}
+    return {r.name: {k: r[k] for k in ("row_count", "bytes", "hash_md5")} for r in parts.collect()}
+
+
+def write_manifest(
+    spark, drop: str, files: dict[str, dict], quality: dict | None = None, written_at=None
+) -> dict:
+    """Write the manifest of a drop whose files are complete."""
     manifest = {
         "files": files,
         "file_count": len(files),

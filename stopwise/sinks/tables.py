@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.operators.latest import newest
@@ -60,6 +60,55 @@ def _writer(df: DataFrame, partition: str | Sequence[str] | None, cluster: Seque
     return df.write.partitionBy(*folders) if folders else df.write
 
 
+#: Files of a portion: their paths go to a reader together, and one histogram counts them.
+FILES = 1_000
+
+
+def write_load(
+    rows: DataFrame,
+    path: str,
+    load: str,
+    number: int,
+    partition: str,
+    cluster: Sequence[str] = (),
+    files: int = 1,
+) -> list[int]:
+    """Replace one load of a table, which has the folder ``load=number`` to itself.
+
+    An earlier attempt of the same load leaves nothing behind. Returns the rows of each of the
+    ``files`` that ``_file`` numbers. The tasks that write them count them: histograms with a bin
+    per file, observed behind the last shuffle, where a task counts only when it succeeds.
+    """
+    if cluster:
+        rows = rows.repartition(partition, *cluster).sortWithinPartitions(partition, *cluster)
+    seen = Observation()
+    portions = range(0, max(files, 1), FILES)
+    bins = [
+        F.expr(f"histogram_numeric(if(_file between {i} and {i + FILES - 1}, _file, null), {FILES})")
+        for i in portions
+    ]
+    counted = rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        *[b.alias(f"files{i}") for i, b in zip(portions, bins, strict=True)],
+    )
+    writer = counted.drop("_file").write.mode("overwrite").partitionBy(partition)
+    writer.option("partitionOverwriteMode", "static").parquet(f"{path}/{load}={number}")
+    counts = [0] * files
+    for i in portions:
+        for place, n in seen.get[f"files{i}"] or []:
+            counts[round(place)] += round(n)
+    if sum(counts) != seen.get["rows"]:
+        raise ValueError(f"{seen.get['rows']} rows written, {sum(counts)} of known files")
+    return counts
+
+
+def commit_load(entries: DataFrame, ledger: str, table: str, load: str, number: int) -> None:
+    """Record a load: one file, which is there whole or not at all."""
+    writer = entries.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.parquet(f"{ledger}/table={table}/{load}={number}")
+
+
 def upsert(
     new: DataFrame,
     path: str,

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from stopwise.functions.clock import utc_date
 from stopwise.operators.latest import newest
 from stopwise.sinks import tables
-from stopwise.sources.schemas import CSV_OPTIONS, DAY_FOLDER, LEDGER, MANIFEST, Dataset
+from stopwise.sources.schemas import (
+    CSV_OPTIONS,
+    DAY_FOLDER,
+    FILE_HASHES,
+    LEDGER,
+    MANIFEST,
+    Dataset,
+)
 
 
 def drop_glob(
@@ -83,7 +90,7 @@ def list_files(
     reader, path = _open_drops(
         spark.read.format("binaryFile"), root, dataset, dataset.file, start, end
     )
-    found = reader.load(path).select("path", "length")
+    found = reader.load(path).select("path", "length", "modificationTime")
     found = _in_drops(found, "path", dataset.file, start, end)
     return _split_path(found, "path").select(
         F.lit(dataset.table).alias("table"),
@@ -92,9 +99,24 @@ def list_files(
         "name",
         extract_date("path").alias("extract_date"),
         F.col("length").alias("bytes"),
+        F.col("modificationTime").alias("modified"),
     )
 
 
+def contents(
+    spark: SparkSession,
+    root: str,
+    dataset: Dataset,
+    start: date | None = None,
+    end: date | None = None,
+) -> DataFrame:
+    """The same files with their bytes, as rows of the binary source."""
+    reader, path = _open_drops(
+        spark.read.format("binaryFile"), root, dataset, dataset.file, start, end
+    )
+    return _in_drops(reader.load(path), "path", dataset.file, start, end)
+
+
 def manifests(
     spark: SparkSession,
     root: str,
@@ -116,26 +138,37 @@ def manifests(
     ).select("drop", "name", "entry.*")
 
 
-def file_hashes(spark: SparkSession, files: DataFrame, listed: DataFrame | None) -> DataFrame:
+def file_hashes(
+    files: DataFrame, listed: DataFrame | None, bytes_of: DataFrame, store: str
+) -> DataFrame:
     """Files with ``hash_md5``: the manifest's when it has one, else of the bytes.
 
-    Only files without a manifest hash are read. Their paths go back to the reader, which keeps
-    every path it scans on the driver in any case.
+    Hashes of bytes are kept in a table at ``store`` by path, size and time of change; a file that is
+    known there is not read again. For the others the folders are read by the time of the oldest of
+    them: what did not change since then is not opened, and no path comes to the driver.
     """
-    if listed is None:
-        known = files.withColumn("hash_md5", F.lit(None).cast("string"))
-    else:
+    spark, key = files.sparkSession, ["source_path", "bytes", "modified"]
+    known = files.withColumn("hash_md5", F.lit(None).cast("string"))
+    if listed is not None:
         hashes = listed.select("drop", "name", F.nullif("hash_md5", F.lit("")).alias("hash_md5"))
         known = files.join(hashes, ["drop", "name"], "left")
-    absent = [r.source_path for r in known.where("hash_md5 is null").select("source_path").collect()]
-    if not absent:
-        return known
-    read = (
-        spark.read.format("binaryFile")
-        .load(absent)
-        .select(F.col("path").alias("source_path"), F.md5("content").alias("_md5"))
-    )
-    return known.join(read, "source_path", "left").withColumn(
+    known = tables.materialize(known, "listed-files")
+    kept = tables.read_table(spark, store)
+    if kept is None:
+        kept = spark.createDataFrame([], FILE_HASHES)
+    absent = known.where("hash_md5 is null").select(*key).join(kept, key, "left_anti")
+    oldest = absent.agg(F.min(F.unix_micros("modified"))).first()[0]
+    if oldest is not None:
+        read = bytes_of.where(F.col("modificationTime") >= F.timestamp_micros(F.lit(oldest))).select(
+            F.col("path").alias("source_path"),
+            F.col("length").alias("bytes"),
+            F.col("modificationTime").alias("modified"),
+            F.md5("content").alias("hash_md5"),
+        )
+        tables.append(read.join(absent, key, "left_semi"), store)
+        kept = tables.read_table(spark, store)
+    own = kept.dropDuplicates(key).withColumnRenamed("hash_md5", "_md5")
+    return known.join(own, key, "left").withColumn(
         "hash_md5", F.coalesce("hash_md5", "_md5")
     ).drop("_md5")
 
@@ -183,11 +216,13 @@ def read_files(spark: SparkSession, dataset: Dataset, paths: list[str], strict:
 def with_provenance(rows: DataFrame, hashes: DataFrame, loaded_at: datetime) -> DataFrame:
     """Rows with load time, source path, extract date (else load date) and file hash.
 
-    ``hashes`` has one row per file of the run; Spark picks the join from its size.
+    ``hashes`` has one row per file of the run, and may number them (``_file``); Spark picks the join
+    from its size.
     """
     marked = rows.withColumn("_source_path", F.col("_metadata.file_path"))
+    number = [c for c in hashes.columns if c == "_file"]
     names = hashes.select(
-        _plain_path(F.col("source_path")).alias("_key"), F.col("hash_md5").alias("_hash_md5")
+        _plain_path(F.col("source_path")).alias("_key"), F.col("hash_md5").alias("_hash_md5"), *number
     )
     day = F.coalesce(extract_date("_source_path"), utc_date("_ingested_at"))
     return (
@@ -195,7 +230,8 @@ def with_provenance(rows: DataFrame, hashes: DataFrame, loaded_at: datetime) ->
         .join(names, "_key", "left")
         .withColumn("_ingested_at", F.lit(loaded_at))
         .withColumn("_extract_date", day)
-        .select(*rows.columns, "_ingested_at", "_source_path", "_extract_date", "_hash_md5")
+        .select(*rows.columns, "_ingested_at", "_source_path", "_extract_date", "_hash_md5",
+                *number)
     )
 
 
@@ -204,6 +240,56 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Every file of every committed load."""
+    found = tables.read_table(spark, path)
+    return spark.createDataFrame([], f"{LEDGER}, load int") if found is None else found
+
+
+def committed(
+    spark: SparkSession, target: str, ledger_path: str, dataset: Dataset
+) -> DataFrame | None:
+    """The raw table without what a load that died has left.
+
+    Loads are numbered in a row, so the ledger's last number tells them apart, and later folders
+    are pruned.
+    """
+    rows = tables.read_table(spark, target)
+    return None if rows is None else rows.where(F.col("load") <= _last_load(spark, ledger_path, dataset))
+
+
+def _last_load(spark: SparkSession, ledger_path: str, dataset: Dataset) -> int:
+    own = read_ledger(spark, ledger_path).where(F.col("table") == dataset.table)
+    return own.agg(F.max("load")).first()[0] or 0
+
+
+def write_files(
+    spark: SparkSession,
+    dataset: Dataset,
+    files: list[tuple[str, str]],
+    target: str,
+    number: int,
+    loaded_at: datetime,
+) -> DataFrame:
+    """Write the rows of some files (path, hash) as one load; returns its ledger entries.
+
+    Rows are counted by the write itself. Nothing is committed yet: the same number may be written
+    again.
+    """
+    numbered = [(path, md5, i) for i, (path, md5) in enumerate(files)]
+    hashes = spark.createDataFrame(numbered, "source_path string, hash_md5 string, _file int")
+    paths = [path for path, _ in files]
+    rows = with_provenance(read_files(spark, dataset, paths, True), hashes, loaded_at)
+    day = DAY_FOLDER[dataset.partition] if dataset.partition else "_extract_date"
+    if day not in rows.columns:
+        rows = rows.withColumn(day, utc_date(dataset.partition))
+    counts = tables.write_load(rows, target, "load", number, day, dataset.cluster, len(files))
+    return spark.createDataFrame(
+        [(path, md5, loaded_at, n) for (path, md5), n in zip(files, counts, strict=True)],
+        "_source_path string, _hash_md5 string, _loaded_at timestamp, rows long",
+    )
+
+
 def load(
     spark: SparkSession,
     root: str,
@@ -215,11 +301,12 @@ def load(
     end: date | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Append the new files of a dataset to its raw table and record them in the ledger.
+    """Load the new files of a dataset into its raw table and record them in the ledger.
 
-    Returns the plan. The ledger is written last: a run that dies between the append and the
-    ledger loads its files again. Staging then keeps one copy of keyed records; sidewalks and
-    realtime rows have no key in the raw table and would be there twice.
+    Returns the plan. Files are taken in portions of ``tables.FILES``, each a load with a number, a
+    folder and a ledger record of its own. The record is written last. A run that dies before it leaves
+    a folder that no reader of ``committed`` sees and that the next run replaces, since it takes
+    the same number; so every row is in the table once.
     """
     found = list_files(spark, root, dataset, start, end)
     try:
@@ -228,43 +315,20 @@ def load(
         if "PATH_NOT_FOUND" not in str(error):
             raise
         listed = None
-    hashed = file_hashes(spark, found, listed)
-    ledger = tables.read_table(spark, ledger_path)
-    if ledger is None:
-        ledger = spark.createDataFrame([], LEDGER)
+    bytes_of = contents(spark, root, dataset, start, end)
+    hashed = file_hashes(found, listed, bytes_of, f"{ledger_path.rstrip('/')}_hashes")
+    ledger = read_ledger(spark, ledger_path)
     plan = tables.materialize(load_plan(hashed, ledger, start, end), "load-plan")
-    chosen = to_load(plan, max_files)
-    paths = [r.source_path for r in chosen.select("source_path").collect()]
-    if not paths:
-        return plan
-    rows = with_provenance(read_files(spark, dataset, paths, True), chosen, loaded_at)
-    day = DAY_FOLDER[dataset.partition] if dataset.partition else "_extract_date"
-    if day not in rows.columns:
-        rows = rows.withColumn(day, utc_date(dataset.partition))
-    tables.append(rows, target, day, dataset.cluster)
-    counts = (
-        spark.read.parquet(target)
-        .where(F.col("_ingested_at") == F.lit(loaded_at))
-        .groupBy("_source_path", "_hash_md5")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    entries = (
-        chosen.select(_plain_path(F.col("source_path")).alias("_key"), "source_path", "hash_md5")
-        .join(
-            counts.select(_plain_path(F.col("_source_path")).alias("_key"), "rows"),
-            "_key",
-            "left",
-        )
-        .select(
-            F.col("source_path").alias("_source_path"),
-            F.col("hash_md5").alias("_hash_md5"),
-            F.lit(loaded_at).alias("_loaded_at"),
-            F.lit(dataset.table).alias("table"),
-            F.coalesce("rows", F.lit(0)).alias("rows"),
-        )
-    )
-    tables.append(entries, ledger_path)
-    return plan
+    chosen = to_load(plan, max_files).select("source_path", "hash_md5")
+    number, last = _last_load(spark, ledger_path, dataset), ""
+    while True:
+        rest = chosen.where(F.col("source_path") > last).orderBy("source_path")
+        files = [tuple(r) for r in rest.limit(tables.FILES).collect()]
+        if not files:
+            return plan
+        number, last = number + 1, files[-1][0]
+        entries = write_files(spark, dataset, files, target, number, loaded_at)
+        tables.commit_load(entries, ledger_path, dataset.table, "load", number)
 
 
 def source_freshness(raw: DataFrame, now: datetime, warn_days: int = 2, error_days: int = 5):

@@ -125,6 +125,7 @@ MANIFEST = "files map<string, struct<row_count: bigint, bytes: bigint, hash_md5:
 LEDGER = (
     "_source_path string, _hash_md5 string, _loaded_at timestamp, table string, rows long"
 )
+FILE_HASHES = "source_path string, bytes long, modified timestamp, hash_md5 string"
 EXPORT_STATE = "mart_name string, last_service_date date, last_run_ts timestamp"
 
 CSV_OPTIONS = {

@@ -1,15 +1,16 @@
 """Realtime feed as Structured Streaming: snapshots to events to reliability marts.
 
-Every micro-batch adds its rows to the raw tables, resolves the snapshots it touched from all rows
-known of them, and recomputes the service dates whose events changed. Each step overwrites
-what an earlier attempt of the same batch wrote, so a repeated batch changes nothing.
+Every micro-batch adds its rows to the raw tables and records their files in the ledger, resolves the
+snapshots it touched from all rows known of them, and recomputes the service dates whose events
+changed. Each step overwrites what an earlier attempt of the same batch wrote, so a repeated batch
+changes nothing, and rows and ledger always tell of the same files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,24 @@ from stopwise.params import Params
 from stopwise.plans import events, headways, reliability
 from stopwise.session import scratch
 from stopwise.sinks import tables
-from stopwise.sources.raw import read_files
-from stopwise.sources.schemas import DATASETS, Dataset
+from stopwise.sources.raw import read_files, with_provenance
+from stopwise.sources.schemas import DATASETS, MANIFEST, PROVENANCE, Dataset
 
 UPDATES = DATASETS["raw_gtfsrt_trip_updates"]
 POSITIONS = DATASETS["raw_gtfsrt_vehicle_positions"]
 WATERMARK = "12 hours"
 
-Split = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+@dataclass(frozen=True)
+class Feed:
+    """Rows of one feed in a micro-batch, and the files (path, hash) that ``_file`` numbers."""
+
+    rows: DataFrame
+    files: list[tuple[str, str | None]]
+
+
+#: Both feeds of a micro-batch; plain rows count as one file.
+Split = Callable[[DataFrame], tuple[Feed | DataFrame, Feed | DataFrame]]
 
 
 @dataclass(frozen=True)
@@ -69,32 +80,94 @@ def snapshot_files(spark: SparkSession, root: str, max_files: int | None = None)
     return reader.load(f"{root.rstrip('/')}/{UPDATES.folder}").select("path")
 
 
-def read_snapshots(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of both feeds, read as the batch load reads them: declared options, strict.
+def snapshot_manifests(
+    spark: SparkSession, root: str, max_drops: int | None = None
+) -> DataFrame:
+    """Path and text of new manifests, each exactly once; ``max_drops`` bounds a micro-batch.
 
-    The paths of a micro-batch go back to the reader, which keeps them on the driver in any case.
+    A manifest is written last, so the files that it names are complete. A drop without one waits.
     """
-    spark = files.sparkSession
-    paths = sorted(r.path for r in files.select("path").distinct().collect())
+    reader = (
+        spark.readStream.format("text")
+        .option("wholetext", "true")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "{manifest.json,part-*.txt}")
+    )
+    if max_drops:
+        reader = reader.option("maxFilesPerTrigger", max_drops)
+    found = reader.load(f"{root.rstrip('/')}/{UPDATES.folder}")
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return found.select(path.alias("path"), "value").where(F.contains("path", F.lit("/manifest.json")))
+
 
-    def rows(dataset: Dataset) -> DataFrame:
-        own = [p for p in paths if f"/{dataset.file}" in p]
+def _feeds(spark: SparkSession, files: list[tuple[str, str | None]]) -> tuple[Feed, Feed]:
+    """Rows of both feeds, read as the batch load reads them: declared options, strict."""
+    now = datetime.now(UTC)
+
+    def feed(dataset: Dataset) -> Feed:
+        own = [f for f in files if f"/{dataset.file}" in f[0]]
         if not own:
-            return spark.createDataFrame([], dataset.schema)
-        return read_files(spark, dataset, own, strict=True)
+            schema = f"{dataset.ddl}, {PROVENANCE}, _file int"
+            return Feed(spark.createDataFrame([], schema), [])
+        numbered = [(path, md5, i) for i, (path, md5) in enumerate(own)]
+        hashes = spark.createDataFrame(numbered, "source_path string, hash_md5 string, _file int")
+        rows = read_files(spark, dataset, [path for path, _ in own], strict=True)
+        return Feed(with_provenance(rows, hashes, now), own)
+
+    return feed(UPDATES), feed(POSITIONS)
 
-    return rows(UPDATES), rows(POSITIONS)
+
+def read_manifests(batch: DataFrame) -> tuple[Feed, Feed]:
+    """The feeds of the files that a micro-batch of manifests names, with the manifests' hashes.
+
+    A manifest that is not JSON is an error: the stream must not pass over its files. The paths go
+    to the reader, which keeps them on the driver in any case.
+    """
+    named = batch.select(
+        F.regexp_replace("path", "/manifest\\.json(/[^/]*)?$", "").alias("drop"),
+        F.explode(F.from_json("value", MANIFEST, {"mode": "FAILFAST"})["files"]).alias("name", "entry"),
+    )
+    files = named.select(F.concat_ws("/", "drop", "name").alias("path"), "entry.hash_md5").distinct()
+    return _feeds(batch.sparkSession, sorted(map(tuple, files.collect())))
+
+
+def read_snapshots(files: DataFrame) -> tuple[Feed, Feed]:
+    """The feeds of a micro-batch of paths; hashes are those of the bytes.
+
+    The paths go back to the reader, which keeps them on the driver in any case.
+    """
+    spark = files.sparkSession
+    paths = sorted(r.path for r in files.select("path").distinct().collect())
+    if not paths:
+        return _feeds(spark, [])
+    read = spark.read.format("binaryFile").load(paths).select("path", F.md5("content"))
+    return _feeds(spark, sorted(map(tuple, read.collect())))
 
 
 # -- micro-batch ------------------------------------------------------------------------
 
 
-def add_raw(store: Store, name: str, rows: DataFrame, batch_id: int) -> DataFrame:
-    """Add rows to a raw table under their UTC day and batch; returns the batch's snapshots."""
+def add_raw(store: Store, name: str, feed: Feed | DataFrame, batch_id: int) -> DataFrame:
+    """Add rows to a raw table under their batch and UTC day; returns the batch's snapshots.
+
+    The ledger entry of the batch (path, hash and rows of every file) is written after the rows, which
+    counted themselves.
+    """
+    if isinstance(feed, DataFrame):
+        feed = Feed(feed.withColumn("_file", F.lit(0)), [(f"batch {batch_id}", None)])
+    rows, spark = feed.rows, feed.rows.sparkSession
     path = store.path(name)
-    stamped = rows.withColumns({"feed_date": utc_date("feed_ts_utc"), "batch": F.lit(batch_id)})
-    tables.overwrite_partitions(stamped, path, ["feed_date", "batch"], ("route_id", "trip_id"))
-    written = tables.read_table(rows.sparkSession, path)
+    stamped = rows.withColumn("feed_date", utc_date("feed_ts_utc"))
+    counts = tables.write_load(
+        stamped, path, "batch", batch_id, "feed_date", ("route_id", "trip_id"), len(feed.files)
+    )
+    now = datetime.now(UTC)
+    entries = spark.createDataFrame(
+        [(file, md5, now, n) for (file, md5), n in zip(feed.files, counts, strict=True)],
+        "_source_path string, _hash_md5 string, _loaded_at timestamp, rows long",
+    )
+    tables.commit_load(entries, store.path("ledger"), name, "batch", batch_id)
+    written = tables.read_table(spark, path)
     if written is None:
         return rows.limit(0).select("feed_ts_utc")
     return written.where(F.col("batch") == batch_id).select("feed_ts_utc").distinct()

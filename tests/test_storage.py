@@ -36,8 +36,10 @@ def test_drop_load_ledger_and_provenance(spark, folder):
 
     files = raw.list_files(spark, root, CRASHES)
     listed = raw.manifests(spark, root, CRASHES)
-    hashed = raw.file_hashes(spark, files, listed)
-    assert rows(hashed, "hash_md5") == rows(raw.file_hashes(spark, files, None), "hash_md5")
+    read = raw.contents(spark, root, CRASHES)
+    hashed = raw.file_hashes(files, listed, read, f"{folder}/hashes")
+    assert raw.tables.read_table(spark, f"{folder}/hashes") is None
+    assert rows(hashed, "hash_md5") == rows(raw.file_hashes(files, None, read, f"{folder}/hashes"), "hash_md5")
     only = raw.list_files(spark, root, CRASHES, date(2025, 1, 5), date(2025, 1, 5))
     assert rows(only.select("extract_date").distinct()) == [(date(2025, 1, 5),)]
 
