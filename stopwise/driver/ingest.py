@@ -15,7 +15,7 @@ from stopwise.sources import raw
 from stopwise.sources.schemas import DATASETS, Dataset
 from stopwise.streaming import realtime
 
-CRASHES = DATASETS["raw_crashes"]
+SIDEWALKS = DATASETS["raw_sidewalks"]
 AT = datetime(2024, 1, 31, 12, tzinfo=UTC)
 DROPS = 4
 
@@ -32,40 +32,41 @@ def _columns(rows: DataFrame, dataset: Dataset, *more: str) -> DataFrame:
     )
 
 
-def _crash_drops(m: Model) -> str:
-    """Crashes in one drop per extract date, dealt out by key."""
+def _sidewalk_drops(m: Model) -> str:
+    """Sidewalks in one drop per extract date, dealt out by key."""
     root = shared_dir(m.inputs.spark, "drops")
-    key = F.substring("crash_id", 2, 20).cast("long") % DROPS
-    rows = tables.materialize(_columns(m.inputs.v_crashes.withColumn("_drop", key), CRASHES, "_drop"), "crashes")
+    key = F.substring("sidewalk_id", 2, 20).cast("long") % DROPS
+    rows = _columns(m.inputs.v_sidewalks.withColumn("_drop", key), SIDEWALKS, "_drop")
+    rows = tables.materialize(rows, "sidewalks")
     for n in range(DROPS):
-        drop = f"{root}/{CRASHES.folder}/extract_date=2024-01-0{n + 1}"
-        exports.write_drop(rows.where(F.col("_drop") == n).drop("_drop"), drop, CRASHES.file)
+        drop = f"{root}/{SIDEWALKS.folder}/extract_date=2024-01-0{n + 1}"
+        exports.write_drop(rows.where(F.col("_drop") == n).drop("_drop"), drop, SIDEWALKS.file)
     return root
 
 
 @register(
     "raw_load",
-    "extract_date:d load:i files:i n_rows:i ledger_rows:i crash_ids:i severity_sum:i",
-    f"""SELECT DATE '2024-01-01' + CAST(CAST(substring(crash_id, 2) AS BIGINT) % {DROPS} AS INTEGER) AS extract_date,
-               CASE WHEN CAST(substring(crash_id, 2) AS BIGINT) % {DROPS} < 2 THEN 1 ELSE 2 END AS load,
-               1 AS files, count(*) AS n_rows, count(*) AS ledger_rows, count(DISTINCT crash_id) AS crash_ids,
-               sum(severity) AS severity_sum
-        FROM v_crashes GROUP BY ALL""",
+    "extract_date:d load:i files:i n_rows:i ledger_rows:i sidewalks:i size_sum:i",
+    f"""SELECT DATE '2024-01-01' + CAST(CAST(substring(sidewalk_id, 2) AS BIGINT) % {DROPS} AS INTEGER) AS extract_date,
+               CASE WHEN CAST(substring(sidewalk_id, 2) AS BIGINT) % {DROPS} < 2 THEN 1 ELSE 2 END AS load,
+               1 AS files, count(*) AS n_rows, count(*) AS ledger_rows, count(DISTINCT sidewalk_id) AS sidewalks,
+               CAST(sum(length_m) AS BIGINT) AS size_sum
+        FROM v_sidewalks GROUP BY ALL""",
 )
 def _raw_load(m: Model):
     """Two drops are loaded; a second load dies after its rows, is run again, and then has nothing to do."""
-    spark, root = m.inputs.spark, _crash_drops(m)
+    spark, root = m.inputs.spark, _sidewalk_drops(m)
     target, ledger = f"{root}/table", f"{root}/ledger"
-    raw.load(spark, root, CRASHES, target, ledger, AT, end=date(2024, 1, 2))
+    raw.load(spark, root, SIDEWALKS, target, ledger, AT, date(2024, 1, 1), date(2024, 1, 2))
     # This one wrote the rows of one drop as load 2 and never its record.
-    third = raw.list_files(spark, root, CRASHES, date(2024, 1, 3), date(2024, 1, 3))
-    raw.write_files(spark, CRASHES, [(r.source_path, "") for r in third.collect()], target, 2, AT)
+    third = raw.list_files(spark, root, SIDEWALKS, date(2024, 1, 3), date(2024, 1, 3))
+    raw.write_files(spark, SIDEWALKS, [(r.source_path, "") for r in third.collect()], target, 2, AT)
     for _ in range(2):
-        raw.load(spark, root, CRASHES, target, ledger, AT)
-    rows = raw.committed(spark, target, ledger, CRASHES)
+        raw.load(spark, root, SIDEWALKS, target, ledger, AT)
+    rows = raw.committed(spark, target, ledger, SIDEWALKS)
     loaded = rows.groupBy(F.col("_extract_date").alias("extract_date"), "load").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("crash_id").alias("crash_ids"),
-        F.sum("severity").alias("severity_sum"),
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("sidewalk_id").alias("sidewalks"),
+        F.sum("length_m").alias("size_sum"),
     )
     entries = raw.read_ledger(spark, ledger).groupBy(raw.extract_date("_source_path").alias("extract_date"), "load").agg(
         F.countDistinct(F.regexp_extract("_source_path", "(.*)/[^/]+$", 1)).alias("files"),
@@ -77,20 +78,20 @@ def _raw_load(m: Model):
 @register(
     "raw_load_plan",
     "extract_date:d status:s all_hashed:b n_rows:i",
-    f"""SELECT DATE '2024-01-01' + CAST(CAST(substring(crash_id, 2) AS BIGINT) % {DROPS} AS INTEGER) AS extract_date,
-               CASE WHEN CAST(substring(crash_id, 2) AS BIGINT) % {DROPS} = 0 THEN 'DONE'
-                    WHEN CAST(substring(crash_id, 2) AS BIGINT) % {DROPS} = 3 THEN 'SKIP' ELSE 'LOAD' END AS status,
+    f"""SELECT DATE '2024-01-01' + CAST(CAST(substring(sidewalk_id, 2) AS BIGINT) % {DROPS} AS INTEGER) AS extract_date,
+               CASE WHEN CAST(substring(sidewalk_id, 2) AS BIGINT) % {DROPS} = 0 THEN 'DONE'
+                    WHEN CAST(substring(sidewalk_id, 2) AS BIGINT) % {DROPS} = 3 THEN 'SKIP' ELSE 'LOAD' END AS status,
                TRUE AS all_hashed, count(*) AS n_rows
-        FROM v_crashes GROUP BY ALL""",
+        FROM v_sidewalks GROUP BY ALL""",
 )
 def _raw_load_plan(m: Model):
     """What a load within a range would take, of drops without manifests: hashes are those of the bytes."""
-    spark, root = m.inputs.spark, _crash_drops(m)
+    spark, root = m.inputs.spark, _sidewalk_drops(m)
     ledger, hashes = f"{root}/ledger", f"{root}/hashes"
-    raw.load(spark, root, CRASHES, f"{root}/table", ledger, AT, end=date(2024, 1, 1))
-    listed = raw.manifests(spark, root, CRASHES)
-    files = raw.list_files(spark, root, CRASHES)
-    hashed = raw.file_hashes(files, None, raw.contents(spark, root, CRASHES), hashes)
+    raw.load(spark, root, SIDEWALKS, f"{root}/table", ledger, AT, date(2024, 1, 1), date(2024, 1, 1))
+    listed = raw.manifests(spark, root, SIDEWALKS)
+    files = raw.list_files(spark, root, SIDEWALKS)
+    hashed = raw.file_hashes(files, None, raw.contents(spark, root, SIDEWALKS), hashes)
     plan = raw.load_plan(hashed, raw.read_ledger(spark, ledger), None, date(2024, 1, 3))
     told = listed.select("drop", "name", F.col("hash_md5").alias("_told"), "row_count")
     return plan.join(told, ["drop", "name"], "left").groupBy("extract_date", "status").agg(
