@@ -46,9 +46,10 @@ EVIDENCE = 0.1
 
 FIT_ROWS = 8_000
 PREFIXES = (4, 5, 6, 7)
-#: A feature occurs in so many toxic documents, at so many times the rate of clean ones, and the
-#: rates differ by so many standard errors.
+#: A feature occurs in so many toxic documents (of few: in this share of them), at so many times the
+#: rate of clean ones, and the rates differ by so many standard errors.
 MIN_DOCUMENTS = 5
+MIN_SHARE = 1 / 3
 MIN_LIFT = 2.0
 MIN_Z = 3.5
 MAX_FEATURES = 20_000
@@ -126,9 +127,10 @@ def _telling(texts: pa.ChunkedArray, y: np.ndarray) -> list[str]:
         words = set(WORD.findall(text.as_py().lower()))
         seen[int(toxic)].update({f for w in words for f in features(w)})
     n_toxic, n_clean = y.sum(), len(y) - y.sum()
+    least = min(MIN_DOCUMENTS, max(2, math.ceil(MIN_SHARE * n_toxic)))
     found = []
     for f, n in seen[1].items():
-        if n < MIN_DOCUMENTS:
+        if n < least:
             continue
         rate, other = n / n_toxic, (seen[0][f] + 0.5) / n_clean
         both = (n + seen[0][f]) / len(y)
