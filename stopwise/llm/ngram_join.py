@@ -55,6 +55,8 @@ SIGNATURES = 40
 COARSE = 0.8
 SEEDS = 8
 HUBS = 2
+#: A turn before those with the hubs of one in so many signatures.
+FEW = 8
 #: Signatures of families; nodes on either side of a block of comparisons, and about how many
 #: shingles these have together.
 FINE_SIGNATURES = 160
@@ -119,9 +121,9 @@ def signatures(found: np.ndarray, enough: int = SIGNATURES, coarse: float = COAR
                 continue
         order = np.argsort(part, kind="stable")
         part, dealt = part[order], mix(dealt[order])
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
         sums = np.add.reduceat(dealt, first)
-        sizes = np.diff(np.r_[first, len(part)]).astype(np.uint64)
+        sizes = np.diff(np.append(first, len(part))).astype(np.uint64)
         name = np.uint64(instance << 40) + part[first]
         out.append(mix(mix(sums + sizes) + mix(name * STEP + np.uint64(1))))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
@@ -132,13 +134,14 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, id (never null), n_shingles, digest, key (64 bits of it), signatures."""
+    """doc_id, id (never null), n_shingles, digest, key (64 bits of it), signatures, digest of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, keys, signs = [], [], [], []
+            sizes, digests, keys, signs, texts = [], [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
+                texts.append(xxhash.xxh3_128_digest(text.as_py().encode()))
                 sizes.append(len(found))
                 digests.append(_digest(found))
                 keys.append(int.from_bytes(digests[-1][:8], "little", signed=True))
@@ -150,17 +153,18 @@ def _sets(docs: DataFrame) -> DataFrame:
                     pa.array(digests, pa.binary()),
                     pa.array(keys, pa.int64()),
                     pa.array(signs, pa.list_(pa.int64())),
+                    pa.array(texts, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "key", "signs"],
+                names=["doc_id", "n_shingles", "digest", "key", "signs", "text_digest"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), body().alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, key long, signs array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, key long, signs array<long>, text_digest binary"
     return rows.mapInArrow(run, schema).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, packed: the compressed text of each node (node, id, digest)."""
+    """node, packed: the compressed text of each node (node, id, text_digest)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -179,14 +183,14 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             packed, digests = batch.column(1), batch.column(2)
             fits = [
-                _digest(shingles(unpacker.decompress(p.as_py()).decode())) == d.as_py()
+                xxhash.xxh3_128_digest(unpacker.decompress(p.as_py())) == d.as_py()
                 for p, d in zip(packed, digests, strict=True)
             ]
             yield batch.select(["node", "packed"]).filter(pa.array(fits, pa.bool_()))
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), body().alias("text"))
     found = rows.mapInArrow(pack, "id long, packed binary").join(nodes, "id")
-    found = found.select("node", "packed", "digest").mapInArrow(right, "node long, packed binary")
+    found = found.select("node", "packed", "text_digest").mapInArrow(right, "node long, packed binary")
     # Rows that repeat an id with its text.
     return found.dropDuplicates(["node"])
 
@@ -350,7 +354,8 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = (
         sets.where("n_shingles > 0")
         .groupBy("digest", "key", "n_shingles")
-        .agg(F.min("id").alias("id"), F.min("doc_id").alias("least"))
+        .agg(F.min(F.struct("id", "text_digest")).alias("row"), F.min("doc_id").alias("least"))
+        .select("digest", "key", "n_shingles", "row.*", "least")
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = stored(nodes, "nodes")
@@ -369,23 +374,26 @@ def join(docs: DataFrame) -> DataFrame:
         members.select("sign", "node", "n_shingles").unionByName(same_key), "members"
     )
     release(spark)
-    wanted = members.select("node").distinct().join(nodes.select("node", "id", "digest"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "id", "text_digest"), "node")
     texts = stored(_texts(docs, wanted), "texts")
     release(spark)
 
     fits = F.least("n_a", "n_shingles") * DEN >= F.greatest("n_a", "n_shingles") * NUM
     links = None
     groups = members.withColumn("label", F.col("node"))
-    for turn in range(HUBS):
+    for turn in range(HUBS + 1):
+        # Groups of near copies share most signatures: a few of these make them one component, and what
+        # one component has to itself is not joined any more. Nothing else is left out for long.
+        asked = groups if turn else groups.where(F.pmod(F.xxhash64("sign"), F.lit(FEW)) == 0)
         # A hub for every signature: the smallest by an order that changes with the turn.
         order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n_shingles", "label")
-        hubs = groups.groupBy("sign").agg(F.min(order).alias("hub"))
+        hubs = asked.groupBy("sign").agg(F.min(order).alias("hub"))
         hubs = hubs.select(
             "sign", F.col("hub.node").alias("a"), F.col("hub.n_shingles").alias("n_a"),
             F.col("hub.label").alias("label_a"),
         )
         pairs = (
-            groups.join(hubs, "sign").where((F.col("label_a") != F.col("label")) & fits)
+            asked.join(hubs, "sign").where((F.col("label_a") != F.col("label")) & fits)
             .groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
             .where("n > 1").select("a", "b")
         )

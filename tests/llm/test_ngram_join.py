@@ -93,3 +93,19 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     # 7 is 6 with one more word; 1 and 2 have equal words; texts without words stay.
     assert {r.doc_id for r in left.collect()} == {1, 3, 4, 5, 6, 8, None}
     assert m.join(no_docs).collect() == []
+
+
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    """A word's hash tells words apart and does not depend on its place, also over cut texts."""
+    from stopwise.llm import shingles as h
+
+    texts = ["", " \t\n", "aB ab\x00 \x00 é É a\u00a0b", "x" * 5_000 + " ab " + "y z " * 3_000, "ba ab aab aba baa a aa"]
+    seen = {}
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(h, "PIECE", piece)
+        for text in texts:
+            words, found = text.encode().lower().split(), h.word_hashes(text).tolist()
+            assert len(words) == len(found)
+            for word, value in zip(words, found, strict=True):
+                assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
