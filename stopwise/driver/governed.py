@@ -149,7 +149,7 @@ def _freshness(m: Model):
 )
 def _export_rows(m: Model):
     return query.export_rows(
-        m.stop_hour, "service_date_mst", date(2024, 1, 2), date(2024, 1, 9), 2_000_000
+        m.stop_hour, "service_date_mst", date(2024, 1, 2), date(2024, 1, 9)
     )
 
 
@@ -444,9 +444,9 @@ def _qa_consistency(m: Model):
        SELECT source_path, d AS extract_date, hash_md5,
               CASE WHEN d < DATE '1996-01-01' OR d > DATE '2000-12-31' THEN 'SKIP'
                    WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'LOAD' END AS status,
-              CASE WHEN d < DATE '1996-01-01' THEN concat('extract_date ', d, ' < 1996-01-01')
-                   WHEN d > DATE '2000-12-31' THEN concat('extract_date ', d, ' > 2000-12-31')
-                   WHEN o_orderstatus = 'F' THEN 'already loaded' END AS reason
+              CASE WHEN d < DATE '1996-01-01' THEN concat(d, ' is before 1996-01-01')
+                   WHEN d > DATE '2000-12-31' THEN concat(d, ' is after 2000-12-31')
+                   WHEN o_orderstatus = 'F' THEN 'same file in the ledger' END AS reason
        FROM f""",
 )
 def _load_plan(m: Model):

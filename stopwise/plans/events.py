@@ -20,9 +20,12 @@ from stopwise.params import Params
 
 KEYS = ["feed_ts_utc", "trip_id", "route_id"]
 UPDATE_FIELDS = (
-    "stop_sequence stop_id arrival_delay_sec departure_delay_sec schedule_relationship"
-).split()
-POSITION_FIELDS = "vehicle_id vehicle_label lon lat bearing speed_mps".split()
+    "stop_sequence", "stop_id", "arrival_delay_sec", "departure_delay_sec",
+    "schedule_relationship",
+)
+POSITION_FIELDS = (
+    "vehicle_id", "vehicle_label", "lon", "lat", "bearing", "speed_mps",
+)
 
 
 def recent(feed: DataFrame, params: Params, incremental: bool = False) -> DataFrame:

@@ -16,8 +16,9 @@ from stopwise.params import Params
 from stopwise.sinks.tables import materialize
 
 CRASH_COUNTS = (
-    "crash_100m_cnt severe_100m_cnt fatal_100m_cnt crash_250m_cnt severe_250m_cnt fatal_250m_cnt"
-).split()
+    "crash_100m_cnt", "severe_100m_cnt", "fatal_100m_cnt", "crash_250m_cnt", "severe_250m_cnt",
+    "fatal_250m_cnt",
+)
 
 
 def _placed(stops: DataFrame) -> DataFrame:

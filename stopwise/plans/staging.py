@@ -13,16 +13,17 @@ from stopwise.operators.latest import first_in_order, newest, newest_partition
 from stopwise.params import Params
 
 ACS_COLUMNS = (
-    "geoid name year hh_no_vehicle hh_total workers_transit workers_total persons_poverty "
-    "pop_total pct_hh_no_vehicle pct_transit_commute pct_poverty"
-).split()
+    "geoid", "name", "year", "hh_no_vehicle", "hh_total", "workers_transit", "workers_total",
+    "persons_poverty", "pop_total", "pct_hh_no_vehicle", "pct_transit_commute", "pct_poverty",
+)
 WEATHER_COLUMNS = (
-    "date station snow_mm precip_mm tmin_c tmax_c tavg_c snow_day precip_bin"
-).split()
+    "date", "station", "snow_mm", "precip_mm", "tmin_c", "tmax_c", "tavg_c", "snow_day",
+    "precip_bin",
+)
 CRASH_COLUMNS = (
-    "crash_id event_ts_utc severity severity_text lon lat roadway_name on_route off_route "
-    "bike_involved ped_involved"
-).split()
+    "crash_id", "event_ts_utc", "severity", "severity_text", "lon", "lat", "roadway_name",
+    "on_route", "off_route", "bike_involved", "ped_involved",
+)
 
 
 def demographics(raw: DataFrame) -> DataFrame:

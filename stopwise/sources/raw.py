@@ -189,9 +189,9 @@ def load_plan(
         F.when(early | late, "SKIP").when(F.col("_done"), "DONE").otherwise("LOAD")
     )
     reason = (
-        F.when(early, F.concat(F.lit("extract_date "), day.cast("string"), F.lit(f" < {start}")))
-        .when(late, F.concat(F.lit("extract_date "), day.cast("string"), F.lit(f" > {end}")))
-        .when(F.col("_done"), "already loaded")
+        F.when(early, F.concat(day.cast("string"), F.lit(f" is before {start}")))
+        .when(late, F.concat(day.cast("string"), F.lit(f" is after {end}")))
+        .when(F.col("_done"), "same file in the ledger")
     )
     return (
         files.join(done, ["source_path", "hash_md5"], "left")
