@@ -96,7 +96,6 @@ EDGE_DISTANCE_M2 = (
     "pow(_x1 + greatest(0D, least(1D, coalesce(-_b / _a, 0D))) * _dx, 2)"
     " + pow(_y1 + greatest(0D, least(1D, coalesce(-_b / _a, 0D))) * _dy, 2)"
 )
-CROSSES_RAY = "(_y1 > 0) != (_y2 > 0) and _x1 - _y1 * _dx / nullif(_dy, 0D) > 0"
 
 
 def mercator_lon(x: str) -> str:

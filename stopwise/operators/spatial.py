@@ -8,7 +8,7 @@ by the exact test.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.functions import geo
@@ -38,6 +38,13 @@ class Grid:
         """Cell column within the row ``_cy``."""
         return f"floor(({lon}) * {_cos(f'(_cy + 0.5D) * {self.step!r}D')} / {self.step!r}D)"
 
+    def corner_lon(self) -> str:
+        """Longitude of the south-west corner of the cell ``_cx`` in the row ``_cy``."""
+        return f"(_cx * {self.step!r}D / {_cos(f'(_cy + 0.5D) * {self.step!r}D')})"
+
+    def corner_lat(self) -> str:
+        return f"(_cy * {self.step!r}D)"
+
     def margin(self, lat: str) -> str:
         """Degrees of longitude that the radius spans up to a latitude."""
         return f"{self.reach!r}D / {_cos(f'({lat} + {self.reach!r}D)')}"
@@ -138,19 +145,69 @@ def chord_lengths_within(
     return geo.with_chord_in_disc(pairs, radius_m, "inside_m").where("inside_m > 0").drop(*CELL)
 
 
+BOX = ("_west", "_south", "_east", "_north")
+
+
 def with_box(polygons: DataFrame) -> DataFrame:
     """Polygons that have edges, with the box around them; rings are closed."""
-    sides = {
-        "_west": "array_min(edges.lon1)",
-        "_south": "array_min(edges.lat1)",
-        "_east": "array_max(edges.lon1)",
-        "_north": "array_max(edges.lat1)",
-    }
+    sides = ("array_min(edges.lon1)", "array_min(edges.lat1)", "array_max(edges.lon1)", "array_max(edges.lat1)")
     return polygons.where("size(edges) > 0").selectExpr(
-        "*", *[f"{v} as {k}" for k, v in sides.items()]
+        "*", *[f"{side} as {name}" for name, side in zip(BOX, sides, strict=True)]
+    )
+
+
+def _cells_inside(edges: DataFrame, grid: Grid, polygon_key: str) -> DataFrame:
+    """The cells whose south-west corner lies in a polygon: polygon_key, box, _cy, _cx.
+
+    The southern border of a row of cells meets the edges of a polygon at sorted longitudes; the
+    border is inside from each odd one to the next. An edge counts once per row that it crosses.
+    """
+    border = grid.corner_lat()
+    low, high = grid._row("least(lat1, lat2)"), grid._row("greatest(lat1, lat2)")
+    crossed = (
+        edges.selectExpr("*", f"explode(sequence({low}, {high} + 1)) as _cy")
+        .where(f"(lat1 > {border}) != (lat2 > {border})")
+        .selectExpr(
+            polygon_key,
+            *BOX,
+            "_cy",
+            f"lon1 + ({border} - lat1) / (lat2 - lat1) * (lon2 - lon1) as _at",
+        )
+    )
+    along = Window.partitionBy(polygon_key, "_cy").orderBy("_at")
+    parts = crossed.select(
+        polygon_key,
+        *BOX,
+        "_cy",
+        "_at",
+        F.lead("_at").over(along).alias("_to"),
+        F.row_number().over(along).alias("_n"),
+    ).where("_n % 2 = 1 and _to is not null")
+    # A corner lies on the western border of its cell, so the first one is that at or after _at.
+    first, after = (f"-{grid._column(f'-({x})')}" for x in ("_at", "_to"))
+    return parts.where(f"{first} < {after}").selectExpr(
+        polygon_key, *BOX, "_cy", f"explode(sequence({first}, {after} - 1)) as _cx"
     )
 
 
+def _side(lon: str, lat: str) -> str:
+    """SQL text: on which side of its edge a place lies.
+
+    A place on the line of the edge counts as a little north, and east if the edge runs north.
+    """
+    turn = f"((lon2 - lon1) * ({lat} - lat1) - (lat2 - lat1) * ({lon} - lon1))"
+    tie = "if(lon1 = lon2, lat1 - lat2, lon2 - lon1)"
+    return f"(if({turn} = 0, {tie}, {turn}) > 0)"
+
+
+# Whether an edge meets the way from the corner of a cell north along its western border to the
+# latitude of the point, and from there along that latitude to the point.
+_MEETS_WAY = (
+    f"((lon1 > _clon) != (lon2 > _clon) and {_side('_clon', '_clat')} != {_side('_clon', 'lat')})"
+    f" != ((lat1 > lat) != (lat2 > lat) and {_side('_clon', 'lat')} != {_side('lon', 'lat')})"
+)
+
+
 def points_near_polygons(
     points: DataFrame,
     polygons: DataFrame,
@@ -161,42 +218,57 @@ def points_near_polygons(
 ) -> DataFrame:
     """Pairs of points and polygons: inside, or at most ``radius_m`` from an edge.
 
-    Points carry ``lon, lat``. Polygons carry ``edges``, an array of
-    ``struct<lon1,lat1,lon2,lat2>`` over all their rings; odd crossings of a ray cover holes
-    and several parts. Boxes alone meet the points on the grid, then the edges of a polygon
-    travel once, or once per split of a hot polygon. All edges of a pair are unfolded in the task that holds it, so the grouping
-    is finished map-side and shuffles one row per pair.
+    Points carry ``lon, lat``; repeated ones give one row. Polygons carry ``edges``, an array of
+    ``struct<lon1,lat1,lon2,lat2>`` over all their closed rings; an odd number of crossings is
+    inside, which covers holes and several parts.
+
+    A polygon has a row per cell: the edges within reach of the cell, and whether it covers the
+    cell's corner. A point meets only what is in its own cell: the distance needs no other edge,
+    and it is inside if its cell's corner is, but for the edges on the way from there. So rows follow
+    points and edges of the same cell; the number of a polygon's edges does not multiply its points.
+    Edges of a pair are unfolded in the task that holds it: grouping them shuffles one row a pair.
     """
-    grid = Grid(radius_m, cell_m)
-    boxes = with_box(polygons).select(polygon_key, "_west", "_south", "_east", "_north")
+    grid = Grid(max(radius_m, 1.0), cell_m)
+    edges = with_box(polygons).selectExpr(polygon_key, *BOX, "inline(edges)")
+    near = grid.reach_of_chord(edges).withColumn("_covers", F.lit(0))
+    covered = _cells_inside(edges, grid, polygon_key).withColumn("_covers", F.lit(1))
+    edge = F.struct("lon1", "lat1", "lon2", "lat2")
+    shapes = (
+        near.unionByName(covered, allowMissingColumns=True)
+        .groupBy(polygon_key, *BOX, *CELL)
+        .agg(
+            F.collect_list(F.when(F.col("_covers") == 0, edge)).alias("_near"),
+            F.max("_covers").alias("_covers"),
+        )
+    )
     margin = grid.margin("abs(lat)")
-    candidates = (
+    pairs = (
         join_splitting_hot_keys(
-            grid.cell(points, "lon", "lat"),
-            grid.reach_of_box(boxes, "_west", "_south", "_east", "_north"),
+            grid.cell(points.select("lon", "lat").distinct(), "lon", "lat"),
+            shapes,
             keys=CELL,
             spread_by=("lon", "lat"),
             rows_per_split=rows_per_split,
         )
         .where(f"lat between _south - {grid.reach!r}D and _north + {grid.reach!r}D")
         .where(f"lon between _west - {margin} and _east + {margin}")
-        .select("lon", "lat", polygon_key)
-    )
-    # The points of a hot polygon are split while the query runs (forceOptimizeSkewedJoin): a
-    # measured list as above would compute the candidates twice.
-    unfolded = geo.with_plane_chord(
-        geo.with_plane_scale(candidates)
-        .join(polygons.select(polygon_key, "edges"), polygon_key)
-        .selectExpr("lon", "lat", "_kx", polygon_key, "inline(edges)")
-    )
-    tested = unfolded.groupBy("lon", "lat", polygon_key).agg(
-        F.expr(f"min({geo.EDGE_DISTANCE_M2}) as _d2"),
-        F.expr(f"count_if({geo.CROSSES_RAY}) as _crossings"),
+        .selectExpr(
+            "lon", "lat", polygon_key, "_covers", f"{grid.corner_lon()} as _clon",
+            f"{grid.corner_lat()} as _clat", "inline_outer(_near)",
+        )
+    )
+    tested = (
+        geo.with_plane_chord(geo.with_plane_scale(pairs))
+        .groupBy("lon", "lat", polygon_key)
+        .agg(
+            F.expr(f"min({geo.EDGE_DISTANCE_M2}) as _d2"),
+            F.expr(f"max(_covers) + count_if({_MEETS_WAY}) as _turns"),
+        )
     )
     return (
         tested.withColumn(
-            "distance_m", F.expr("case when _crossings % 2 = 1 then 0D else sqrt(_d2) end")
+            "distance_m", F.expr("case when _turns % 2 = 1 then 0D else sqrt(_d2) end")
         )
         .where(F.col("distance_m") <= radius_m)
-        .drop("_d2", "_crossings")
+        .drop("_d2", "_turns")
     )

@@ -231,3 +231,61 @@ def test_a_polygon_of_many_edges_and_points_is_split(spark):
     got = {round(x.r): x.distance_m for x in found.collect()}
     assert {round(r) for r, _ in reach if r < radius + 490} <= set(got) <= {round(r) for r, _ in reach if r < radius + 510}
     assert all(abs(d - max(0.0, r - radius)) < 10 for r, d in got.items())
+
+
+def _inside(lon, lat, ring):
+    sides = zip(ring, ring[1:] + ring[:1], strict=True)
+    return sum(
+        (y1 > lat) != (y2 > lat) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon
+        for (x1, y1), (x2, y2) in sides
+    ) % 2 == 1
+
+
+def test_jagged_polygons_of_many_cells_against_brute_force(spark):
+    """Rings over many cells that cross themselves, have corners on borders of cells, and overlap."""
+    rng = random.Random(5)
+    step = 2_000.0 / geo.METERS_PER_DEGREE * 1.001
+    rings = {}
+    for p in range(6):
+        around = sorted(rng.uniform(0, 2 * math.pi) for _ in range(40)) if p % 2 else [i * 2.4 for i in range(25)]
+        ring = [(-105 + rng.uniform(0.02, 0.15) * math.cos(t), 39.7 + rng.uniform(0.02, 0.12) * math.sin(t)) for t in around]
+        # Latitudes on the border of a row, and a level edge.
+        ring[3:5] = [(ring[3][0], round(ring[3][1] / step) * step), (ring[4][0], round(ring[3][1] / step) * step)]
+        rings[f"p{p}"] = ring
+    polygons = _polygons(spark, {
+        g: str({"type": "Polygon", "coordinates": [[list(x) for x in r]]}).replace("'", '"') for g, r in rings.items()
+    })
+    spots = [(rng.uniform(-105.2, -104.8), rng.uniform(39.55, 39.85)) for _ in range(400)]
+    spots += [(x, round(y / step) * step) for x, y in spots[:60]]
+    # In one latitude with level edges, and such edges may reach over the border of a cell.
+    spots += [(x, ring[3][1]) for x, _ in spots[60:90] for ring in rings.values()]
+    points = spark.createDataFrame(spots, "lon double, lat double")
+    found = points_near_polygons(points, polygons, "geoid", 50.0)
+    got = {(r.geoid, r.lon, r.lat) for r in found.collect() if r.distance_m < 1e-6}
+    # A place on the level edge itself has the distance 0 too.
+    level = {g: (*sorted((ring[3][0], ring[4][0])), ring[3][1]) for g, ring in rings.items()}
+    on_it = {(g, x, y) for g, (w, e, at) in level.items() for x, y in spots if y == at and w <= x <= e}
+    expected = {(g, *s) for g, ring in rings.items() for s in spots if _inside(*s, ring)}
+    assert got == expected | on_it and len(got) > 300 and on_it - expected
+
+
+def test_a_polygon_of_a_hundred_thousand_edges(spark):
+    """A circle with a radius of 60 km: a point meets the edges of its own cell only."""
+    n, radius, lat = 100_000, 60_000.0, 39.7
+    kx = math.cos(math.radians(lat))
+    place = lambda r, t: (
+        f"-105 + {r} * cos({t}) / {geo.METERS_PER_DEGREE * kx!r}D",
+        f"{lat} + {r} * sin({t}) / {geo.METERS_PER_DEGREE!r}D",
+    )
+    (x1, y1), (x2, y2) = place(radius, f"id * {2 * math.pi / n!r}D"), place(radius, f"((id + 1) % {n}) * {2 * math.pi / n!r}D")
+    edges = spark.range(n).selectExpr(
+        f"struct({x1} as lon1, {y1} as lat1, {x2} as lon2, {y2} as lat2) as e"
+    )
+    polygons = edges.agg(F.collect_list("e").alias("edges")).withColumn("geoid", F.lit("c"))
+    x, y = place("r", "id * 0.7D")
+    points = spark.range(3_000).selectExpr("id", "(id * 37) % 70000 as r").selectExpr("r", f"{x} as lon", f"{y} as lat")
+    found = points_near_polygons(points, polygons, "geoid", 800.0).join(points, ["lon", "lat"]).collect()
+    inner = [r.r for r in found if r.distance_m == 0]
+    expected = [r for r in ((i * 37) % 70000 for i in range(3_000)) if r < radius]
+    assert abs(len(inner) - len(expected)) <= 2 and max(inner) <= radius + 1
+    assert all(r.r < radius + 810 for r in found)
