@@ -154,3 +154,72 @@ def _rt_stream_ledger(m: Model):
         )
         loaded = own if loaded is None else loaded.unionByName(own)
     return loaded.join(ledger, ["table_name", "extract_date"], "full")
+
+
+_MART_SQL = """SELECT DATE '2024-01-01' + CAST(o_orderkey % 5 AS INTEGER) AS run_date, o_orderkey AS v FROM orders"""
+
+
+def _scan_sql(scan: str, where: str) -> str:
+    """Dates 1 and 2 are as first exported, the third was corrected, the others came with it."""
+    return f"""SELECT '{scan}' AS scan, run_date, count(*) AS n_rows,
+                      CAST(sum(v + CASE WHEN run_date >= DATE '2024-01-03' THEN 1 ELSE 0 END) AS BIGINT) AS total
+               FROM mart WHERE {where} GROUP BY run_date"""
+
+
+@register(
+    "mart_export_scan",
+    "scan:s run_date:d n_rows:i total:i",
+    f"""WITH mart AS ({_MART_SQL})
+        {_scan_sql('all', 'true')} UNION ALL {_scan_sql('stale', 'true')}
+        UNION ALL {_scan_sql('latest', "run_date = (SELECT max(run_date) FROM mart)")}
+        UNION ALL {_scan_sql('recent', "run_date >= DATE '2024-01-06' - 2")}
+        UNION ALL SELECT 'snapshot', DATE '2024-01-04', count(*), CAST(sum(v) AS BIGINT) FROM mart
+                  WHERE run_date <= DATE '2024-01-03' HAVING count(*) > 0
+        UNION ALL SELECT 'state events', max(run_date), count(DISTINCT run_date), 1 FROM mart
+        UNION ALL SELECT 'state places', DATE '2024-01-04', 1, 1
+        UNION ALL SELECT 'synced events', max(run_date), 1, 1 FROM mart""",
+)
+def _mart_export_scan(m: Model):
+    """Three dates are exported, then the rest with the last one again, then nothing; a snapshot is
+    written once a day; what was exported is scanned whole, by age and for its latest date."""
+    spark, root = m.inputs.spark, shared_dir(m.inputs.spark, "exports")
+    state, later = f"{root}/state", datetime(2024, 1, 6, 12, tzinfo=UTC)
+    mart = m.inputs.orders.selectExpr(
+        "cast(o_custkey % 40 as string) as route_id",
+        "date_add(date'2024-01-01', cast(o_orderkey % 5 as int)) as service_date_mst",
+        "o_orderkey as v",
+    )
+    first = mart.where("service_date_mst <= date'2024-01-03'")
+    corrected = mart.withColumn("v", F.col("v") + 1)
+    early = datetime(2024, 1, 4, 12, tzinfo=UTC)
+    dates = exports.export_partitioned(first, "events", root, state, early)
+    dates += exports.export_partitioned(corrected, "events", root, state, later, reexport_days=1)
+    dates += exports.export_partitioned(corrected, "events", root, state, later)
+    exports.export_snapshot(first, "places", root, state, early)
+    exports.export_snapshot(corrected, "places", root, state, early)
+
+    def scanned(scan: str, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("run_date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("v").alias("total")).select(
+            F.lit(scan).alias("scan"), "run_date", "n_rows", "total"
+        )
+
+    whole = raw.mart_scan(spark, root, "events", max_age_days=None)
+    out = scanned("all", whole)
+    for scan, mart_name, how in (
+        ("stale", "events", {"today": date(2024, 6, 1)}),
+        ("latest", "events", {"latest_only": True}),
+        ("recent", "events", {"max_age_days": 2, "today": date(2024, 1, 6)}),
+        ("snapshot", "places", {"max_age_days": None}),
+    ):
+        out = out.unionByName(scanned(scan, raw.mart_scan(spark, root, mart_name, **how)))
+    exported = {"events": len(set(dates)), "places": 1}
+    for name, n in exported.items():
+        own = exports.read_state(spark, state).where(F.col("mart_name") == name)
+        out = out.unionByName(own.groupBy(F.col("last_service_date").alias("run_date")).agg(
+            F.lit(n).alias("n_rows"), F.count(F.lit(1)).alias("total")
+        ).withColumn("scan", F.lit(f"state {name}")))
+    synced = exports.sync_state({"events": whole}, later)["marts"]
+    last = spark.createDataFrame(list(synced.items()), "mart string, run_date string").selectExpr(
+        "'synced ' || mart as scan", "cast(run_date as date) as run_date", "1 as n_rows", "1 as total"
+    )
+    return out.unionByName(last)
