@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stopwise.driver.catalog import register
 from stopwise.driver.model import Model
+from stopwise.driver.views import range_of, range_sql
 from stopwise.functions import geo
 from stopwise.functions.clock import local_date, local_hour, service_instant, service_seconds
 from stopwise.functions.safe import flag
@@ -430,9 +431,7 @@ WEATHER_WIDE = f"""
     FROM lineitem GROUP BY 1, 2"""
 WEATHER_SQL = f"""
     WITH w AS ({WEATHER_WIDE}),
-    d AS (SELECT CAST(g AS DATE) AS date
-          FROM generate_series(TIMESTAMP '1994-12-20', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)
-               AS t(g)),
+    d AS (SELECT day AS date FROM ({range_sql('lineitem', 'l_shipdate')}) AS t),
     s AS (SELECT d.date, coalesce(station, 'USW00023062') AS station,
                  CASE WHEN max(snow) OVER () >= 200 THEN snow * 0.1::DOUBLE ELSE snow END AS snow,
                  prcp, tmin, tmax,
@@ -461,7 +460,10 @@ def _observations(m: Model):
     )
 
 
-SPAN = (date(1994, 12, 20), date(2001, 12, 31))
+def _days(m: Model):
+    """Every day from before the first observation to after the last one."""
+    first, last = range_of(m.inputs.lineitem, "l_shipdate")
+    return weather.daily_weather(weather.widen(_observations(m), "loaded"), first, last)
 
 
 @register(
@@ -470,7 +472,7 @@ SPAN = (date(1994, 12, 20), date(2001, 12, 31))
     WEATHER_SQL,
 )
 def _weather_pivot_spine(m: Model):
-    return weather.daily_weather(weather.widen(_observations(m), "loaded"), *SPAN)
+    return _days(m)
 
 
 @register(
@@ -527,8 +529,7 @@ def _precip_bins(m: Model):
         FROM ({WEATHER_SQL}) AS d""",
 )
 def _missing_rates(m: Model):
-    days = weather.daily_weather(weather.widen(_observations(m), "loaded"), *SPAN)
-    return weather.missing_rates(days, ["snow_mm", "precip_mm", "tavg_c", "precip_bin"])
+    return weather.missing_rates(_days(m), ["snow_mm", "precip_mm", "tavg_c", "precip_bin"])
 
 
 def _acs_response(m: Model):

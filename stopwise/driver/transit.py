@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stopwise.driver.catalog import register
 from stopwise.driver.model import Model
 from stopwise.driver.sqltext import haversine
-from stopwise.driver.views import days
+from stopwise.driver.views import range_of, range_sql
 from stopwise.functions.clock import date_spine
 from stopwise.plans import lookups, places, reliability
 
@@ -19,17 +19,15 @@ from stopwise.plans import lookups, places, reliability
 @register(
     "date_spine",
     "service_date:d day_of_week:s is_sunday:b is_saturday:b n_orders:i",
-    """SELECT d.day AS service_date, lower(dayname(d.day)) AS day_of_week,
+    f"""SELECT d.day AS service_date, lower(dayname(d.day)) AS day_of_week,
               dayofweek(d.day) = 0 AS is_sunday, dayofweek(d.day) = 6 AS is_saturday,
               coalesce(o.n, 0) AS n_orders
-       FROM (SELECT CAST(g AS DATE) AS day
-             FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31',
-                                  INTERVAL 1 DAY) AS t(g)) AS d
+       FROM ({range_sql('orders', 'o_orderdate')}) AS d
        LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders
                   GROUP BY 1) AS o ON o.day = d.day""",
 )
 def _date_spine(m: Model):
-    spine = date_spine(m.inputs.spark, *days("1995-01-01", "2001-12-31"))
+    spine = date_spine(m.inputs.spark, *range_of(m.inputs.orders, "o_orderdate"))
     per_day = m.inputs.orders.groupBy(F.to_date("o_orderdate").alias("service_date")).agg(
         F.count(F.lit(1)).alias("n")
     )

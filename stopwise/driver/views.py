@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from datetime import UTC, date, datetime
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stopwise.params import Params
 from stopwise.session import tune
@@ -286,5 +287,24 @@ class Inputs:
         raise AttributeError(name)
 
 
-def days(first: str, last: str) -> tuple[date, date]:
-    return date.fromisoformat(first), date.fromisoformat(last)
+#: Days that a spine goes on at either end of what its table has.
+AROUND = 7
+
+
+def range_of(rows: DataFrame, column: str) -> tuple[date, date]:
+    """First and last date of a column with some days around, by one aggregate of one row."""
+    first, last = rows.agg(
+        F.date_sub(F.min(F.to_date(column)), AROUND), F.date_add(F.max(F.to_date(column)), AROUND)
+    ).first()
+    if first is None:
+        raise ValueError(f"{column} has no date")
+    return first, last
+
+
+def range_sql(table: str, column: str) -> str:
+    """SQL: the dates of ``range_of`` as rows of ``day``."""
+    return (
+        f"SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS day FROM "
+        f"(SELECT CAST(min({column}) AS DATE) - {AROUND} AS first, CAST(max({column}) AS DATE) + {AROUND} AS last "
+        f"FROM {table}) AS ends"
+    )
