@@ -532,6 +532,85 @@ def _dedup_latest_demographics(m: Model):
     return staging.demographics(rows)
 
 
+@register(
+    "dedup_routes",
+    "route_id:s route_name:s route_long_name:s route_type:s is_active:b",
+    """SELECT concat('R', p_partkey % 50) AS route_id,
+              coalesce(nullif(CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE '' END, ''), p_name) AS route_name, p_name AS route_long_name,
+              CAST(p_size AS VARCHAR) AS route_type, true AS is_active
+       FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 50
+           ORDER BY p_name, p_type, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, p_size) = 1""",
+)
+def _dedup_routes(m: Model):
+    """Many names per route; the first by long name and description wins, a blank short name gives way."""
+    return staging.routes(m.inputs.part.selectExpr(
+        "concat('R', p_partkey % 50) as route_id", "p_name as route_long_name", "p_type as route_desc",
+        "if(p_partkey % 3 = 0, '', p_brand) as route_short_name", "p_size as route_type",
+    ))
+
+
+@register(
+    "dedup_stops",
+    "stop_id:s stop_name:s stop_lat:f stop_lon:f wheelchair_boarding:i has_place:b",
+    """SELECT *, stop_lat IS NOT NULL AND stop_lon IS NOT NULL AS has_place FROM (
+           SELECT concat('S', l_partkey % 500) AS stop_id, nullif(l_returnflag, 'N') AS stop_name,
+                  CASE WHEN l_linenumber <> 3 THEN l_quantity END AS stop_lat, l_extendedprice AS stop_lon,
+                  l_linenumber AS wheelchair_boarding
+           FROM lineitem)
+       QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY stop_name NULLS FIRST,
+           stop_lat NULLS FIRST, stop_lon, wheelchair_boarding) = 1""",
+)
+def _dedup_stops(m: Model):
+    """Stops that come back under other names and places, some without either."""
+    stops = staging.stops(m.inputs.lineitem.selectExpr(
+        "concat('S', l_partkey % 500) as stop_id", "nullif(l_returnflag, 'N') as stop_name",
+        "if(l_linenumber = 3, null, l_quantity) as stop_lat", "l_extendedprice as stop_lon",
+        "cast(l_linenumber as string) as wheelchair_boarding",
+    ))
+    return stops.withColumn("has_place", F.col("geom").isNotNull())
+
+
+@register(
+    "dedup_trips",
+    "trip_id:s service_id:s route_id:s",
+    """SELECT concat('T', o_custkey) AS trip_id, concat('W', o_orderkey % 7) AS service_id,
+              concat('R', o_orderkey % 11) AS route_id
+       FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)
+       QUALIFY row_number() OVER (PARTITION BY o_custkey
+           ORDER BY o_orderkey % 7, concat('R', o_orderkey % 11)) = 1""",
+)
+def _dedup_trips(m: Model):
+    """Trips that several services of the newest extract claim, and older extracts too."""
+    trips = m.inputs.orders.selectExpr(
+        "concat('T', o_custkey) as trip_id", "concat('R', o_orderkey % 11) as route_id",
+        "concat('W', o_orderkey % 7) as service_id", "cast(null as int) as direction_id",
+        "cast(null as string) as shape_id", "cast(null as string) as trip_headsign",
+        "make_date(year(o_orderdate), 1, 1) as _extract_date",
+    )
+    return staging.trips(trips, m.inputs.v_calendar, m.inputs.v_calendar_dates)
+
+
+@register(
+    "dedup_tracts",
+    "geoid:s name:s aland_m2:i n_edges:i",
+    """SELECT concat('G', o_custkey % 300) AS geoid, concat('N', o_orderkey) AS name, o_orderkey AS aland_m2,
+              3 + o_orderkey % 2 AS n_edges
+       FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 300
+           ORDER BY o_orderdate DESC, concat('N', o_orderkey) DESC) = 1""",
+)
+def _dedup_tracts(m: Model):
+    """Tracts of many loads with other rings: three corners, closed in the text or not, or four."""
+    corner = "if(o_orderkey % 2 = 1, '[3,2],', '')"
+    close = "if(o_custkey % 2 = 1, ',[0,0]', '')"
+    rows = m.inputs.orders.selectExpr(
+        "concat('G', o_custkey % 300) as geoid", "concat('N', o_orderkey) as name",
+        "o_orderkey as aland_m2", "0L as awater_m2", "cast(o_orderdate as timestamp) as _ingested_at",
+        "concat('{\"type\":\"Polygon\",\"coordinates\":[[[0,0],[1,0],', "
+        f"{corner}, '[0,1]', {close}, ']]}}') as geometry_geojson",
+    )
+    return staging.tracts(rows).withColumn("n_edges", F.size("edges"))
+
+
 @register(
     "dedup_latest_crashes",
     "crash_id:s event_ts_utc:t severity:i severity_text:s event_date_mst:d",
