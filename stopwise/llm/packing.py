@@ -57,8 +57,9 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
         words = words_of(path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(text.as_py()) + b"\0\0\0\0"
+            found = words.each(text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids += b"\0\0\0\0"
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))

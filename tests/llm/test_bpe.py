@@ -50,3 +50,15 @@ def test_operator_returns_ids_and_text(spark, library):
 
 def test_empty_table(spark, no_docs):
     assert m.digest_tokens(no_docs).collect() == []
+
+
+def test_words_encoded_together_are_those_encoded_alone():
+    words = words_of(default_path())
+    texts = ["Straße ſo ŉ été it's", "", "a" * 3_000 + " b", "İstanbul x́ naïve,naïve", " ".join(map(str, range(600)))]
+    found = list(words.each(texts * 2))
+    for text, ids in zip(texts * 2, found, strict=True):
+        alone = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids == np.array(alone, "<u4").tobytes()
+    plain = [f"{a}{b}" for a in "bcdfg" for b in ("ab", "éß", "ſt", "ÿ")] * 40
+    alone = [np.array(words.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in plain]
+    assert words.encode(plain) == alone
