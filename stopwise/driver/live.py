@@ -11,7 +11,7 @@ from stopwise.driver.transit import EVENT_COLUMNS
 from stopwise.driver.views import FANOUT, SCHEMAS, VIEWS
 from stopwise.plans import events
 from stopwise.session import shared_dir
-from stopwise.streaming import realtime
+from stopwise.streaming import joined, realtime
 
 
 ARRIVALS = 3
@@ -101,3 +101,58 @@ def _stop_hour_stream(m: Model):
         "window_day",
     ).awaitTermination()
     return m.inputs.spark.read.parquet(f"{root}/stop_hour")
+
+
+def _in_order(m: Model, label: str, build) -> DataFrame:
+    """What a stream appends over the events in three deliveries by time, positions six hours late."""
+    spark, root = m.inputs.spark, shared_dir(m.inputs.spark, label)
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    late = F.when(F.col("event_type").isin("signup", "purchase"), 6 * 3_600).otherwise(0)
+    first, last = m.inputs.events.agg(F.min(second), F.max(second)).first()
+    third = ((last or 0) - (first or 0)) // ARRIVALS + 1
+    part = F.least(F.floor((second + late - (first or 0)) / third), F.lit(ARRIVALS - 1))
+    arrivals = m.inputs.events.withColumn("_arrival", part)
+    for n in range(ARRIVALS):
+        arrivals.where(F.col("_arrival") == n).drop("_arrival").write.mode("append").parquet(f"{root}/feed")
+        stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{root}/feed")
+        found = build(stream)
+        joined.append_to(found, f"{root}/table", f"{root}/_checkpoint").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/table")
+
+
+@register(
+    "rt_stream_join",
+    EVENT_COLUMNS,
+    """SELECT * FROM b_merged
+       WHERE feed_ts_utc <= least((SELECT max(feed_ts_utc) FROM v_updates),
+                                  (SELECT max(feed_ts_utc) FROM v_positions)) - INTERVAL 12 HOUR""",
+)
+def _rt_stream_join(m: Model):
+    def build(stream: DataFrame) -> DataFrame:
+        updates, positions = (
+            events.recent(stream.sparkSession.sql(VIEWS[v], events=stream), m.params)
+            for v in ("v_updates", "v_positions")
+        )
+        return joined.merge_streams(updates, positions)
+
+    return _in_order(m, "joined", build)
+
+
+@register(
+    "feed_gaps_stream",
+    "missing_from:t",
+    """WITH w AS (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, event_ts_utc) AS s FROM v_updates
+                  WHERE event_ts_utc IS NOT NULL),
+            final AS (SELECT s FROM w WHERE s + INTERVAL 5 MINUTE <=
+                      (SELECT max(event_ts_utc) FROM v_updates) - INTERVAL 12 HOUR)
+       SELECT g AS missing_from
+       FROM (SELECT unnest(generate_series((SELECT min(s) FROM final), (SELECT max(s) FROM final),
+                                           INTERVAL 5 MINUTE)) AS g) AS grid
+       WHERE g NOT IN (SELECT s FROM final)""",
+)
+def _feed_gaps_stream(m: Model):
+    def build(stream: DataFrame) -> DataFrame:
+        updates = stream.sparkSession.sql(VIEWS["v_updates"], events=stream)
+        return joined.gaps(updates.select(F.col("event_ts_utc").alias("feed_ts_utc")))
+
+    return _in_order(m, "gaps", build)

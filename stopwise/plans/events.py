@@ -56,57 +56,72 @@ def merge_feeds(updates: DataFrame, positions: DataFrame) -> DataFrame:
     position. So each feed first shrinks to two candidate rows per key, map-side, and the join
     is one row to one row.
     """
+    best = best_event(updates)
+    winners = (
+        update_candidates(updates)
+        .join(position_candidates(positions), KEYS, "full")
+        .selectExpr("feed_ts_utc", "trip_id", f"{best} as best")
+        .groupBy("feed_ts_utc", "trip_id")
+        .agg(F.expr("max(best) as best"))
+    )
+    return winners.selectExpr("feed_ts_utc", "trip_id", "best.*")
 
-    def fields(source: str, names: list[str]) -> list[str]:
-        return [f"{source}.{n} as {n}" for n in names]
 
-    def empty(names: list[str]) -> list[str]:
-        types = dict(updates.dtypes)
-        return [f"cast(null as {types[n]}) as {n}" for n in names]
+def update_candidates(updates: DataFrame) -> DataFrame:
+    """The greatest timed and the greatest untimed update per snapshot, trip and route."""
+    row = ", ".join(["entity_id as id", *UPDATE_FIELDS])
+    return updates.groupBy(*KEYS).agg(
+        F.expr(
+            f"max(case when event_ts_utc is not null then struct(event_ts_utc as at, {row}) end) "
+            "as timed"
+        ),
+        F.expr(f"max(case when event_ts_utc is null then struct({row}) end) as untimed"),
+    )
+
+
+def position_candidates(positions: DataFrame) -> DataFrame:
+    """The position with the greatest id and the latest one per snapshot, trip and route."""
+    row = ", ".join(["entity_id as id", *POSITION_FIELDS])
+    return positions.groupBy(*KEYS).agg(
+        F.expr(f"max(struct({row})) as by_id"),
+        F.expr(f"max(struct(coalesce(event_ts_utc, feed_ts_utc) as at, {row})) as by_time"),
+    )
 
-    def candidate(when: str, update_id: str, update: list[str], position: str) -> str:
+
+def best_event(updates: DataFrame, update: str = "", position: str = "", route: str = "route_id") -> str:
+    """The event of a key out of its candidates, as a struct that is greater for later events.
+
+    ``update`` and ``position`` go before the names of the candidates.
+    """
+    timed, untimed = f"{update}timed", f"{update}untimed"
+    by_id, by_time = f"{position}by_id", f"{position}by_time"
+    types = dict(updates.dtypes)
+
+    def fields(source: str, names: tuple[str, ...]) -> list[str]:
+        return [f"{source}.{n} as {n}" for n in names]
+
+    def candidate(when: str, update_id: str, own: list[str], place: str) -> str:
         """The event's order columns first, then what breaks ties."""
         parts = [
             f"{when} as event_ts_utc",
             f"{update_id} as tu_entity_id",
-            f"{position}.id as vp_entity_id",
-            *update,
-            *fields(position, POSITION_FIELDS),
-            "route_id",
+            f"{place}.id as vp_entity_id",
+            *own,
+            *fields(place, POSITION_FIELDS),
+            f"{route} as route_id",
         ]
         return f"struct({', '.join(parts)})"
 
-    update_row = ", ".join(["entity_id as id", *UPDATE_FIELDS])
-    position_row = ", ".join(["entity_id as id", *POSITION_FIELDS])
-    upd = updates.groupBy(*KEYS).agg(
-        F.expr(
-            f"max(case when event_ts_utc is not null then struct(event_ts_utc as at, {update_row}) "
-            "end) as timed"
-        ),
-        F.expr(f"max(case when event_ts_utc is null then struct({update_row}) end) as untimed"),
-    )
-    pos = positions.groupBy(*KEYS).agg(
-        F.expr(f"max(struct({position_row})) as by_id"),
-        F.expr(
-            f"max(struct(coalesce(event_ts_utc, feed_ts_utc) as at, {position_row})) as by_time"
-        ),
-    )
-    fallback = "coalesce(by_time.at, feed_ts_utc)"
-    timed = candidate("timed.at", "timed.id", fields("timed", UPDATE_FIELDS), "by_id")
-    untimed = candidate(fallback, "untimed.id", fields("untimed", UPDATE_FIELDS), "by_time")
-    alone = candidate(fallback, "cast(null as string)", empty(UPDATE_FIELDS), "by_time")
-    best = (
-        f"greatest(case when timed is not null then {timed} end, "
-        f"case when untimed is not null then {untimed} end, "
-        f"case when timed is null and untimed is null then {alone} end) as best"
+    fallback = f"coalesce({by_time}.at, feed_ts_utc)"
+    first = candidate(f"{timed}.at", f"{timed}.id", fields(timed, UPDATE_FIELDS), by_id)
+    second = candidate(fallback, f"{untimed}.id", fields(untimed, UPDATE_FIELDS), by_time)
+    nothing = [f"cast(null as {types[n]}) as {n}" for n in UPDATE_FIELDS]
+    alone = candidate(fallback, "cast(null as string)", nothing, by_time)
+    return (
+        f"greatest(case when {timed} is not null then {first} end, "
+        f"case when {untimed} is not null then {second} end, "
+        f"case when {timed} is null and {untimed} is null then {alone} end)"
     )
-    winners = (
-        upd.join(pos, KEYS, "full")
-        .selectExpr("feed_ts_utc", "trip_id", best)
-        .groupBy("feed_ts_utc", "trip_id")
-        .agg(F.expr("max(best) as best"))
-    )
-    return winners.selectExpr("feed_ts_utc", "trip_id", "best.*")
 
 
 def rt_events(
