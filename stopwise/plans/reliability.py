@@ -58,30 +58,28 @@ def reliability_by_route_day(
 ) -> DataFrame:
     """Counts, on-time share and delays per route, date and weather.
 
-    Days without weather count as dry. The weather side has one row per calendar date, which
-    bounds the broadcast; the events then go through one shuffle of partial aggregates.
+    Days without weather count as dry. Weather has one row per date, so events are first
+    aggregated by route and date, in one shuffle of partial aggregates, and only the mart meets it.
     """
     events = _since(resolved, since).select(
         "route_id", "service_date_mst", "delay_sec", "delay_sec_raw"
     )
     on_time = (F.abs("delay_sec") <= params.on_time_sec).cast("int")
-    return (
-        events.join(F.broadcast(weather_days), "service_date_mst", "left")
-        .groupBy(
-            "route_id",
-            "service_date_mst",
-            F.coalesce("precip_bin", F.lit("none")).alias("precip_bin"),
-            F.coalesce("snow_day", F.lit(False)).alias("snow_day"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n_events"),
-            F.count("delay_sec_raw").alias("n_reported_events"),
-            F.avg(on_time).alias("pct_on_time"),
-            F.avg("delay_sec").alias("mean_delay_sec"),
-            quantile("delay_sec", 0.5, exact).alias("median_delay_sec"),
-            quantile("delay_sec", 0.9, exact).alias("p90_delay_sec"),
-        )
-        .withColumn("build_run_at", F.lit(params.now))
+    days = events.groupBy("route_id", "service_date_mst").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count("delay_sec_raw").alias("n_reported_events"),
+        F.avg(on_time).alias("pct_on_time"),
+        F.avg("delay_sec").alias("mean_delay_sec"),
+        quantile("delay_sec", 0.5, exact).alias("median_delay_sec"),
+        quantile("delay_sec", 0.9, exact).alias("p90_delay_sec"),
+    )
+    return days.join(weather_days, "service_date_mst", "left").select(
+        "route_id",
+        "service_date_mst",
+        F.coalesce("precip_bin", F.lit("none")).alias("precip_bin"),
+        F.coalesce("snow_day", F.lit(False)).alias("snow_day"),
+        *days.columns[2:],
+        F.lit(params.now).alias("build_run_at"),
     )
 
 

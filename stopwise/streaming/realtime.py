@@ -252,20 +252,49 @@ def recompute_dates(
     tables.overwrite(impacts, store.path("impacts"))
 
 
+def stale_weather(
+    route_day: DataFrame, weather_days: DataFrame, since: date | None = None
+) -> list[date]:
+    """Dates of a mart whose rows were built with other weather than there is now.
+
+    The mart carries the weather of each date, so it is compared with the newest records by itself:
+    two columns of the lookback are read, and a refresh that died goes on where it stopped.
+    """
+    day = "service_date_mst"
+    built = route_day if since is None else route_day.where(F.col(day) >= F.lit(since))
+    now = weather_days.select(
+        day, F.col("precip_bin").alias("_bin"), F.col("snow_day").alias("_snow")
+    )
+    compared = built.select(day, "precip_bin", "snow_day").distinct().join(now, day, "left")
+    same = F.col("precip_bin").eqNullSafe(F.coalesce("_bin", F.lit("none"))) & F.col(
+        "snow_day"
+    ).eqNullSafe(F.coalesce("_snow", F.lit(False)))
+    return _dates(compared.where(~same), day)
+
+
 def refresh_weather(
     store: Store, spark: SparkSession, dims: Dimensions, params: Params = Params()
-) -> None:
-    """Rebuild the route days of the weather lookback after a late weather load."""
+) -> list[date]:
+    """Rebuild the route days of the lookback whose weather changed; returns their dates.
+
+    Other dates are neither read nor written.
+    """
+    built = store.read(spark, "route_day")
+    if built is None:
+        return []
     since = params.days_ago(params.weather_lookback_days)
-    found = store.read(spark, "events").where(F.col("event_date_mst") >= F.lit(since))
-    route_day = reliability.reliability_by_route_day(
-        events.resolve(found, params), dims.weather_days, params
-    )
-    tables.overwrite_partitions(
-        route_day, store.path("route_day"), "service_date_mst", ("route_id",)
-    )
-    impacts = reliability.weather_impacts(store.read(spark, "route_day"), params)
-    tables.overwrite(impacts, store.path("impacts"))
+    changed = stale_weather(built, dims.weather_days, since)
+    if changed:
+        found = store.read(spark, "events").where(_among("event_date_mst", changed))
+        route_day = reliability.reliability_by_route_day(
+            events.resolve(found, params), dims.weather_days, params
+        )
+        tables.overwrite_partitions(
+            route_day, store.path("route_day"), "service_date_mst", ("route_id",)
+        )
+        impacts = reliability.weather_impacts(store.read(spark, "route_day"), params)
+        tables.overwrite(impacts, store.path("impacts"))
+    return changed
 
 
 def process_batch(

@@ -122,8 +122,17 @@ def test_late_weather_rebuilds_route_days(spark, folder, dims):
     assert rows(store.read(spark, "route_day").select("precip_bin").distinct()) == [("heavy",)]
     dry = dims.weather_days.withColumn("precip_bin", F.lit("none"))
     late = realtime.Dimensions(dims.trips, dims.patterns, dims.scheduled_headways, dry)
-    realtime.refresh_weather(store, spark, late, PARAMS)
+    day = date(2025, 1, 14)
+    assert realtime.refresh_weather(store, spark, late, PARAMS) == [day]
     assert rows(store.read(spark, "route_day").select("precip_bin").distinct()) == [("none",)]
+    # Weather that did not change rebuilds nothing, a day without weather any more counts as dry.
+    files = sorted(store.read(spark, "route_day").inputFiles())
+    assert realtime.refresh_weather(store, spark, late, PARAMS) == []
+    assert sorted(store.read(spark, "route_day").inputFiles()) == files
+    gone = realtime.Dimensions(dims.trips, dims.patterns, dims.scheduled_headways, dry.limit(0))
+    assert realtime.refresh_weather(store, spark, gone, PARAMS) == [day]
+    assert rows(store.read(spark, "route_day").select("precip_bin", "snow_day").distinct()) == [("none", False)]
+    assert realtime.refresh_weather(realtime.Store(f"{folder}/empty"), spark, gone, PARAMS) == []
 
 
 def test_live_windows(spark, folder):
