@@ -14,8 +14,8 @@ both ids and pieces of a text are those of its words in a row.
 Which words are in the head touches speed only. Its candidates are words that occur ``AGAIN`` times
 among the words one task has counted at a time.
 
-Defined cases: null and empty texts have no ids and decode to an empty text; a null doc_id is an
-id like others; rows that repeat a doc_id keep their own texts; an empty table gives an empty
+Defined cases: null and empty texts have no ids and decode to an empty text; rows with a null doc_id
+are each for themselves; rows that repeat a doc_id keep their own texts; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -41,9 +41,6 @@ AGAIN = 2
 COUNTED = 400_000
 REMEMBERED = 200_000
 
-#: Stands for a null doc_id in joins. Words mean the same in every document, so it may be an id too.
-NO_ID = -(2**63)
-
 
 def _head(docs: DataFrame, size: int) -> DataFrame:
     """The most frequent words (word, n), at most ``size``."""
@@ -123,19 +120,19 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
 
         def flush(ids, words):
             return pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())}
+                {"key": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())}
             )
 
         for batch in batches:
             ids, words = [], []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = set(chunks(text))
                 if len(tails) > COUNTED:
                     tails.clear()
                 for c in parts.difference(tails):
                     tails[c] = tuple(w for w in cut(c) if w not in known)
                 own = {w for c in parts for w in tails[c]}
-                ids.extend([doc_id] * len(own))
+                ids.extend([key] * len(own))
                 words.extend(own)
                 if len(ids) > 200_000:
                     yield flush(ids, words)
@@ -151,10 +148,13 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
                 [batch.column(0), pa.array(pairs, pa.binary())], names=["of", "pair"]
             )
 
+    # Rows without an id go by their text. Words mean the same in every document, so rows may share
+    # a key: each then gets the words of all of them, every word once.
+    doc_id = F.col("doc_id").cast("long")
     source = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), body().alias("text")
+        F.coalesce(doc_id, F.xxhash64("text")).alias("key"), body().alias("text"), doc_id.alias("doc_id")
     )
-    tail = source.mapInArrow(rare, "doc_id long, word string")
+    tail = source.select("key", "text").mapInArrow(rare, "key long, word string")
     tail = encode_words(tail.repartition("word").sortWithinPartitions("word"), path)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +164,14 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
         for batch in batches:
             packed = [packer.compress(t.as_py().encode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"]
+                [batch.column(0), pa.array(packed, pa.binary()), batch.column(2)],
+                names=["key", "packed", "doc_id"],
             )
 
     pairs = tail.mapInArrow(pair, "of long, pair binary")
-    own = pairs.groupBy("of").agg(F.collect_list("pair").alias("rare"))
-    packed = source.mapInArrow(pack, "doc_id long, packed binary")
-    both = packed.join(own, packed["doc_id"] == own["of"], "left").drop("of")
+    own = pairs.groupBy("of").agg(F.collect_set("pair").alias("rare"))
+    packed = source.mapInArrow(pack, "key long, packed binary, doc_id long")
+    both = packed.join(own, packed["key"] == own["of"], "left").select("doc_id", "packed", "rare")
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -221,8 +222,7 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
     else:
         names, kinds = ("ids", "decoded"), (pa.binary(), pa.string())
         schema = "doc_id long, ids binary, decoded string"
-    done = both.mapInArrow(put_back, schema)
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return both.mapInArrow(put_back, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def shipped(spark: SparkSession) -> SparkSession:
         root = Path(stopwise.__file__).parent
         archive = Path(tempfile.mkdtemp(prefix="run-"), "stopwise.zip")
         with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(root.rglob("*.py")):
+            for file in sorted([*root.rglob("*.py"), *root.rglob("texts/*.txt")]):
                 out.write(file, Path(root.name, file.relative_to(root)))
         spark.sparkContext.addPyFile(str(archive))
         _shipped.add(spark.sparkContext.applicationId)

@@ -23,7 +23,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,15 @@ from stopwise.llm.common import body, stored, table
 HEADER_SIMILARITY = 0.6
 FILE_SIMILARITY = 0.6
 
+#: The full texts (license, text), as they are distributed; they ship with this package.
+TEXTS = tuple(
+    (f.name.removesuffix(".txt"), f.read_text("utf-8"))
+    for f in sorted(files(__package__).joinpath("texts").iterdir(), key=lambda f: f.name)
+    if f.name.endswith(".txt")
+)
+if not TEXTS:
+    raise FileNotFoundError("the full license texts are not in the package")
+
 #: License identifiers and notices as they are publicly written.
 NOTICES = (
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
@@ -89,12 +98,11 @@ NOTICES = (
             ("AGPL", "Affero General", "3.0", "3"),
         )
     ],
-    # The full texts, as they are distributed.
-    *[(f.stem, f.read_text("utf-8")) for f in sorted(Path(__file__).with_name("texts").glob("*.txt"))],
+    *TEXTS,
 )
 
 #: Notices from this one on are full texts; only they decide what is a license file by its text.
-FIRST_TEXT = len(NOTICES) - len(list(Path(__file__).with_name("texts").glob("*.txt")))
+FIRST_TEXT = len(NOTICES) - len(TEXTS)
 
 #: An SPDX expression, as it is written.
 SPDX = r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9][a-z0-9.+-]*(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9.+-]+)*)"

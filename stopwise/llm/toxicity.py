@@ -13,9 +13,9 @@ its strongest sentence.
 The fit reads a bounded sample: the ``FIT_ROWS`` labelled documents of the smallest id hashes, of
 which every fourth id class (crc32 of the id as text, modulo 4, equal to ``HELD_OUT``) is never
 read. Features are words and beginnings of words (``PREFIXES`` letters) that are found in toxic
-documents of the sample clearly more often than in others, at most ``MAX_FEATURES`` of them, so
-what is sent to the executors is bounded too. Scoring reads every whole
-text where it is stored, without a shuffle. Only texts enter the scores.
+documents of the sample clearly more often than in others; the sample bounds what is sent to the
+executors too. Scoring reads every whole text where it is stored, without a shuffle. Only texts
+enter the scores.
 
 Defined cases: null and empty texts are one sentence without words; ids with several labels count
 as toxic when any of them says so, null labels and null ids are left out; without labels of both
@@ -52,7 +52,6 @@ MIN_DOCUMENTS = 5
 MIN_SHARE = 1 / 3
 MIN_LIFT = 2.0
 MIN_Z = 3.5
-MAX_FEATURES = 20_000
 STEPS = 120
 RATE = 0.3
 SHRINK = 3e-5
@@ -137,7 +136,7 @@ def _telling(texts: pa.ChunkedArray, y: np.ndarray) -> list[str]:
         z = (rate - other) / math.sqrt(both * (1 - both) * (1 / n_toxic + 1 / n_clean) + 1e-12)
         if rate >= MIN_LIFT * other and z >= MIN_Z:
             found.append((-z, f))
-    return [f for _, f in sorted(found)[:MAX_FEATURES]]
+    return [f for _, f in sorted(found)]
 
 
 def fit(rows: DataFrame, steps: int = STEPS) -> Model:

@@ -62,3 +62,14 @@ def test_words_encoded_together_are_those_encoded_alone():
     plain = [f"{a}{b}" for a in "bcdfg" for b in ("ab", "éß", "ſt", "ÿ")] * 40
     alone = [np.array(words.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in plain]
     assert words.encode(plain) == alone
+
+
+def test_rows_without_an_id_or_with_the_same_one_keep_their_words(spark, library):
+    texts = [f"zq{n}xw common{n % 3} wv{n % 7}k" for n in range(40)] * 5
+    rows = [(None if n % 2 else 7, t) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = m.encode(docs, head=2).collect()
+    expected = sorted(
+        (i is None, np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) for i, t in rows
+    )
+    assert sorted((r.doc_id is None, bytes(r.ids)) for r in found) == expected

@@ -75,3 +75,22 @@ def test_full_texts_wrapped_headers_and_identifiers(spark):
     assert (got[2].license, got[2].origin, got[2].from_doc) == ("MIT", "directory", 1)
     assert [(got[i].license, got[i].origin) for i in (4, 8)] == [("LGPL-2.1", "header"), ("ISC", "header")]
     assert [got[i].license for i in (5, 6)] == ["MIT", "Zlib OR MIT"]
+
+
+def test_full_texts_are_read_from_an_archive(spark):
+    import subprocess
+    import sys
+    import zipfile
+
+    from stopwise.llm import common
+
+    common.shipped(spark)
+    archive = next(p for p in spark.sparkContext._python_includes if p.endswith("stopwise.zip"))
+    path = f"{__import__('pyspark').SparkFiles.getRootDirectory()}/{archive}"
+    assert any(n.endswith("texts/MIT.txt") for n in zipfile.ZipFile(path).namelist())
+    code = "from stopwise.llm import licenses as m; print(m.__file__); print(len(m.TEXTS))"
+    out = subprocess.run(
+        [sys.executable, "-c", f"import sys; sys.path.insert(0, {path!r}); {code}"],
+        capture_output=True, text=True, check=True, cwd="/",
+    ).stdout.split()
+    assert out == [f"{path}/stopwise/llm/licenses.py", str(len(m.TEXTS))]
