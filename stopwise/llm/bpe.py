@@ -8,8 +8,7 @@ they are put back at the positions of their words. Frequent words never travel,
 hold a large share of the rows that do; texts travel once, compressed.
 
 Decoding looks every id up in the id-to-piece table, whose size is that of the vocabulary, and
-joins the pieces as the tokenizer does (it has no decoder: by blanks). It is done per word, since
-both ids and pieces of a text are those of its words in a row.
+joins the pieces as the tokenizer does (it has no decoder: by blanks), text by text.
 
 Which words are in the head touches speed only. Its candidates are words that occur ``AGAIN`` times
 among the words one task has counted at a time.
@@ -37,7 +36,7 @@ from stopwise.llm.words import chunks, cut, default_path, words_of
 HEAD = 500_000
 LONGEST = 24
 AGAIN = 2
-#: Distinct chunks that a task counts at a time, and whose ids and text it remembers.
+#: Distinct chunks that a task counts at a time, and whose ids it remembers.
 COUNTED = 400_000
 REMEMBERED = 200_000
 
@@ -130,7 +129,7 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
                 if len(tails) > COUNTED:
                     tails.clear()
                 for c in parts.difference(tails):
-                    tails[c] = tuple(w for w in cut(c) if w not in known)
+                    tails[c] = () if c in known else tuple([w for w in cut(c) if w not in known])
                 own = {w for c in parts for w in tails[c]}
                 ids.extend([key] * len(own))
                 words.extend(own)
@@ -177,12 +176,10 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
         import zstandard
 
         known, unpacker = shared.value, zstandard.ZstdDecompressor()
-        piece, kind = words_of(path).pieces(), words_of(path).narrow()
-        done: dict[str, tuple[bytes, str]] = {}
-
-        def look_up(parts: list[bytes]) -> tuple[bytes, str]:
-            ids = np.frombuffer(b"".join(parts), kind)
-            return ids.astype("<u4").tobytes(), " ".join([piece[i] for i in ids.tolist()])
+        words, kind = words_of(path), words_of(path).narrow()
+        names_of = words.pieces()
+        piece = [names_of.get(i, "") for i in range(max(names_of, default=-1) + 1)]
+        done: dict[str, bytes] = {}
 
         for batch in batches:
             out = []
@@ -193,16 +190,14 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
                 parts = chunks(text)
                 if len(done) > REMEMBERED:
                     done.clear()
-                mine = {}
                 for c in set(parts).difference(done):
-                    found = cut(c)
-                    if all(w in known for w in found):
-                        done[c] = look_up([known[w] for w in found])
-                    else:
-                        mine[c] = look_up([known[w] if w in known else own[w] for w in found])
-                both = [mine[c] if c in mine else done[c] for c in parts]
-                ids = b"".join([x for x, _ in both])
-                back = " ".join([x for _, x in both if x])
+                    found = known.get(c)
+                    if found is None:
+                        found = b"".join([known[w] if w in known else own[w] for w in cut(c)])
+                    done[c] = found
+                numbers = np.frombuffer(b"".join(map(done.__getitem__, parts)), kind)
+                ids = numbers.astype("<u4").tobytes()
+                back = " ".join(map(piece.__getitem__, numbers.tolist()))
                 if digests:
                     out.append((
                         len(ids) // 4, hashlib.sha256(ids).hexdigest(),
