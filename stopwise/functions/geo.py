@@ -116,22 +116,55 @@ UTM_ZONE13_MERIDIAN = -105.0
 UTM_FALSE_EASTING = 500_000.0
 
 
-def utm13(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres by the third-order Krueger series (mm accurate)."""
-    n = GRS80_F / (2 - GRS80_F)
-    rect = GRS80_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (
-        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16,
-        13 * n**2 / 48 - 3 * n**3 / 5,
-        61 * n**3 / 240,
-    )
-    ecc = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon - UTM_ZONE13_MERIDIAN)
-    conformal = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * ecc) * ecc)
+# Half the third flattening and the series of the projection.
+_N = GRS80_F / (2 - GRS80_F)
+_ALPHA = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16,
+    13 * _N**2 / 48 - 3 * _N**3 / 5,
+    61 * _N**3 / 240,
+)
+_UTM_RADIUS = UTM_SCALE * (GRS80_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64))
+
+
+def _conformal(sin_phi: Column) -> Column:
+    ecc = 2 * math.sqrt(_N) / (1 + _N)
+    return F.sinh(F.atanh(sin_phi) - F.atanh(sin_phi * ecc) * ecc)
+
+
+def _on_sphere(conformal: Column, lam: Column) -> tuple[Column, Column]:
     xi = F.atan2(conformal, F.cos(lam))
     eta = F.atanh(F.sin(lam) / F.sqrt(conformal * conformal + 1))
+    return xi, eta
+
+
+def _on_plane(xi: Column, eta: Column) -> tuple[Column, Column]:
     east, north = eta, xi
-    for j, a in enumerate(alpha, start=1):
+    for j, a in enumerate(_ALPHA, start=1):
         east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
         north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
-    return east * (UTM_SCALE * rect) + UTM_FALSE_EASTING, north * (UTM_SCALE * rect)
+    return east * _UTM_RADIUS + UTM_FALSE_EASTING, north * _UTM_RADIUS
+
+
+def utm13(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Easting and northing in metres by the third-order Krueger series (mm accurate)."""
+    lam = F.radians(lon - UTM_ZONE13_MERIDIAN)
+    return _on_plane(*_on_sphere(_conformal(F.sin(F.radians(lat))), lam))
+
+
+def utm13_path(vertices: str) -> Column:
+    """``utm13`` of an array of [lon, lat], as an array of ``struct<e,n>``.
+
+    A function over an array is interpreted, and a part of it that occurs twice is computed twice.
+    So each step of the projection is a pass of its own over the vertices.
+    """
+
+    def named(names: str, *columns: Column) -> Column:
+        return F.struct(*[c.alias(n) for c, n in zip(columns, names.split(), strict=True)])
+
+    angles = F.transform(
+        vertices,
+        lambda v: named("s lam", F.sin(F.radians(v[1])), F.radians(v[0] - UTM_ZONE13_MERIDIAN)),
+    )
+    conformal = F.transform(angles, lambda p: named("t lam", _conformal(p["s"]), p["lam"]))
+    sphere = F.transform(conformal, lambda p: named("xi eta", *_on_sphere(p["t"], p["lam"])))
+    return F.transform(sphere, lambda p: named("e n", *_on_plane(p["xi"], p["eta"])))

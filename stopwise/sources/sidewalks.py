@@ -16,18 +16,21 @@ SIDEWALK_FEATURE = """attributes struct<OBJECTID: string, FACILITYID: string,
 def projected_length(vertices: str) -> Column:
     """Length in metres of the polyline through the vertices on the projected plane.
 
-    Each vertex is projected once; fewer than two give 0.
+    Each vertex is projected once, and one pass over them carries the previous one; fewer than two
+    give 0.
     """
-    plane = F.transform(
-        vertices,
-        lambda v: F.struct(*[c.alias(n) for c, n in zip(geo.utm13(v[0], v[1]), "en", strict=True)]),
+    start = F.struct(
+        F.lit(0.0).alias("e"), F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(True).alias("first")
     )
-    steps = F.zip_with(
-        F.slice(plane, F.lit(1), F.greatest(F.size(plane) - 1, F.lit(0))),
-        F.slice(plane, F.lit(2), F.greatest(F.size(plane) - 1, F.lit(0))),
-        lambda a, b: F.sqrt(F.pow(b["e"] - a["e"], 2) + F.pow(b["n"] - a["n"], 2)),
-    )
-    return F.aggregate(steps, F.lit(0.0), lambda total, step: total + step)
+
+    def further(so_far: Column, v: Column) -> Column:
+        step = F.sqrt(F.pow(v["e"] - so_far["e"], 2) + F.pow(v["n"] - so_far["n"], 2))
+        total = F.when(so_far["first"], so_far["m"]).otherwise(so_far["m"] + step)
+        return F.struct(
+            v["e"].alias("e"), v["n"].alias("n"), total.alias("m"), F.lit(False).alias("first")
+        )
+
+    return F.aggregate(geo.utm13_path(vertices), start, further, lambda end: end["m"])
 
 
 def sidewalks(features: DataFrame) -> DataFrame:

@@ -184,3 +184,21 @@ def test_schedule_text_scan_prunes_to_the_newest_extract(spark, folder):
     assert rows(staged, "trip_id", "stop_id", "arr_hour_gtfs") == [("T1", "S1", 25), ("T1", "S2", None)]
     plan = staged._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_extract_date" in plan
+
+
+def test_length_projects_a_vertex_once(spark):
+    length = sidewalks.projected_length("v")
+    df = spark.createDataFrame(
+        [([[-105.0, 39.7], [-104.99, 39.7], [-104.99, 39.71]],), ([[-105.0, 39.7]],), ([],), (None,),
+         ([[-105.0, 39.7], [None, 39.7]],)],
+        "v array<array<double>>",
+    )
+    e, n = sidewalks.geo.utm13(F.col("p")[0], F.col("p")[1])
+    ends = [tuple(r) for r in df.limit(1).select(F.explode("v").alias("p")).select(e, n).collect()]
+    legs = sum(((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5 for a, b in zip(ends, ends[1:]))
+    found = [r[0] for r in df.select(length).collect()]
+    assert found[0] == pytest.approx(legs, rel=1e-12)
+    assert found[1:] == [0.0, 0.0, None, None]
+    # Functions over arrays are interpreted: what is written twice is computed twice.
+    text = df.select(length.alias("m"))._jdf.queryExecution().analyzed().toString().lower()
+    assert text.count("atan2") == 1 and text.count("sinh") == 4
