@@ -25,6 +25,7 @@ def join_splitting_hot_keys(
     keys: Sequence[str],
     spread_by: Sequence[str],
     rows_per_split: int = ROWS_PER_SPLIT,
+    keep_split: bool = False,
 ) -> DataFrame:
     """Inner equi-join that divides the rows of hot keys of ``big`` over several tasks.
 
@@ -32,6 +33,10 @@ def join_splitting_hot_keys(
     ``spread_by``; the rows of ``small`` with such a key are repeated once per split. There are
     at most rows / ``rows_per_split`` hot keys; whether their list is broadcast is left to Spark,
     which knows its size when it is joined. The result equals ``big.join(small, keys)``.
+
+    With ``keep_split`` it has the column ``_split`` too, so that a grouping with the keys and that
+    number needs no shuffle. ``small`` is then dealt by them even if Spark broadcasts ``big``: its
+    tasks follow its own size, not that of what it was made of.
     """
     hot = (
         big.groupBy(*keys)
@@ -50,4 +55,6 @@ def join_splitting_hot_keys(
         .withColumn("_split", F.explode(F.sequence(F.lit(0), splits - 1)))
         .drop("_splits")
     )
+    if keep_split:
+        return big.join(small.repartition(*keys, "_split"), [*keys, "_split"])
     return big.join(small, [*keys, "_split"]).drop("_split")

@@ -151,23 +151,30 @@ def vulnerability_by_stop(
     """Population-weighted shares of the tracts around each stop, and their mean scaled.
 
     A missing share adds nothing to its sum while the population still counts. Tracts without
-    people take no part, so they are dropped before the distance join.
+    people take no part, so they are dropped before the distance join. What a tract adds to the sums
+    goes along with its shape, and each task adds up the pairs of its stops: pairs are not shuffled.
     """
-    people = demographics.where("pop_total > 0").select(
-        F.regexp_replace("geoid", "^14000US", "").alias("geoid"),
-        F.col("pop_total").cast("double").alias("w"),
-        *[F.col(c).cast("double").alias(c) for c in SHARES],
+    people = (
+        demographics.where("pop_total > 0")
+        .select(
+            F.regexp_replace("geoid", "^14000US", "").alias("geoid"),
+            F.col("pop_total").cast("double").alias("w"),
+            *[F.col(c).cast("double").alias(c) for c in SHARES],
+        )
+        .groupBy("geoid")
+        .agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in SHARES], F.sum("w").alias("w"))
     )
     placed = _placed(stops)
     near = points_near_polygons(
         _locations(placed),
-        tracts.select("geoid", "edges").join(people, "geoid", "left_semi"),
+        tracts.select("geoid", "edges").join(people, "geoid"),
         "geoid",
         params.tract_catchment_m,
-    ).join(people, "geoid")
+        carry=("w", *SHARES),
+    )
     total = F.nullif(F.sum("w"), F.lit(0.0))
     means = near.groupBy("lon", "lat").agg(
-        *[(F.sum(F.col(c) * F.col("w")) / total).alias(f"{c}_w") for c in SHARES]
+        *[(F.sum(c) / total).alias(f"{c}_w") for c in SHARES]
     )
     weighted = [f"{c}_w" for c in SHARES]
     raw = sum((F.col(c) for c in weighted[1:]), F.col(weighted[0])) / 3.0

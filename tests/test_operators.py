@@ -289,3 +289,30 @@ def test_a_polygon_of_a_hundred_thousand_edges(spark):
     expected = [r for r in ((i * 37) % 70000 for i in range(3_000)) if r < radius]
     assert abs(len(inner) - len(expected)) <= 2 and max(inner) <= radius + 1
     assert all(r.r < radius + 810 for r in found)
+
+
+def test_pairs_near_polygons_are_not_shuffled(spark):
+    points = spark.range(300).selectExpr("-105 + id % 20 * 0.002D as lon", "39.7 + id div 20 * 0.002D as lat")
+    corners = ("x, y", "x + 0.003D, y", "x, y + 0.003D")
+    sides = (", ".join(f"'{n}', {v}" for n, v in zip(("lon1", "lat1", "lon2", "lat2"), f"{a}, {b}".split(", ")))
+             for a, b in zip(corners, corners[1:] + corners[:1]))
+    ring = f"array({', '.join(f'named_struct({side})' for side in sides)})"
+    polygons = spark.range(60).selectExpr(
+        "cast(id as string) as geoid", "id * 1.5D as w", "-105 + id % 8 * 0.005D as x", "39.7 + id div 8 * 0.005D as y"
+    ).selectExpr("geoid", "w", f"{ring} as edges")
+    columns = ("lon", "lat", "geoid", "distance_m")
+    plain = rows(points_near_polygons(points, polygons, "geoid", 500.0), *columns)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        near = points_near_polygons(points, polygons, "geoid", 500.0, rows_per_split=40, carry=("w",))
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        found = near.collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    assert all(r.w == int(r.geoid) * 1.5 for r in found)
+    assert ordered(tuple(r[c] for c in columns) for r in found) == plain and len(plain) > 300
