@@ -19,28 +19,41 @@ ADHERENCE_DDL = (
 )
 
 
-def _headways(arrivals: DataFrame, ts: str, output: str) -> DataFrame:
-    """Seconds since the previous distinct arrival of the same key and date.
-
-    Copies of an arrival are dropped map-side first. Feed and schedule times are whole seconds,
-    so the window of a key then holds at most the seconds of one service day.
-    """
-    distinct = arrivals.select(*KEYS, ts).where(F.col(ts).isNotNull()).dropDuplicates()
+def _gaps(arrivals: DataFrame, ts: str, output: str) -> DataFrame:
+    """Adds the arrival before, ``_previous``, and the seconds since."""
     previous = F.lag(ts).over(Window.partitionBy(*KEYS).orderBy(ts))
-    gaps = distinct.withColumn("_previous", previous)
-    return gaps.withColumn(output, seconds_between(ts, "_previous")).drop("_previous")
+    return arrivals.withColumn("_previous", previous).withColumn(
+        output, seconds_between(ts, "_previous")
+    )
 
 
 def headways_observed(
     resolved: DataFrame, params: Params = Params(), since: date | None = None
 ) -> DataFrame:
+    """Seconds since the previous distinct arrival of the same key and date.
+
+    Copies of an arrival are dropped map-side first: events without a stop share few keys. Feed times
+    are whole seconds, so the window of a key then holds at most the seconds of one service day.
+    """
     since = since or params.days_ago(params.rt_lookback_days)
-    recent = resolved.where(F.col("service_date_mst") >= F.lit(since))
-    return _headways(recent, "event_ts_utc", "obs_headway_sec")
+    ts = "event_ts_utc"
+    recent = resolved.where((F.col("service_date_mst") >= F.lit(since)) & F.col(ts).isNotNull())
+    distinct = recent.select(*KEYS, ts).dropDuplicates()
+    return _gaps(distinct, ts, "obs_headway_sec").drop("_previous")
 
 
 def headways_scheduled(scheduled: DataFrame) -> DataFrame:
-    return _headways(scheduled, "sched_arrival_ts_mst", "sch_headway_sec")
+    """Seconds since the previous distinct scheduled arrival of the same key and date.
+
+    A schedule has few copies of an arrival, so a map-side dedup would only hold nearly all rows
+    of the expanded schedule in memory. Copies follow each other in the order of the window, and
+    one whose predecessor has the same time is left out.
+    """
+    ts = "sched_arrival_ts_mst"
+    arrivals = scheduled.select(*KEYS, ts).where(F.col(ts).isNotNull())
+    gaps = _gaps(arrivals, ts, "sch_headway_sec")
+    first = F.col("_previous").isNull() | (F.col("_previous") != F.col(ts))
+    return gaps.where(first).drop("_previous")
 
 
 def nearest_schedule(

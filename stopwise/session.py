@@ -20,6 +20,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Grid joins and schedule expansion make many rows out of few bytes: keep small partitions.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # For the same reason more tasks, not larger ones, as inputs grow: by default a task's share may reach 64m,
+    # or a 200th of any shuffle, which are gigabytes once dates or cells have multiplied its rows.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Quantile and mode states are small; keep hashing instead of sorting every row.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",

@@ -278,3 +278,23 @@ def test_stop_hour_mode_ties_to_the_smallest_route(spark, params):
     assert rows(found, "stop_id", "n_events", "route_id_mode", "headway_adherence_rate") == [
         ("S1", 5, "R1", None), ("S2", 1, "unknown", None),
     ]
+
+
+def test_scheduled_headways_hold_no_expanded_rows(spark):
+    day = date(2025, 1, 14)
+    at = [utc("2025-01-14 17:00:00") + timedelta(seconds=s) for s in (0, 0, 60, 60, 60, 200)]
+    planned = spark.createDataFrame(
+        [("R1", d, "S1", day, t) for d in (1, None) for t in at] + [("R1", 1, "S1", day, None)],
+        "route_id string, direction_id long, stop_id string, service_date_mst date, sched_arrival_ts_mst timestamp",
+    )
+    found = headways.headways_scheduled(planned)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Exchange") == 1
+    gaps = [(t, g) for t, g in ((at[0], None), (at[2], 60), (at[5], 140))]
+    shown = found.select("direction_id", F.unix_seconds("sched_arrival_ts_mst"), "sch_headway_sec")
+    assert rows(shown) == ordered((d, int(t.timestamp()), g) for d in (1, None) for t, g in gaps)
+
+
+def test_tasks_grow_in_number_before_size(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "2m"
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 400
