@@ -11,6 +11,7 @@ from stopwise.driver.transit import EVENT_COLUMNS
 from stopwise.driver.views import FANOUT, SCHEMAS, VIEWS
 from stopwise.plans import events
 from stopwise.session import shared_dir
+from stopwise.sinks.tables import materialize
 from stopwise.streaming import joined, realtime
 
 
@@ -46,6 +47,7 @@ def _run(m: Model, marts: bool, weather_days: DataFrame | None = None) -> realti
     store = realtime.Store(shared_dir(m.inputs.spark, "realtime"))
     weather_days = m.weather_days if weather_days is None else weather_days
     dims = realtime.Dimensions(m.trips, m.patterns, m.scheduled_headways, weather_days)
+    dims = realtime.materialized(dims, marts)
     spark, feed = m.inputs.spark, shared_dir(m.inputs.spark, "feed")
     # Three deliveries of whole hours, not in order of time: later ones bring late snapshots. The
     # two feeds of an hour come in different ones, so events are resolved again and may move.
@@ -91,13 +93,14 @@ def _rt_late_weather(m: Model):
     """
     day, kind = "service_date_mst", F.dayofmonth("service_date_mst") % 3
     late = F.col(day) >= F.lit(m.params.days_ago(m.params.weather_lookback_days))
-    first = m.weather_days.where(~(late & (kind == 0))).select(
+    weather_days = materialize(m.weather_days, "weather")  # read by the first load and the refresh
+    first = weather_days.where(~(late & (kind == 0))).select(
         day,
         F.when(late & (kind == 1), ~F.col("snow_day")).otherwise(F.col("snow_day")).alias("snow_day"),
         F.when(late & (kind == 1), "heavy").otherwise(F.col("precip_bin")).alias("precip_bin"),
     )
     store = _run(m, True, first)
-    dims = realtime.Dimensions(m.trips, m.patterns, m.scheduled_headways, m.weather_days)
+    dims = realtime.Dimensions(m.trips, m.patterns, m.scheduled_headways, weather_days)
     realtime.refresh_weather(store, m.inputs.spark, dims, m.params)
     return store.read(m.inputs.spark, "route_day")
 

@@ -9,7 +9,7 @@ changes nothing, and rows and ledger always tell of the same files.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +64,16 @@ class Dimensions:
     weather_days: DataFrame
 
 
+def materialized(dims: Dimensions, marts: bool = True) -> Dimensions:
+    """Dimensions that are written once instead of planned and run again by every step of every batch.
+
+    Without marts only the trips and patterns are read, so the others stay as they are.
+    """
+    names = [f.name for f in fields(Dimensions)]
+    kept = names if marts else ["trips", "patterns"]
+    return replace(dims, **{n: tables.materialize(getattr(dims, n), f"dim-{n}") for n in kept})
+
+
 # -- sources ----------------------------------------------------------------------------
 
 

@@ -186,3 +186,21 @@ def test_event_that_moves_to_another_date_leaves_the_old_one(spark, folder, dims
     assert rows(store.read(spark, "events"), F.day("event_date_mst")) == [(15,)]
     for mart in ("route_day", "stop_hour"):
         assert rows(store.read(spark, mart), F.day("service_date_mst"), "n_events") == [(15, 1)]
+
+
+def test_dimensions_are_built_once(spark, dims):
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        built.add(1)
+        return row
+
+    plans = {n: spark.createDataFrame(d.rdd.map(counted), d.schema) for n, d in vars(dims).items()}
+    kept = realtime.materialized(realtime.Dimensions(**plans))
+    once = built.value
+    for _ in range(3):
+        for n, df in vars(kept).items():
+            assert rows(df) == rows(getattr(dims, n))
+    assert built.value == once == sum(d.count() for d in vars(dims).values())
+    bare = realtime.materialized(realtime.Dimensions(**plans), marts=False)
+    assert bare.weather_days is plans["weather_days"] and bare.trips is not plans["trips"]
