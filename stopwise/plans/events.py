@@ -26,6 +26,17 @@ UPDATE_FIELDS = (
 POSITION_FIELDS = (
     "vehicle_id", "vehicle_label", "lon", "lat", "bearing", "speed_mps",
 )
+_UPDATE = ", ".join(["entity_id as id", *UPDATE_FIELDS])
+_POSITION = ", ".join(["entity_id as id", *POSITION_FIELDS])
+# A row of a feed as what its candidates are the greatest of.
+UPDATE_ROWS = {
+    "timed": f"case when event_ts_utc is not null then struct(event_ts_utc as at, {_UPDATE}) end",
+    "untimed": f"case when event_ts_utc is null then struct({_UPDATE}) end",
+}
+POSITION_ROWS = {
+    "by_id": f"struct({_POSITION})",
+    "by_time": f"struct(coalesce(event_ts_utc, feed_ts_utc) as at, {_POSITION})",
+}
 
 
 def recent(feed: DataFrame, params: Params, incremental: bool = False) -> DataFrame:
@@ -69,23 +80,12 @@ def merge_feeds(updates: DataFrame, positions: DataFrame) -> DataFrame:
 
 def update_candidates(updates: DataFrame) -> DataFrame:
     """The greatest timed and the greatest untimed update per snapshot, trip and route."""
-    row = ", ".join(["entity_id as id", *UPDATE_FIELDS])
-    return updates.groupBy(*KEYS).agg(
-        F.expr(
-            f"max(case when event_ts_utc is not null then struct(event_ts_utc as at, {row}) end) "
-            "as timed"
-        ),
-        F.expr(f"max(case when event_ts_utc is null then struct({row}) end) as untimed"),
-    )
+    return updates.groupBy(*KEYS).agg(*[F.expr(f"max({row}) as {n}") for n, row in UPDATE_ROWS.items()])
 
 
 def position_candidates(positions: DataFrame) -> DataFrame:
     """The position with the greatest id and the latest one per snapshot, trip and route."""
-    row = ", ".join(["entity_id as id", *POSITION_FIELDS])
-    return positions.groupBy(*KEYS).agg(
-        F.expr(f"max(struct({row})) as by_id"),
-        F.expr(f"max(struct(coalesce(event_ts_utc, feed_ts_utc) as at, {row})) as by_time"),
-    )
+    return positions.groupBy(*KEYS).agg(*[F.expr(f"max({row}) as {n}") for n, row in POSITION_ROWS.items()])
 
 
 def best_event(updates: DataFrame, update: str = "", position: str = "", route: str = "route_id") -> str:

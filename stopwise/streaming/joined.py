@@ -24,41 +24,24 @@ DELAY = WATERMARK
 def merge_streams(updates: DataFrame, positions: DataFrame, delay: str = DELAY) -> DataFrame:
     """The stream-to-stream form of ``events.merge_feeds``: the latest event per snapshot and trip.
 
-    Each feed shrinks to two candidates per snapshot, trip and route, then to one row per snapshot
-    and trip that lists its routes (as many as a trip has in one snapshot). These meet in a full
-    outer join on the snapshot, which both watermarks bound, and the trip; rows without a trip
-    meet too, but their updates and positions make no pairs, as in the batch form.
+    The full outer join of both feeds on snapshot, trip and route is one grouping of their union,
+    which the watermarks of both bound: each side brings its candidates of a key, and state holds
+    them once. A stream join would hold every row again in four stores of its own. Rows
+    without a trip or a route match nothing, as in the batch form: there the sides have keys apart.
     """
-    upd = (
-        events.update_candidates(updates.withWatermark("feed_ts_utc", delay))
-        .groupBy("feed_ts_utc", F.col("trip_id").alias("u_trip"))
-        .agg(F.collect_list(F.struct("route_id", "timed", "untimed")).alias("us"))
-        .withColumnRenamed("feed_ts_utc", "u_feed")
-    )
-    pos = (
-        events.position_candidates(positions.withWatermark("feed_ts_utc", delay))
-        .groupBy("feed_ts_utc", F.col("trip_id").alias("p_trip"))
-        .agg(F.collect_list(F.struct("route_id", "by_id", "by_time")).alias("ps"))
-        .withColumnRenamed("feed_ts_utc", "p_feed")
-    )
-    us, ps = upd.schema["us"].dataType, pos.schema["ps"].dataType
-    both = upd.join(pos, F.expr("u_feed = p_feed and u_trip <=> p_trip"), "full").select(
-        F.coalesce("u_feed", "p_feed").alias("feed_ts_utc"),
-        F.coalesce("u_trip", "p_trip").alias("trip_id"),
-        F.coalesce("us", F.array().cast(us)).alias("us"),
-        F.coalesce("ps", F.array().cast(ps)).alias("ps"),
-    )
-    pairs = (
-        "concat(transform(us, u -> struct(u, "
-        "get(filter(ps, p -> trip_id is not null and p.route_id = u.route_id), 0) as p)), "
-        "transform(filter(ps, p -> trip_id is null "
-        "or not coalesce(exists(us, u -> u.route_id = p.route_id), false)), "
-        f"p -> struct(cast(null as {us.elementType.simpleString()}) as u, p)))"
-    )
-    best = events.best_event(updates, "x.u.", "x.p.", "coalesce(x.u.route_id, x.p.route_id)")
-    return both.selectExpr(
-        "feed_ts_utc", "trip_id", f"array_max(transform({pairs}, x -> {best})) as best"
-    ).selectExpr("feed_ts_utc", "trip_id", "best.*")
+    sides = []
+    for feed, rows in ((updates, events.UPDATE_ROWS), (positions, events.POSITION_ROWS)):
+        alone = F.when(F.col("trip_id").isNull() | F.col("route_id").isNull(), len(sides)).alias("alone")
+        candidates = [F.expr(row).alias(name) for name, row in rows.items()]
+        sides.append(feed.withWatermark("feed_ts_utc", delay).select(*events.KEYS, alone, *candidates))
+    names = [*events.UPDATE_ROWS, *events.POSITION_ROWS]
+    return (
+        sides[0].unionByName(sides[1], allowMissingColumns=True)
+        .groupBy(*events.KEYS, "alone").agg(*[F.max(n).alias(n) for n in names])
+        .selectExpr("feed_ts_utc", "trip_id", f"{events.best_event(updates)} as best")
+        .groupBy("feed_ts_utc", "trip_id").agg(F.max("best").alias("best"))
+        .selectExpr("feed_ts_utc", "trip_id", "best.*")
+    )
 
 
 def gaps(updates: DataFrame, minutes: int = 5, delay: str = DELAY) -> DataFrame:

@@ -105,3 +105,19 @@ def test_feeds_without_rows(spark, folder):
     joined.append_to(found, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     assert spark.read.schema(found.schema).parquet(f"{folder}/out").count() == 0
     assert realtime.WATERMARK == joined.DELAY
+
+
+def test_a_key_is_kept_once_for_both_feeds(spark, folder):
+    u, p = _feeds(spark, 24)
+    u.write.parquet(f"{folder}/u")
+    p.write.parquet(f"{folder}/p")
+    found = joined.merge_streams(_stream(spark, u, f"{folder}/u"), _stream(spark, p, f"{folder}/p"), "4 hours")
+    query = joined.append_to(found, f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    both = u.select(*events.KEYS).unionByName(p.select(*events.KEYS))
+    unmatched = F.col("trip_id").isNull() | F.col("route_id").isNull()
+    keys = both.distinct().count() + both.where(unmatched).distinct().count()
+    trips = both.select("feed_ts_utc", "trip_id").distinct().count()
+    held = sum(s["numRowsUpdated"] for x in query.recentProgress for s in x["stateOperators"])
+    assert 0 < held <= keys + trips
+    assert not [s for x in query.recentProgress for s in x["stateOperators"] if "Join" in s["operatorName"]]
