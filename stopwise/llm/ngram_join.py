@@ -232,6 +232,14 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _stars(spread: DataFrame) -> DataFrame:
+    """Edges (a, b) from the smallest of each signature's labels (sign, a) to its others."""
+    least = spread.groupBy("sign").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+    least = least.where("least < most").select("sign", "least")
+    others = spread.join(least, "sign").where("a > least")
+    return others.select(F.col("least").alias("a"), F.col("a").alias("b")).distinct()
+
+
 def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between nodes (node, n_shingles, label) of different labels that share a fine
     signature."""
@@ -245,24 +253,28 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
                 signatures(shingles(unpacker.decompress(p.as_py()).decode()), FINE_SIGNATURES, FINE_COARSE)
                 for p in batch.column(2)
             ]
-            for low in range(0, len(found), 500):
-                part, count = found[low : low + 500], [len(f) for f in found[low : low + 500]]
-                index = pa.array(np.repeat(np.arange(low, low + len(part)), count))
-                signs = pa.array(np.concatenate([f.view(np.int64) for f in part]))
-                yield pa.RecordBatch.from_arrays(
-                    [signs, batch.column(0).take(index), batch.column(1).take(index)],
-                    names=["sign", "node", "label"],
-                )
+            signs = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signs], names=["node", "label", "signs"])
 
     asked = apart.join(texts, "node").select("node", "label", "packed")
-    signs = stored(asked.mapInArrow(sign, "sign long, node long, label long"), "fine-signs")
-    several = signs.groupBy("sign").agg(
-        F.min("node").alias("a"), F.min("label").alias("l"), F.max("label").alias("h")
+    signs = stored(asked.mapInArrow(sign, "node long, label long, signs array<long>"), "fine-signs")
+
+    def spread(rows: DataFrame, few: bool) -> DataFrame:
+        """sign, a: the labels that have a signature, however many of their nodes have it."""
+        kept = F.filter("signs", lambda x: (F.pmod(F.xxhash64(x), F.lit(FEW)) == 0) == F.lit(few))
+        return rows.select(F.explode(kept).alias("sign"), F.col("label").alias("a")).distinct()
+
+    # Nodes of one label are one, so that a family is told apart by labels. A few signatures join
+    # most of a large group; all others are asked for what these have left apart.
+    merged = components(_stars(spread(signs, True)))
+    release(apart.sparkSession)
+    names = merged.select(F.col("node").alias("label"), F.col("label").alias("name"))
+    left = signs.select("label", "signs").join(names, "label", "left").select(
+        F.coalesce("name", "label").alias("label"), "signs"
     )
-    stars = signs.join(several.where("l < h").select("sign", "a"), "sign").select("a", F.col("node").alias("b"))
-    # Nodes of one label are one, so that a family is told apart by labels.
     joined = apart.select(F.col("label").alias("a"), F.col("node").alias("b"))
-    families = components(stars.distinct().unionByName(joined))
+    joined = joined.unionByName(merged.select(F.col("label").alias("a"), F.col("node").alias("b")))
+    families = components(_stars(spread(left, False)).unionByName(joined))
     families = families.select("node", F.col("label").alias("family"))
     # Sizes of linked sets differ by a factor of DEN / NUM at most: by one of these classes.
     grade = F.floor(F.log(F.col("n_shingles")) / math.log(DEN / NUM + 0.01)).alias("grade")

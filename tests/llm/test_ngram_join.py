@@ -109,3 +109,26 @@ def test_word_hashes_are_those_of_the_words(monkeypatch):
             for word, value in zip(words, found, strict=True):
                 assert seen.setdefault(word, value) == value
     assert len(set(seen.values())) == len(seen)
+
+
+def test_a_label_meets_others_of_a_signature_once(spark, monkeypatch):
+    import zstandard
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(100, 140)]
+    packed = [zstandard.ZstdCompressor().compress(t.encode()) for t in texts]
+    # One large component and two nodes of their own, all near copies.
+    label = [0] * 38 + [38, 39]
+    apart = spark.createDataFrame([(i, 390, label[i]) for i in range(40)], "node long, n_shingles long, label long")
+    rows = spark.createDataFrame(list(enumerate(packed)), "node long, packed binary")
+    edges, find = [], m.components
+
+    def counted(found):
+        edges.append(found.where("a <> b").count())
+        return find(found)
+
+    monkeypatch.setattr(m, "components", counted)
+    links = m._families(apart, rows).collect()
+    assert {frozenset((label[r.a], label[r.b])) for r in links} >= {frozenset((0, 38)), frozenset((0, 39))}
+    # Each node meets its label, and each label the smallest one, not every node every signature.
+    assert sum(edges) <= 37 + 2 * 2
