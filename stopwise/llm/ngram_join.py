@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import body, release, stored, table
+from stopwise.llm.common import body, discard, release, stored, table
 from stopwise.llm.graph import components
 from stopwise.llm.shingles import STEP, mix, shingles
 
@@ -256,6 +256,7 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
             signs = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signs], names=["node", "label", "signs"])
 
+    apart = stored(apart, "apart")
     asked = apart.join(texts, "node").select("node", "label", "packed")
     signs = stored(asked.mapInArrow(sign, "node long, label long, signs array<long>"), "fine-signs")
 
@@ -275,6 +276,8 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
     joined = apart.select(F.col("label").alias("a"), F.col("node").alias("b"))
     joined = joined.unionByName(merged.select(F.col("label").alias("a"), F.col("node").alias("b")))
     families = components(_stars(spread(left, False)).unionByName(joined))
+    discard(signs, merged)
+    release(apart.sparkSession)
     families = families.select("node", F.col("label").alias("family"))
     # Sizes of linked sets differ by a factor of DEN / NUM at most: by one of these classes.
     grade = F.floor(F.log(F.col("n_shingles")) / math.log(DEN / NUM + 0.01)).alias("grade")
@@ -303,6 +306,7 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
         .where("not (pure is not null and pure <=> other_pure)").select("family", "block", "other")
     )
     pairs = stored(pairs, "block-pairs")
+    release(apart.sparkSession)
     with_text = members.join(texts, "node").select("family", "block", "node", "label", "packed")
     left = with_text.join(pairs, ["family", "block"]).withColumn("side", F.lit(0))
     right = with_text.withColumnRenamed("block", "other").join(
@@ -329,10 +333,13 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
         )
         return found.drop_duplicates(["x", "y"])[["a", "b"]]
 
-    return stored(
+    links = stored(
         left.unionByName(right).groupBy("family", "block", "other").applyInPandas(compare, "a long, b long"),
         "links",
     )
+    discard(members, pairs, apart)
+    release(apart.sparkSession)
+    return links
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8_192) -> np.ndarray:
@@ -385,6 +392,7 @@ def join(docs: DataFrame) -> DataFrame:
     members = stored(
         members.select("sign", "node", "n_shingles").unionByName(same_key), "members"
     )
+    discard(shared)
     release(spark)
     wanted = members.select("node").distinct().join(nodes.select("node", "id", "text_digest"), "node")
     texts = stored(_texts(docs, wanted), "texts")
@@ -411,13 +419,18 @@ def join(docs: DataFrame) -> DataFrame:
         )
         found = stored(_linked(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
+        release(spark)
         labels = components(links)
         release(spark)
+        before = groups
         groups = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = groups.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h"))
-        groups = stored(groups.join(several.where("l < h").select("sign"), "sign"), "apart")
+        groups = stored(groups.join(several.where("l < h").select("sign"), "sign"), "groups")
+        discard(labels, *[before] * bool(turn))
+        release(spark)
     links = links.unionByName(_families(groups.select("node", "n_shingles", "label").distinct(), texts))
     labels = components(links)
+    discard(members, texts, groups)
 
     whole = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("least").alias("component_id"))
