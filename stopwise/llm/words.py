@@ -90,7 +90,7 @@ class Words:
         waiting: list[list[str]] = []
         letters = 0
         for text in texts:
-            waiting.append(chunks(text))
+            waiting.append(WORD.findall(text))
             letters += len(text)
             if letters > AT_ONCE:
                 yield from self._ids(waiting)
@@ -108,18 +108,12 @@ class Words:
         return [b"".join(map(self.known.__getitem__, p)) for p in split]
 
     def _learn(self, new: set[str]) -> None:
-        """Remember the ids of chunks, by way of their words."""
+        """Remember the ids of words; chunks are not remembered, they hold the same words in many ways."""
         known, older = self.known, self.older
-        known.update((c, older[c]) for c in new if c in older)
-        split = {c: cut(c) for c in new if c not in known}
-        words = {w for found in split.values() for w in found}.difference(known)
-        known.update((w, older[w]) for w in words if w in older)
-        words = [w for w in words if w not in known]
+        words = [w for w in new if w not in older]
+        known.update((w, older[w]) for w in new if w in older)
         known.update(zip(words, self.encode(words), strict=True))
-        for c, found in split.items():
-            if len(found) > 1:
-                known[c] = b"".join([known[w] for w in found])
-        self.letters += sum(map(len, new)) + sum(map(len, words))
+        self.letters += sum(map(len, new))
 
     def pieces(self) -> dict[int, str]:
         """The id-to-piece table of the vocabulary, added tokens included."""

@@ -5,6 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from stopwise.llm import bpe as m
+from stopwise.llm import words as w
 from stopwise.llm.words import chunks, cut, default_path, words_of
 
 TEXTS = [
@@ -64,6 +65,18 @@ def test_words_encoded_together_are_those_encoded_alone():
     assert words.encode(plain) == alone
 
 
+def test_words_are_remembered_once_however_they_are_joined(monkeypatch):
+    monkeypatch.setattr(w, "REMEMBERED", 40)
+    monkeypatch.setattr(w, "AT_ONCE", 60)
+    words = w.Words(default_path())
+    texts = [f"zebra.{n % 9} zebra,%{n % 7}\x0bx{n % 90}y naïve;zebra\u00a0a" for n in range(200)]
+    for text, ids in zip(texts, words.each(texts), strict=True):
+        assert ids == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    held = words.known.keys() | words.older.keys()
+    assert {"zebra", "naïve"} <= held
+    assert all(cut(x) == [x] for x in held)
+
+
 def test_rows_without_an_id_or_with_the_same_one_keep_their_words(spark, library):
     texts = [f"zq{n}xw common{n % 3} wv{n % 7}k" for n in range(40)] * 5
     rows = [(None if n % 2 else 7, t) for n, t in enumerate(texts)]
