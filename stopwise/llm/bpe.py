@@ -13,6 +13,9 @@ joins the pieces as the tokenizer does (it has no decoder: by blanks), text by t
 Which words are in the head touches speed only. Its candidates are words that occur ``AGAIN`` times
 among the words one task has counted at a time.
 
+No stage passes its rows through Python twice, so an executor has one Python process per core. The
+constants below bound how many words and chunks a process remembers.
+
 Defined cases: null and empty texts have no ids and decode to an empty text; rows with a null doc_id
 are each for themselves; rows that repeat a doc_id keep their own texts; an empty table gives an empty
 result; further columns are ignored.
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from stopwise.llm.words import chunks, cut, default_path, words_of
 HEAD = 500_000
 LONGEST = 24
 AGAIN = 2
-#: Distinct chunks that a task counts at a time, and whose ids it remembers.
+#: Distinct chunks that a task counts at a time, and whose words or ids it remembers.
 COUNTED = 400_000
 REMEMBERED = 200_000
 
@@ -48,16 +51,16 @@ def _head(docs: DataFrame, size: int) -> DataFrame:
         seen: Counter[str] = Counter()
 
         def flush():
-            found: Counter[str] = Counter()
-            for chunk, n in seen.items():
+            found: dict[str, int] = {}
+            while seen:  # chunks go as their words come, so that not all of both are held
+                chunk, n = seen.popitem()
                 for w in cut(chunk):
-                    found[w] += n
-            often = [(w, n) for w, n in found.items() if n >= AGAIN and len(w) <= LONGEST]
+                    found[w] = found.get(w, 0) + n
             seen.clear()
+            often = [w for w, n in found.items() if n >= AGAIN and len(w) <= LONGEST]
             return pa.RecordBatch.from_pydict(
-                {"word": pa.array([w for w, _ in often], pa.string()),
-                 "n": pa.array([n for _, n in often], pa.int64())}
-            )
+                {"word": pa.array(often, pa.string()), "n": pa.array(map(found.__getitem__, often), pa.int64())}
+            )
 
         for batch in batches:
             for text in batch.column(0):
@@ -73,9 +76,10 @@ def _head(docs: DataFrame, size: int) -> DataFrame:
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """Add ``ids`` (as narrow as the vocabulary allows) to rows whose last column is a word.
+    """Replace the last column, a word, by ``pair``: the word, a line feed and its ids.
 
-    Rows that are sorted by word have each distinct word encoded once.
+    Ids are as narrow as the vocabulary allows. No word holds a line feed, and one column takes fewer
+    bytes than two. Rows that are sorted by word have each distinct word encoded once.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,15 +88,22 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             column = batch.column(batch.num_columns - 1).to_pylist()
             new = [w for w in dict.fromkeys(column) if w not in last]
-            known = last | dict(zip(new, words.encode(new, kind), strict=True))
-            ids = pa.array([known[w] for w in column], pa.binary())
+            pairs = [w.encode() + b"\n" + i for w, i in zip(new, words.encode(new, kind), strict=True)]
+            known = last | dict(zip(new, pairs, strict=True))
             # A word goes on in the next batch only if it ends this one.
             last = {column[-1]: known[column[-1]]} if column else last
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, ids], names=[*batch.schema.names, "ids"]
+                [*batch.columns[:-1], pa.array(map(known.__getitem__, column), pa.binary())],
+                names=[*batch.schema.names[:-1], "pair"],
             )
 
-    return rows.mapInArrow(encode, f"{rows.schema.simpleString()[7:-1]}, ids binary")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(encode, f"{kept}pair binary")
+
+
+def _apart(pairs: Iterable[bytes]) -> dict[str, bytes]:
+    """Words and their ids, of the pairs of ``encode_words``."""
+    return {w.decode(): ids for w, _, ids in (p.partition(b"\n") for p in pairs)}
 
 
 def encode(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFrame:
@@ -108,9 +119,8 @@ def digest_tokens(docs: DataFrame, path: str | None = None, head: int = HEAD) ->
 def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
     spark = docs.sparkSession
     often = encode_words(_head(docs, head).select("word"), path).toArrow()
-    shared = spark.sparkContext.broadcast(
-        dict(zip(*(c.to_pylist() for c in often.columns), strict=True))
-    )
+    shared = spark.sparkContext.broadcast(_apart(p.as_py() for p in often.column("pair")))
+    del often
     release(spark)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,42 +129,34 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
 
         def flush(ids, words):
             return pa.RecordBatch.from_pydict(
-                {"key": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())}
+                {"of": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())}
             )
 
         for batch in batches:
             ids, words = [], []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = set(chunks(text))
-                if len(tails) > COUNTED:
+            for key, text in zip(*batch.columns, strict=True):
+                # Chunks that are a word of the broadcast part need no room here.
+                parts = set(chunks(text.as_py())).difference(known)
+                if len(tails) > REMEMBERED:
                     tails.clear()
                 for c in parts.difference(tails):
-                    tails[c] = () if c in known else tuple([w for w in cut(c) if w not in known])
+                    tails[c] = tuple([w for w in cut(c) if w not in known])
                 own = {w for c in parts for w in tails[c]}
-                ids.extend([key] * len(own))
+                ids.extend([key.as_py()] * len(own))
                 words.extend(own)
-                if len(ids) > 200_000:
+                if len(ids) > 100_000:
                     yield flush(ids, words)
                     ids, words = [], []
             yield flush(ids, words)
 
-    # A row (id, word with ids) is packed into few bytes, since rows of rare words travel twice.
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            pairs = [w.encode() + b"\n" + i for w, i in zip(words, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pairs, pa.binary())], names=["of", "pair"]
-            )
-
     # Rows without an id go by their text. Words mean the same in every document, so rows may share
     # a key: each then gets the words of all of them, every word once.
     doc_id = F.col("doc_id").cast("long")
     source = docs.select(
         F.coalesce(doc_id, F.xxhash64("text")).alias("key"), body().alias("text"), doc_id.alias("doc_id")
     )
-    tail = source.select("key", "text").mapInArrow(rare, "key long, word string")
-    tail = encode_words(tail.repartition("word").sortWithinPartitions("word"), path)
+    tail = source.select("key", "text").mapInArrow(rare, "of long, word string")
+    pairs = encode_words(tail.repartition("word").sortWithinPartitions("word"), path)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -167,7 +169,6 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
                 names=["key", "packed", "doc_id"],
             )
 
-    pairs = tail.mapInArrow(pair, "of long, pair binary")
     own = pairs.groupBy("of").agg(F.collect_set("pair").alias("rare"))
     packed = source.mapInArrow(pack, "key long, packed binary, doc_id long")
     both = packed.join(own, packed["key"] == own["of"], "left").select("doc_id", "packed", "rare")
@@ -176,17 +177,14 @@ def _encode(docs: DataFrame, path: str, head: int, digests: bool) -> DataFrame:
         import zstandard
 
         known, unpacker = shared.value, zstandard.ZstdDecompressor()
-        words, kind = words_of(path), words_of(path).narrow()
-        names_of = words.pieces()
-        piece = [names_of.get(i, "") for i in range(max(names_of, default=-1) + 1)]
+        kind, piece = words_of(path).narrow(), words_of(path).spelled
         done: dict[str, bytes] = {}
 
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 text = unpacker.decompress(batch.column(1)[i].as_py()).decode()
-                split = [p.partition(b"\n") for p in batch.column(2)[i].as_py() or ()]
-                own = {w.decode(): found for w, _, found in split}
+                own = _apart(batch.column(2)[i].as_py() or ())
                 parts = chunks(text)
                 if len(done) > REMEMBERED:
                     done.clear()

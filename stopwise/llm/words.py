@@ -49,7 +49,9 @@ class Words:
         self.letters = 0
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         pieces = self.pieces()
-        self.ends = np.zeros(max(pieces, default=0) + 1, bool)
+        #: Pieces by id, for tasks that look up many; ids without a piece have an empty one.
+        self.spelled = [pieces.get(i, "") for i in range(max(pieces, default=0) + 1)]
+        self.ends = np.zeros(len(self.spelled), bool)
         if suffix:
             self.ends[[i for i, piece in pieces.items() if piece.endswith(suffix)]] = True
         self.joins = bool(suffix)
@@ -79,7 +81,7 @@ class Words:
 
     def narrow(self) -> str:
         """The smallest integers that hold every id."""
-        return "<u2" if max(self.pieces(), default=0) < 1 << 16 else "<u4"
+        return "<u2" if len(self.spelled) <= 1 << 16 else "<u4"
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text."""

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -86,3 +87,29 @@ def test_rows_without_an_id_or_with_the_same_one_keep_their_words(spark, library
         (i is None, np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) for i, t in rows
     )
     assert sorted((r.doc_id is None, bytes(r.ids)) for r in found) == expected
+
+
+def test_no_stage_sends_its_rows_through_python_twice(spark, capsys):
+    """Each such step has a process of its own beside the executor: two in a row take twice the memory."""
+    texts = [(n, f"zq{n}xw common{n % 3}, wv{n % 7}k") for n in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for df in (m.digest_tokens(docs), m.encode(docs)):
+        capsys.readouterr()
+        df.explain("simple")
+        plan = [re.sub(r"^[\s:+|*()\d-]*", "", x).split(" ")[0] for x in capsys.readouterr().out.splitlines()]
+        steps = [x for x in plan if x in ("MapInArrow", "Exchange", "SortMergeJoin", "BroadcastHashJoin", "Scan")]
+        assert steps.count("MapInArrow") == 4
+        assert ("MapInArrow", "MapInArrow") not in set(zip(steps, steps[1:], strict=False))
+
+
+def test_words_and_their_ids_travel_in_one_column(spark, library):
+    words = ["zq", "zq", "naïve", "12ab;", "漢字\x85x", "a" * 90]
+    rows = spark.createDataFrame(list(enumerate(words)), "of long, word string").coalesce(1)
+    for ordered in (rows, rows.sortWithinPartitions("word")):
+        found = m.encode_words(ordered, default_path())
+        assert found.columns == ["of", "pair"]
+        apart = [(r.of, *m._apart([bytes(r.pair)]).popitem()) for r in found.collect()]
+        assert sorted((of, w) for of, w, _ in apart) == list(enumerate(words))
+        for _, w, ids in apart:
+            kind = words_of(default_path()).narrow()
+            assert np.frombuffer(ids, kind).tolist() == library.encode(w, add_special_tokens=False).ids
