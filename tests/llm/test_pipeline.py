@@ -14,7 +14,7 @@ def test_every_operator_and_the_pipeline_are_registered():
     import __spark_entry__ as contract
 
     names = set(contract.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert [n for n, _ in p.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "suffix_dedup", "best_fit_packing"]
 
@@ -58,7 +58,7 @@ def test_oracles_equal_queries(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, SF)
