@@ -18,11 +18,13 @@ Texts with equal sets are one node, and only different sets are compared.
 1. Every signature of several nodes names a hub, and nodes are compared with the hubs that they
    share two signatures with. Verified links give components. This is done ``HUBS`` times with other
    hubs; most signatures then hold one component only.
-2. Nodes of the other signatures get finer ones (more of the domain in each, and more of them), which
-   again every linked pair shares; those that are connected by them are a family. Within a family
-   every two nodes of different components and fitting sizes are compared, in blocks of ``BLOCK``
-   nodes per side, by products of sparse columns; only links leave a block. Blocks of one component
-   are skipped.
+2. Nodes of the other signatures are held against how many of their nodes have each shingle. A linked
+   set has ``NUM`` / ``DEN`` of its shingles in common with one of another component: nodes with
+   fewer that occur in another component have no link, and two linked sets share the rarest of what
+   they have in common, which in either is among the few rarest of all (``_rarest``). Nodes that are
+   connected by those shingles are a family. Within a family every two nodes of different components
+   and fitting sizes are compared, in blocks of ``BLOCK`` nodes per side, by products of sparse
+   columns; only links leave a block. Blocks of one component are skipped.
 
 So no group is expanded into rows of pairs, and no link between components is left out. Every
 comparison is exact, on the shingles of the whole texts.
@@ -57,13 +59,14 @@ SEEDS = 8
 HUBS = 2
 #: A turn before those with the hubs of one in so many signatures.
 FEW = 8
-#: Signatures of families; nodes on either side of a block of comparisons, and about how many
-#: shingles these have together.
-FINE_SIGNATURES = 160
-FINE_COARSE = 0.35
+#: Nodes on either side of a block of comparisons, and about how many shingles these have together.
 BLOCK = 256
 BLOCK_SHINGLES = 150_000
 
+#: Shingles of a row, and of rows that leave a task together, where shingles are rows' columns.
+ROW = 2_000
+ROWS = 500_000
+
 #: Shingles of sets that a task remembers.
 REMEMBERED = 4_000_000
 
@@ -240,25 +243,66 @@ def _stars(spread: DataFrame) -> DataFrame:
     return others.select(F.col("least").alias("a"), F.col("a").alias("b")).distinct()
 
 
-def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, n_shingles, label) of different labels that share a fine
-    signature."""
+def _rarest(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, label, n_shingles, signs: the rarest shingles of nodes (node, label) that may have a link to
+    another label.
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    All shingles have one order: those of a single label first, then by the nodes that have them. A
+    set of n shingles shares ``least``, the least whole number from NUM / DEN * n on, with any set that
+    it links to. If the first of the shared ones in that order were not among the first n - least + 1
+    of the set, at most least - 1 would follow. So both sets have it there.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        names = ["node", "label", "n_shingles", "at", "own"]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(zip(*rows, strict=True), kinds, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=names)
+
+        rows, held = [], 0
         for batch in batches:
-            found = [
-                signatures(shingles(unpacker.decompress(p.as_py()).decode()), FINE_SIGNATURES, FINE_COARSE)
-                for p in batch.column(2)
-            ]
-            signs = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signs], names=["node", "label", "signs"])
+            for node, label, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = shingles(unpacker.decompress(packed).decode()).view(np.int64)
+                rows += [(node, label, len(found), at, found[at : at + ROW]) for at in range(0, len(found), ROW)]
+                held += len(found)
+                if held > ROWS:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
-    apart = stored(apart, "apart")
     asked = apart.join(texts, "node").select("node", "label", "packed")
-    signs = stored(asked.mapInArrow(sign, "node long, label long, signs array<long>"), "fine-signs")
+    schema = "node long, label long, n_shingles long, at long, own array<long>"
+    sets = stored(asked.mapInArrow(cut, schema), "shingles")
+    release(apart.sparkSession)
+    used = sets.select(F.explode("own").alias("sign"), "label").groupBy("sign").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")
+    )
+    used = stored(used.where("low < high").select("sign", "n"), "used")
+    release(apart.sparkSession)
+    among = (
+        sets.select(F.explode("own").alias("sign"), "node").join(used, "sign")
+        .groupBy("node").agg(F.collect_list(F.struct("n", "sign")).alias("among"))
+    )
+    # Of the first ones, as many are of a single label as the set has of these.
+    first = F.expr(f"cast(size(among) - ceil({NUM} * n_shingles / {DEN}D) + 1 as int)")
+    found = sets.where("at = 0").select("node", "label", "n_shingles").join(among, "node").withColumn("first", first)
+    rare = F.slice(F.sort_array("among"), F.lit(1), F.col("first"))["sign"].alias("signs")
+    rarest = stored(found.where("first > 0").select("node", "label", "n_shingles", rare), "rarest")
+    discard(sets, used)
+    release(apart.sparkSession)
+    return rarest
+
+
+def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, n_shingles, label) of different labels that share one of their
+    rarest shingles."""
+    signs = _rarest(apart, texts)
 
     def spread(rows: DataFrame, few: bool) -> DataFrame:
         """sign, a: the labels that have a signature, however many of their nodes have it."""
@@ -268,22 +312,22 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
     # Nodes of one label are one, so that a family is told apart by labels. A few signatures join
     # most of a large group; all others are asked for what these have left apart.
     merged = components(_stars(spread(signs, True)))
-    release(apart.sparkSession)
+    release(signs.sparkSession)
     names = merged.select(F.col("node").alias("label"), F.col("label").alias("name"))
     left = signs.select("label", "signs").join(names, "label", "left").select(
         F.coalesce("name", "label").alias("label"), "signs"
     )
-    joined = apart.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    joined = signs.select(F.col("label").alias("a"), F.col("node").alias("b"))
     joined = joined.unionByName(merged.select(F.col("label").alias("a"), F.col("node").alias("b")))
     families = components(_stars(spread(left, False)).unionByName(joined))
-    discard(signs, merged)
-    release(apart.sparkSession)
+    discard(merged)
+    release(signs.sparkSession)
     families = families.select("node", F.col("label").alias("family"))
     # Sizes of linked sets differ by a factor of DEN / NUM at most: by one of these classes.
     grade = F.floor(F.log(F.col("n_shingles")) / math.log(DEN / NUM + 0.01)).alias("grade")
     # The weight of a node is its share of a block.
     weight = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES).alias("weight")
-    members = apart.select("node", "label", grade, weight).join(families, "node")
+    members = signs.select("node", "label", grade, weight).join(families, "node")
     group = ["family", "grade"]
     sizes = members.groupBy(*group, "label").agg(F.sum("weight").alias("n"))
     small = sizes.where(F.col("n") <= 0.5).groupBy(*group).agg(F.sum("n").alias("n_small"))
@@ -306,7 +350,8 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
         .where("not (pure is not null and pure <=> other_pure)").select("family", "block", "other")
     )
     pairs = stored(pairs, "block-pairs")
-    release(apart.sparkSession)
+    discard(signs)
+    release(members.sparkSession)
     with_text = members.join(texts, "node").select("family", "block", "node", "label", "packed")
     left = with_text.join(pairs, ["family", "block"]).withColumn("side", F.lit(0))
     right = with_text.withColumnRenamed("block", "other").join(
@@ -337,8 +382,8 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
         left.unionByName(right).groupBy("family", "block", "other").applyInPandas(compare, "a long, b long"),
         "links",
     )
-    discard(members, pairs, apart)
-    release(apart.sparkSession)
+    discard(members, pairs)
+    release(links.sparkSession)
     return links
 
 

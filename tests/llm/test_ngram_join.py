@@ -132,3 +132,52 @@ def test_a_label_meets_others_of_a_signature_once(spark, monkeypatch):
     assert {frozenset((label[r.a], label[r.b])) for r in links} >= {frozenset((0, 38)), frozenset((0, 39))}
     # Each node meets its label, and each label the smallest one, not every node every signature.
     assert sum(edges) <= 37 + 2 * 2
+
+
+def packed_rows(spark, texts):
+    import zstandard
+
+    rows = [(i, zstandard.ZstdCompressor().compress(t.encode())) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "node long, packed binary")
+
+
+def test_linked_sets_share_one_of_their_rarest_shingles(spark, monkeypatch):
+    """Each two sets that link, whether their shingles fill one row or several."""
+    monkeypatch.setattr(m, "ROW", 7)
+    monkeypatch.setattr(m, "ROWS", 1_000)
+    texts = list({frozenset(shingles(t).tolist()): t for _, t in near_copies()}.values())
+    found = [set(shingles(t).view(np.int64).tolist()) for t in texts]
+    # Some labels have several nodes; links inside of these are known.
+    label = [i - i % 3 if i < 60 else i for i in range(len(texts))]
+    apart = spark.createDataFrame([(i, 0, label[i]) for i in range(len(texts))], "node long, n_shingles long, label long")
+    rare = {r.node: r for r in m._rarest(apart, packed_rows(spark, texts)).collect()}
+    assert all(r.n_shingles == len(found[i]) and set(r.signs) <= found[i] for i, r in rare.items())
+    links = 0
+    for i, s in enumerate(found):
+        for j, t in enumerate(found[:i]):
+            both = len(s & t)
+            if label[i] != label[j] and 100 * both >= 80 * (len(s) + len(t) - both):
+                links += 1
+                assert set(rare[i].signs) & set(rare[j].signs)
+    assert links > 40
+
+
+def test_a_common_passage_makes_no_family(spark, monkeypatch):
+    """Texts with a passage in common and most words of their own are not compared with each other."""
+    line = " ".join(f"w{i}" for i in range(20))
+    texts = [" ".join([line, *(f"x{k}y{i}" for i in range(22))]) for k in range(60)]
+    texts += [f"{texts[0]} end", f"{texts[1]} end"]
+    members, write = [], m.stored
+
+    def seen(df, name):
+        table = write(df, name)
+        if name == "family-members":
+            members.extend(table.collect())
+        return table
+
+    monkeypatch.setattr(m, "stored", seen)
+    apart = spark.createDataFrame([(i, 0, i) for i in range(62)], "node long, n_shingles long, label long")
+    links = m._families(apart, packed_rows(spark, texts)).collect()
+    assert {frozenset(r) for r in links} == {frozenset((0, 60)), frozenset((1, 61))}
+    assert sorted(r.node for r in members) == [0, 1, 60, 61]
+    assert len({r.family for r in members}) == 2
