@@ -24,7 +24,9 @@ Texts with equal sets are one node, and only different sets are compared.
    they have in common, which in either is among the few rarest of all (``_rarest``). Nodes that are
    connected by those shingles are a family. Within a family every two nodes of different components
    and fitting sizes are compared, in blocks of ``BLOCK`` nodes per side, by products of sparse
-   columns; only links leave a block. Blocks of one component are skipped.
+   columns; only links leave a block. Blocks of one component are skipped. A block's texts go to each
+   of its pairs; many pairs of a large family are dealt out in turns, so that the disk holds ``TIMES``
+   the texts of all families at most.
 
 So no group is expanded into rows of pairs, and no link between components is left out. Every
 comparison is exact, on the shingles of the whole texts.
@@ -62,6 +64,10 @@ FEW = 8
 #: Nodes on either side of a block of comparisons, and about how many shingles these have together.
 BLOCK = 256
 BLOCK_SHINGLES = 150_000
+#: Texts of pairs of blocks that are dealt out in one turn: times the texts of all families, and
+#: shingles that are few in any case.
+TIMES = 8
+FEW_SHINGLES = 20_000_000
 
 #: Shingles of a row, and of rows that leave a task together, where shingles are rows' columns.
 ROW = 2_000
@@ -327,7 +333,7 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
     grade = F.floor(F.log(F.col("n_shingles")) / math.log(DEN / NUM + 0.01)).alias("grade")
     # The weight of a node is its share of a block.
     weight = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES).alias("weight")
-    members = signs.select("node", "label", grade, weight).join(families, "node")
+    members = signs.select("node", "label", "n_shingles", grade, weight).join(families, "node")
     group = ["family", "grade"]
     sizes = members.groupBy(*group, "label").agg(F.sum("weight").alias("n"))
     small = sizes.where(F.col("n") <= 0.5).groupBy(*group).agg(F.sum("n").alias("n_small"))
@@ -338,25 +344,25 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
         own, F.xxhash64("grade", "label", F.pmod(F.xxhash64("node"), F.ceil("n")))
     ).otherwise(F.xxhash64("grade", F.pmod(F.xxhash64("label"), F.ceil("n_small"))))
     members = members.select(
-        *group, "node", "label", block.alias("block"), F.when(own, F.col("label")).alias("pure")
+        *group, "node", "label", "n_shingles", block.alias("block"), F.when(own, F.col("label")).alias("pure")
     )
     members = stored(members, "family-members")
-    blocks = members.select(*group, "block", "pure").distinct()
+    blocks = members.groupBy(*group, "block", "pure").agg(F.sum("n_shingles").alias("n"))
     others = blocks.select(
-        "family", F.col("grade").alias("other_grade"), F.col("block").alias("other"), F.col("pure").alias("other_pure")
-    )
+        "family", F.col("grade").alias("other_grade"), F.col("block").alias("other"),
+        F.col("pure").alias("other_pure"), F.col("n").alias("other_n"),
+    )
     pairs = (
         blocks.join(others, "family").where("block <= other and abs(grade - other_grade) <= 1")
-        .where("not (pure is not null and pure <=> other_pure)").select("family", "block", "other")
+        .where("not (pure is not null and pure <=> other_pure)")
+        .select("family", "block", "other", F.expr("n + if(block < other, other_n, 0)").alias("n"))
     )
     pairs = stored(pairs, "block-pairs")
     discard(signs)
     release(members.sparkSession)
+    held, dealt = (x.first()[0] or 0 for x in (members.agg(F.sum("n_shingles")), pairs.agg(F.sum("n"))))
+    turns = max(1, math.ceil(dealt / max(TIMES * held, FEW_SHINGLES)))
     with_text = members.join(texts, "node").select("family", "block", "node", "label", "packed")
-    left = with_text.join(pairs, ["family", "block"]).withColumn("side", F.lit(0))
-    right = with_text.withColumnRenamed("block", "other").join(
-        pairs.where("block < other"), ["family", "other"]
-    ).withColumn("side", F.lit(1))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         import zstandard
@@ -378,12 +384,18 @@ def _families(apart: DataFrame, texts: DataFrame) -> DataFrame:
         )
         return found.drop_duplicates(["x", "y"])[["a", "b"]]
 
-    links = stored(
-        left.unionByName(right).groupBy("family", "block", "other").applyInPandas(compare, "a long, b long"),
-        "links",
-    )
+    links = None
+    for turn in range(turns):
+        now = pairs.where(F.pmod(F.xxhash64("block", "other", "family"), F.lit(turns)) == turn).drop("n")
+        left = with_text.join(now, ["family", "block"]).withColumn("side", F.lit(0))
+        right = with_text.withColumnRenamed("block", "other").join(
+            now.where("block < other"), ["family", "other"]
+        ).withColumn("side", F.lit(1))
+        both = left.unionByName(right).groupBy("family", "block", "other")
+        found = stored(both.applyInPandas(compare, "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        release(members.sparkSession)
     discard(members, pairs)
-    release(links.sparkSession)
     return links
 
 

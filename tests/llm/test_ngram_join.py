@@ -149,7 +149,8 @@ def test_linked_sets_share_one_of_their_rarest_shingles(spark, monkeypatch):
     found = [set(shingles(t).view(np.int64).tolist()) for t in texts]
     # Some labels have several nodes; links inside of these are known.
     label = [i - i % 3 if i < 60 else i for i in range(len(texts))]
-    apart = spark.createDataFrame([(i, 0, label[i]) for i in range(len(texts))], "node long, n_shingles long, label long")
+    rows = [(i, 0, label[i]) for i in range(len(texts))]
+    apart = spark.createDataFrame(rows, "node long, n_shingles long, label long")
     rare = {r.node: r for r in m._rarest(apart, packed_rows(spark, texts)).collect()}
     assert all(r.n_shingles == len(found[i]) and set(r.signs) <= found[i] for i, r in rare.items())
     links = 0
@@ -181,3 +182,37 @@ def test_a_common_passage_makes_no_family(spark, monkeypatch):
     assert {frozenset(r) for r in links} == {frozenset((0, 60)), frozenset((1, 61))}
     assert sorted(r.node for r in members) == [0, 1, 60, 61]
     assert len({r.family for r in members}) == 2
+
+
+def test_pairs_of_blocks_are_dealt_out_in_turns(spark, monkeypatch):
+    """A large family is compared as a whole, a bounded part of the pairs of its blocks at a time."""
+    # Texts link to the next five on either side.
+    texts = [" ".join(f"w{i}" for i in range(2 * k, 2 * k + 100)) for k in range(40)]
+    tables, write = [], m.stored
+
+    def seen(df, name):
+        tables.append((name, write(df, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(m, "stored", seen)
+    monkeypatch.setattr(m, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(m, "TIMES", 2)
+    monkeypatch.setattr(m, "FEW_SHINGLES", 1)
+    apart = spark.createDataFrame([(i, 96, i) for i in range(40)], "node long, n_shingles long, label long")
+    found = [set(shingles(t).tolist()) for t in texts]
+    links = m._families(apart, packed_rows(spark, texts)).collect()
+    pairs = [(i, j) for i in range(40) for j in range(i)]
+    linked = {frozenset((i, j)) for i, j in pairs if 100 * len(found[i] & found[j]) >= 80 * len(found[i] | found[j])}
+    assert {frozenset(r) for r in links} == linked and len(linked) == 5 * 40 - 15
+    assert [name for name, _ in tables].count("links") > 3
+
+
+def test_copies_of_a_large_family_go_in_turns(spark, monkeypatch):
+    """The pipeline's stage, with a family of several blocks and turns."""
+    monkeypatch.setattr(m, "BLOCK_SHINGLES", 100)
+    monkeypatch.setattr(m, "TIMES", 1)
+    monkeypatch.setattr(m, "FEW_SHINGLES", 1)
+    rows = [r for r in near_copies() if len(r[1].split()) < 200]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {i for i, _, component in brute(rows) if i == component}
+    assert {r.doc_id for r in m.keep_one(docs).collect()} == kept
